@@ -13,16 +13,18 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def bround(col: Column, digits: int) -> Column:
-    """Round half to even (numpy rounding)."""
-    return F.bround(col, digits)
+    """K6: numpy's rounding, half to even on the binary value
+    (``rint(x * 10**d) / 10**d``), e.g. 2.675 -> 2.68, 1.125 -> 1.12."""
+    m = float(10 ** digits)
+    return F.rint(col.cast("double") * F.lit(m)) / F.lit(m)
 
 
-def mean_exact(col: Column, scale: int = 12, precision: int = 24) -> Column:
+def mean_exact(col: Column, scale: int = 12, precision: int = 28) -> Column:
     """Mean that does not depend on partitioning or row order.
 
-    Values are accumulated as decimals (exact addition); the quotient is
-    returned as a double.  ``scale`` must cover the input's precision: 2 for
-    money, 6 for microsecond durations, 12 for ratios.
+    Values are accumulated as decimals (exact addition, 16 integer digits,
+    12 fractional: exact for money, microsecond durations, and ratios to
+    1e-12); the quotient is returned as a double.
     """
     return F.avg(col.cast(T.DecimalType(precision, scale))).cast("double")
 

@@ -139,18 +139,10 @@ def clean_base(df: DataFrame) -> DataFrame:
 
 
 def clean_events(df: DataFrame, with_clock: bool = True) -> DataFrame:
-    """C1-C10 in the reference order.
-
-    The session clock range-partitions its input and reads it twice, so the
-    input must be reproducible row for row; the cleaned base is therefore
-    checkpointed (to the session's shared checkpoint folder) first.  Callers
-    that already hold the base as a table scan use ``add_session_clock``
-    directly.
-    """
+    """C1-C10 in the reference order."""
     base = clean_base(df)
     if not with_clock:
         return base
-    base = base.checkpoint(eager=True)
     return add_session_clock(base).select(*CLEAN_COLUMNS)
 
 

@@ -10,10 +10,10 @@ boundary is carried by a small table with at most one row per
 (partition, key), whose size is bounded by the partition count per key.
 
 The range-partitioned rows are read by two branches of one plan.  Spark
-may run the range exchange once per branch, and the sampled bounds only
-agree if the input is reproducible row for row: pass a table scan (or a
-narrow projection/filter of one) or a checkpointed frame, never the direct
-output of a shuffle.
+may run the range exchange once per branch, and its sample is seeded by
+the RDD id, so two runs can draw different bounds.  The partitioned rows
+are therefore checkpointed (reliably, to the session's checkpoint folder)
+once, and both branches read that copy; a lost executor re-reads files.
 """
 
 from __future__ import annotations
@@ -23,16 +23,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopflow.session import shuffle_partitions
+from shopflow.session import shared_dir, shuffle_partitions
 
 PID = "_pid"
 
 
 def _range_partition(df: DataFrame, order: Sequence[Column], num_partitions: int | None) -> DataFrame:
     n = num_partitions or shuffle_partitions(df.sparkSession)
+    shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
     # Range partitions are numbered in sort order, so the partition id is
     # the coarse position of a row in the total order.
-    return df.repartitionByRange(n, *order).withColumn(PID, F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *order).withColumn(PID, F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
 
 
 def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (),

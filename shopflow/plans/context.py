@@ -87,8 +87,7 @@ class ShopContext:
 
     @property
     def events_clean(self) -> DataFrame:
-        """The full cleaned table (C1-C10).  The session clock reads the
-        materialised base, a reproducible scan."""
+        """The full cleaned table (C1-C10), built on the materialised base."""
         return self._stage("events_clean",
                            lambda: add_session_clock(self.events).select(*CLEAN_COLUMNS))
 
