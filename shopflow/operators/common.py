@@ -34,3 +34,10 @@ def scalar(df: DataFrame, col: str | None = None):
     if row is None:
         return None
     return row[col] if col else row[0]
+
+
+def zip_rows(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a global aggregate (one row) to every row of
+    ``df``: an equi-join on a constant key with the one-row side broadcast."""
+    return df.withColumn("_one", F.lit(1)).join(
+        F.broadcast(one_row.withColumn("_one", F.lit(1))), on="_one", how="inner").drop("_one")
