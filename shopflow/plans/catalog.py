@@ -67,4 +67,4 @@ def oracle_queries() -> dict[str, str]:
 
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
-    from shopflow.plans import queries_core, queries_dash  # noqa: F401
+    from shopflow.plans import queries_core, queries_dash, queries_report  # noqa: F401
