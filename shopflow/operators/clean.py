@@ -21,25 +21,25 @@ def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast(T.TimestampNTZType())
 
 
+_TIEBREAK = ["product_id", "event_type", "price", "user_id", "brand", "category_code"]
+
+
 def event_order() -> list[Column]:
     """Row order inside a session.
 
-    The reference uses file order; we use event time (nulls last) and then
-    every other column, which is a total order once duplicates are gone and
-    equals file order on time-sorted logs up to equal timestamps.
+    The reference uses file order; we use event time (nulls last), then the
+    remaining columns (nulls first).  After de-duplication this is a total
+    order, and it equals file order on time-sorted logs up to equal
+    timestamps.
     """
-    return [F.col("event_time").asc_nulls_last(), F.col("product_id").asc_nulls_last(),
-            F.col("event_type").asc_nulls_last(), F.col("price").asc_nulls_last(),
-            F.col("user_id").asc_nulls_last(), F.col("brand").asc_nulls_last(),
-            F.col("category_code").asc_nulls_last()]
+    return [F.col("event_time").asc_nulls_last()] + [F.col(c).asc_nulls_first() for c in _TIEBREAK]
 
 
 def event_order_key() -> Column:
-    """``event_order`` as one comparable struct (null flags keep nulls last)."""
-    fields = []
-    for name in ["event_time", "product_id", "event_type", "price", "user_id", "brand", "category_code"]:
-        fields += [F.col(name).isNull(), F.col(name)]
-    return F.struct(*fields)
+    """``event_order`` as one comparable struct.  Struct comparison puts
+    null fields first, so only event_time needs a null flag."""
+    return F.struct(F.col("event_time").isNull().alias("t_null"), F.col("event_time"),
+                    *[F.col(c) for c in _TIEBREAK])
 
 
 def dedupe_events(df: DataFrame) -> DataFrame:

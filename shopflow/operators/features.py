@@ -13,9 +13,9 @@ from shopflow.schema import EVENT_TYPES
 
 
 def _first_non_null(name: str):
-    # min_by skips rows whose ordering is null, so masking the ordering
-    # keeps only non-null values: first non-null in event order.
-    return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), event_order_key())).alias(name)
+    # The smallest order key among rows where the column is set; the
+    # key carries the column itself, so one struct min gives the value.
+    return F.min(F.when(F.col(name).isNotNull(), event_order_key()))[name].alias(name)
 
 
 def session_unique_products(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
@@ -26,19 +26,24 @@ def session_unique_products(events: DataFrame, types: Sequence[str] = EVENT_TYPE
 
 
 def session_features(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
-    """F1-F6 in one aggregation over cleaned events.
-
-    The reference builds F1 separately and left-joins it; here the distinct
-    counts sit in the same aggregate, so there is no join.  Spark plans the
-    distinct counts with an Expand whose first aggregation is keyed by
-    (session, value): a session with a third of all rows is spread over many
-    tasks, and the final per-session aggregate sees one partial row per task.
+    """F1-F6 over cleaned events, as two session-grain aggregates joined on
+    the session key.
+
+    * counts: counters, min/max time, spend and the distinct counts (F1,
+      F2b-F2e).  Spark plans the distinct counts with an Expand whose first
+      aggregation is keyed by (session, value), so a session holding a
+      third of all rows is spread over many tasks; the final per-session
+      step sees one partial row per task.  All buffers are fixed-width, so
+      this is a hash aggregate.
+    * firsts: first non-null user, category, brand (F2a).  Struct buffers
+      force a sort-based aggregate, so it runs on the plain rows rather
+      than on the expanded ones.
+
+    The reference left-joins F1 to F2; here F1 is in the same aggregate,
+    and the only join is between two tables with one row per session.
     """
     t = F.col("event_type")
-    agg = events.groupBy("user_session").agg(
-        _first_non_null("user_id"),
-        _first_non_null("category_code"),
-        _first_non_null("brand"),
+    counts = events.groupBy("user_session").agg(
         F.count_if(t == "view").alias("view_count"),
         F.count_if(t == "cart").alias("cart_count"),
         F.count_if(t == "purchase").alias("purchase_count"),
@@ -50,7 +55,10 @@ def session_features(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> D
         *[F.count_distinct(F.when(t == x, F.col("product_id"))).alias(f"{x}_unique")
           for x in sorted(types)],
     )
-    return (agg
+    firsts = events.groupBy("user_session").agg(
+        _first_non_null("user_id"), _first_non_null("category_code"), _first_non_null("brand"))
+    out = firsts.join(counts, on="user_session", how="inner")
+    return (out
             .withColumn("session_duration", seconds_between(F.col("session_started_at"), F.col("session_ended_at")))
             .withColumn("view_to_purchase_rate", safe_ratio(F.col("purchase_unique"), F.col("view_unique")))
             .withColumn("is_weekend", F.coalesce(F.weekday("session_started_at") >= 5, F.lit(False))))

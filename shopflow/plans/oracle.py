@@ -7,8 +7,8 @@ the Spark operators, so agreement is evidence for both.
 
 from __future__ import annotations
 
-ORDER = ("event_time NULLS LAST, product_id NULLS LAST, event_type NULLS LAST, price NULLS LAST, "
-         "user_id NULLS LAST, brand NULLS LAST, category_code NULLS LAST")
+ORDER = ("event_time NULLS LAST, product_id NULLS FIRST, event_type NULLS FIRST, price NULLS FIRST, "
+         "user_id NULLS FIRST, brand NULLS FIRST, category_code NULLS FIRST")
 
 FIXTURE = """
 b AS (
