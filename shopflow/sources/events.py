@@ -15,7 +15,12 @@ def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     bad text into null.  Parquet input is projected onto the same columns.
     """
     if fmt == "csv":
-        return spark.read.schema(EVENTS_RAW_CSV).option("header", True).csv(path)
+        # Columns are matched by header name (any order); every field is read
+        # as text and cast, so a malformed number becomes null, not an error.
+        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        return df.select(*[(F.col(f.name) if f.name == "event_time"
+                            else F.col(f.name).try_cast(f.dataType)).alias(f.name)
+                           for f in EVENTS_RAW_CSV.fields])
     df = spark.read.format(fmt).load(path)
     return df.select(*[F.col(f.name).cast(f.dataType) if f.name != "event_time" else F.col("event_time")
                        for f in EVENTS_RAW_CSV.fields])
