@@ -345,3 +345,42 @@ SELECT session_quality, count(user_session) AS user_session,
        {r6('round_even(avg(view_to_purchase_rate), 3)', 'view_to_purchase_rate')},
        {r6('round_even(avg(session_total_spending), 3)', 'session_total_spending')}
 FROM sq GROUP BY session_quality""")(lambda c: behavior.session_quality(c.sessions))
+
+# -- second fixture: the ``events`` table (extra event types error/signup) ------
+register("session_features_events", """
+SELECT * REPLACE (round(CAST(session_total_spending AS DOUBLE), 6) AS session_total_spending,
+                  round(session_duration, 6) AS session_duration,
+                  round(view_to_purchase_rate, 6) AS view_to_purchase_rate)
+FROM sessions""", source="events")(lambda c: c.sessions)
+
+register("brand_features_events", """
+SELECT * REPLACE (round(brand_view_to_purchase_rate, 6) AS brand_view_to_purchase_rate,
+                  round(CAST(purchase_spending AS DOUBLE), 6) AS purchase_spending)
+FROM brands""", source="events")(lambda c: c.brands)
+
+register("user_features_events", """
+SELECT * REPLACE (round(user_avg_session_duration, 6) AS user_avg_session_duration,
+                  round(CAST(user_total_spending AS DOUBLE), 6) AS user_total_spending,
+                  round(user_view_to_purchase_rate, 6) AS user_view_to_purchase_rate,
+                  round(user_purchase_per_session, 6) AS user_purchase_per_session)
+FROM users""", source="events")(lambda c: c.users)
+
+register("funnel_rates_events", FUNNEL + f"""
+SELECT {r6('view_to_cart', 'view_to_cart')}, {r6('cart_to_purchase', 'cart_to_purchase')},
+       {r6('view_to_purchase', 'view_to_purchase')} FROM fr""", source="events")(
+    lambda c: funnel.funnel_rates(c.sessions))
+
+register("brand_breadth_events", BREADTH + f"""
+SELECT {r6('multi_brand_conversion', 'multi_brand_conversion')},
+       {r6('single_brand_conversion', 'single_brand_conversion')},
+       {r6('multi_brand_aov', 'multi_brand_aov')}, {r6('single_brand_aov', 'single_brand_aov')} FROM breadth""",
+         source="events")(lambda c: behavior.brand_breadth(c.sessions))
+
+register("segment_stats_events", NZQ4 + f"""
+SELECT spending_segment, count(user_id) AS user_count,
+       {r6('round_even(avg(user_total_spending), 2)', 'avg_total_spending_per_user')},
+       {r6('round_even(avg(user_total_sessions), 2)', 'avg_total_sessions_per_user')},
+       {r6('round_even(avg(user_view_to_purchase_rate), 2)', 'avg_conversion_rate')},
+       {r6('round_even(avg(user_purchase_per_session), 2)', 'avg_purchases_per_session')}
+FROM useg GROUP BY spending_segment""", source="events")(
+    lambda c: segments.segment_stats(segments.spending_segments(c.users)))
