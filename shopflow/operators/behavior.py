@@ -14,21 +14,26 @@ def _mean0(cond, col):
     return F.coalesce(mean_exact(F.when(cond, F.col(col))), F.lit(0.0))
 
 
+def breadth_aggs() -> list:
+    nb, s = F.col("n_unique_brands"), F.col("session_total_spending")
+    return [_mean0(nb > 1, "view_to_purchase_rate").alias("multi_brand_conversion"),
+            _mean0(nb == 1, "view_to_purchase_rate").alias("single_brand_conversion"),
+            _mean0((nb > 1) & (s > 0), "session_total_spending").alias("multi_brand_aov"),
+            _mean0((nb == 1) & (s > 0), "session_total_spending").alias("single_brand_aov")]
+
+
+def multi_category_aggs() -> list:
+    return [_mean0(F.col("n_unique_categories") > 1, "view_to_purchase_rate").alias("multi_category_conversion")]
+
+
 def brand_breadth(sessions: DataFrame) -> DataFrame:
     """Conversion and AOV of multi-brand vs single-brand sessions."""
-    nb, s = F.col("n_unique_brands"), F.col("session_total_spending")
-    return sessions.agg(
-        _mean0(nb > 1, "view_to_purchase_rate").alias("multi_brand_conversion"),
-        _mean0(nb == 1, "view_to_purchase_rate").alias("single_brand_conversion"),
-        _mean0((nb > 1) & (s > 0), "session_total_spending").alias("multi_brand_aov"),
-        _mean0((nb == 1) & (s > 0), "session_total_spending").alias("single_brand_aov"),
-    )
+    return sessions.agg(*breadth_aggs())
 
 
 def multi_category(sessions: DataFrame) -> DataFrame:
     """A31."""
-    return sessions.agg(
-        _mean0(F.col("n_unique_categories") > 1, "view_to_purchase_rate").alias("multi_category_conversion"))
+    return sessions.agg(*multi_category_aggs())
 
 
 def session_quality_flag(sessions: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """K2 quantile bins with exact, linearly interpolated edges.
 
-Edges are order statistics found through ``global_order`` (no single task
-holds the column), and only the ``<= 2q`` values needed for interpolation
-reach the driver.  ``approx=True`` uses ``percentile_approx`` instead.
+Edges are order statistics.  The default path is a two-pass selection:
+``percentile_approx`` (rank error <= n / accuracy) brackets every wanted
+rank in a narrow value band; a second pass counts the rows below each band
+and groups the band's values, and the exact order statistics are read off
+the cumulative counts.  The result is verified against the counts; when a
+band would be too large or the check fails, the distributed rank
+(``global_order``) is used instead.  Only band values and counts reach the
+driver, never the column.  ``approx=True`` returns the approximate edges.
 """
 
 from __future__ import annotations
@@ -33,18 +38,65 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
+ACCURACY = 100_000
+MAX_BAND_ROWS = 2_000_000
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     tiebreak: Sequence[str] = ()) -> list[float] | None:
     """Linear-interpolated quantiles of the non-null values (numpy method).
 
     Returns None for an empty column.  ``tiebreak`` columns make the order
-    total so long runs of equal values split across partitions.
+    total for the rank-based fallback.
     """
     v = df.select(F.col(value).cast("double").alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
-    n = v.count()
+    eps = 2.0 / ACCURACY
+    approx_p = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    head = v.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx("_v", approx_p, ACCURACY).alias("q")).first()
+    n = head["n"]
     if n == 0:
         return None
     pos = _positions(n, probs)
+    if 4 * n / ACCURACY * len(probs) <= MAX_BAND_ROWS:
+        q = dict(zip(approx_p, head["q"]))
+        bands = [(q[min(1.0, max(0.0, p - eps))], q[min(1.0, max(0.0, p + eps))]) for p in probs]
+        got = _band_select(v, n, pos, bands)
+        if got is not None:
+            return got
+    return _rank_select(v, n, pos, tiebreak)
+
+
+def _band_select(v: DataFrame, n: int, pos, bands) -> list[float] | None:
+    below = v.agg(*[F.count_if(F.col("_v") < F.lit(lo)).alias(f"b{i}")
+                    for i, (lo, _) in enumerate(bands)]).first()
+    inside = None
+    for lo, hi in bands:
+        c = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
+        inside = c if inside is None else (inside | c)
+    counts = sorted((r["_v"], r["count"]) for r in v.where(inside).groupBy("_v").count().collect())
+    out = []
+    for i, ((lo_rank, hi_rank, t), (lo, hi)) in enumerate(zip(pos, bands)):
+        start = below[f"b{i}"]
+        vals = [(x, c) for x, c in counts if lo <= x <= hi]
+        if not (start <= lo_rank and start + sum(c for _, c in vals) > hi_rank):
+            return None  # the band missed a rank: use the exact distributed path
+
+        def at(rank, vals=vals, start=start):
+            acc = start
+            for x, c in vals:
+                acc += c
+                if rank < acc:
+                    return x
+            return None
+        a, b = at(lo_rank), at(hi_rank)
+        if a is None or b is None:
+            return None
+        out.append(_lerp(a, b, t))
+    return out
+
+
+def _rank_select(v: DataFrame, n: int, pos, tiebreak: Sequence[str]) -> list[float]:
     wanted = sorted({p for lo, hi, _ in pos for p in (lo, hi)})
     ranked = global_order(v, [F.col("_v").asc(), *[F.col(t).asc() for t in tiebreak]])
     rows = ranked.where(F.col("_rank").isin([w + 1 for w in wanted])).select("_rank", "_v").collect()

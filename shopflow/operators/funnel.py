@@ -10,25 +10,31 @@ from shopflow.functions.numeric import mean_exact, safe_ratio
 from shopflow.schema import DURATION_BINS, DURATION_LABELS, MAX_SESSION_DURATION_MINUTES
 
 
-def funnel_counts(sessions: DataFrame) -> DataFrame:
-    """A1: one row of session counts."""
-    return sessions.agg(
+def funnel_count_aggs() -> list:
+    """A1 aggregate expressions over session features."""
+    return [
         F.count(F.lit(1)).alias("total_sessions"),
         F.count_if(F.col("view_count") > 0).alias("sessions_with_views"),
         F.count_if(F.col("cart_count") > 0).alias("sessions_with_carts"),
         F.count_if(F.col("purchase_count") > 0).alias("sessions_with_purchases"),
-    )
+    ]
 
 
-def funnel_rates(sessions: DataFrame) -> DataFrame:
-    """A2: step rates; a zero denominator gives 0 (rates may exceed 1)."""
-    c = funnel_counts(sessions)
+def funnel_rate_cols() -> list:
+    """A2 from the A1 columns: a zero denominator gives 0 (rates may exceed 1)."""
     v, ca, p = F.col("sessions_with_views"), F.col("sessions_with_carts"), F.col("sessions_with_purchases")
-    return c.select(
-        safe_ratio(ca, v).alias("view_to_cart"),
-        safe_ratio(p, ca).alias("cart_to_purchase"),
-        safe_ratio(p, v).alias("view_to_purchase"),
-    )
+    return [safe_ratio(ca, v).alias("view_to_cart"), safe_ratio(p, ca).alias("cart_to_purchase"),
+            safe_ratio(p, v).alias("view_to_purchase")]
+
+
+def funnel_counts(sessions: DataFrame) -> DataFrame:
+    """A1: one row of session counts."""
+    return sessions.agg(*funnel_count_aggs())
+
+
+def funnel_rates(sessions: DataFrame) -> DataFrame:
+    """A2: step rates."""
+    return funnel_counts(sessions).select(*funnel_rate_cols())
 
 
 def duration_bucket(duration_seconds) -> object:

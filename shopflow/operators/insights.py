@@ -26,6 +26,22 @@ def fmt_money(x: Column, digits: int = 2) -> Column:
     return F.format_number(x, digits)
 
 
+def _change(cur: Column, base: Column) -> Column:
+    return F.when(F.coalesce(base, F.lit(0.0)) != 0, (cur - base) / base)
+
+
+def _status(change: Column) -> Column:
+    return F.when(change <= -ALERT_DROP_PCT, "dropped").when(change >= ALERT_DROP_PCT, "increased")
+
+
+def _alert_message(metric: Column, change: Column) -> Column:
+    status = _status(change)
+    return (F.when(status == "dropped", F.concat(F.lit("⚠️ "), metric, F.lit(" dropped by "),
+                                               fmt1(F.abs(change) * 100), F.lit("% compared to baseline.")))
+            .when(status == "increased", F.concat(F.lit("✅ "), metric, F.lit(" increased by "),
+                                                  fmt1(change * 100), F.lit("% compared to baseline."))))
+
+
 def baseline_alerts(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Relative change of each funnel rate against a baseline summary.
 
@@ -40,34 +56,31 @@ def baseline_alerts(current: DataFrame, baseline: DataFrame) -> DataFrame:
                               F.col(f"c_{k}").alias("current"), F.col(f"b_{k}").alias("baseline"))
                      for i, k in enumerate(RATE_KEYS)])
     r = w.select(F.explode(rows).alias("r")).select("r.*")
-    change = F.when(F.coalesce(F.col("baseline"), F.lit(0.0)) != 0,
-                    (F.col("current") - F.col("baseline")) / F.col("baseline"))
-    r = r.withColumn("change", change)
-    status = (F.when(F.col("change") <= -ALERT_DROP_PCT, "dropped")
-              .when(F.col("change") >= ALERT_DROP_PCT, "increased"))
-    msg = (F.when(status == "dropped", F.concat(F.lit("⚠️ "), F.col("metric"), F.lit(" dropped by "),
-                                               fmt1(F.abs(F.col("change")) * 100),
-                                               F.lit("% compared to baseline.")))
-           .when(status == "increased", F.concat(F.lit("✅ "), F.col("metric"), F.lit(" increased by "),
-                                                 fmt1(F.col("change") * 100), F.lit("% compared to baseline."))))
-    return r.withColumn("status", status).withColumn("message", msg)
-
-
-def insight_messages(facts: DataFrame, alerts: DataFrame | None = None) -> DataFrame:
-    """Ordered insight list from a one-row frame of facts.
-
-    ``facts`` columns: view_to_cart, cart_to_purchase, top_10_pct,
+    r = r.withColumn("change", _change(F.col("current"), F.col("baseline")))
+    return (r.withColumn("status", _status(F.col("change")))
+             .withColumn("message", _alert_message(F.col("metric"), F.col("change"))))
+
+
+def alert_message_cols() -> list[Column]:
+    """Alert messages from columns ``<rate>`` (current) and ``b_<rate>``."""
+    return [_alert_message(F.lit(k), _change(F.col(k), F.col(f"b_{k}"))) for k in RATE_KEYS]
+
+
+def rule_message_cols() -> list[Column]:
+    """A35/A36 rule messages, in order, from one row of facts.
+
+    Fact columns: view_to_cart, cart_to_purchase, top_10_pct,
     top_20_pct_of_user_revenue, cart_abandonment_sessions,
     potential_revenue_from_abandonment, weekend_conversion_rate,
     weekday_conversion_rate, best_conversion_hour, peak_revenue_month,
     peak_conversion_month, has_loyalty, loyal_user_avg_spend,
-    casual_user_avg_spend, total_revenue, zero_spender_share (null when the
-    segment is absent).
+    casual_user_avg_spend, total_revenue, zero_spender_share (null when
+    the segment is absent).
     """
     c = F.col
     wc, wd = c("weekend_conversion_rate"), c("weekday_conversion_rate")
     premium = (c("loyal_user_avg_spend") / c("casual_user_avg_spend") - 1) * 100
-    rules = [
+    return [
         F.when(c("view_to_cart") < LOW_FUNNEL_ALERT_THRESHOLD,
                F.concat(F.lit("⚠️ View→Cart conversion is low ("), fmt1(c("view_to_cart") * 100), F.lit("%)."))),
         F.when(c("cart_to_purchase") < LOW_FUNNEL_ALERT_THRESHOLD,
@@ -99,11 +112,19 @@ def insight_messages(facts: DataFrame, alerts: DataFrame | None = None) -> DataF
         F.when(c("zero_spender_share") > 0.8,
                F.lit("⚠️ Majority of users are zero spenders; consider focusing on activation strategies.")),
     ]
-    msgs = F.array(*rules)
-    if alerts is not None:
-        prefix = alerts.agg(F.sort_array(F.collect_list(F.struct("position", "message"))).alias("_a"))
-        facts = zip_one_row(facts, prefix)
-        msgs = F.concat(F.transform(F.col("_a"), lambda s: s["message"]), msgs)
-    kept = F.filter(msgs, lambda m: m.isNotNull())
-    return facts.select(F.posexplode(kept).alias("position", "insight")).select(
+
+
+def insight_array(with_alerts: bool = False) -> Column:
+    """The ordered list of non-null messages as one array column."""
+    msgs = (alert_message_cols() if with_alerts else []) + rule_message_cols()
+    return F.filter(F.array(*msgs), lambda m: m.isNotNull())
+
+
+def insight_messages(facts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """A35/A36 as a table (insight_number, insight) from a one-row facts
+    frame; with a baseline (one row of the three rates) the alerts come
+    first."""
+    if baseline is not None:
+        facts = zip_one_row(facts, baseline.select(*[F.col(k).cast("double").alias(f"b_{k}") for k in RATE_KEYS]))
+    return facts.select(F.posexplode(insight_array(baseline is not None)).alias("position", "insight")).select(
         (F.col("position") + 1).alias("insight_number"), "insight")

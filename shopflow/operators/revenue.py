@@ -15,14 +15,27 @@ from shopflow.operators.ordered import global_order
 from shopflow.schema import ORDER_VALUE_BINS, ORDER_VALUE_LABELS, REVENUE_QUINTILE_LABELS
 
 
+def revenue_total_aggs() -> list:
+    s = F.col("session_total_spending")
+    return [money_sum(s).alias("total_revenue"),
+            F.count_if(s > 0).alias("revenue_generating_sessions"),
+            F.coalesce(mean_exact(F.when(s > 0, s)), F.lit(0.0)).alias("avg_order_value")]
+
+
+def abandonment_aggs() -> list:
+    return [F.count_if((F.col("cart_count") > 0) & (F.col("purchase_count") == 0))
+            .alias("cart_abandonment_sessions")]
+
+
+def abandonment_cols() -> list:
+    """A28 from ``cart_abandonment_sessions`` and ``avg_order_value``."""
+    return [F.col("cart_abandonment_sessions"),
+            (F.col("cart_abandonment_sessions") * F.col("avg_order_value")).alias("potential_revenue_from_abandonment")]
+
+
 def revenue_totals(sessions: DataFrame) -> DataFrame:
     """AOV is the mean spend of spending *sessions*."""
-    s = F.col("session_total_spending")
-    return sessions.agg(
-        money_sum(s).alias("total_revenue"),
-        F.count_if(s > 0).alias("revenue_generating_sessions"),
-        F.coalesce(mean_exact(F.when(s > 0, s)), F.lit(0.0)).alias("avg_order_value"),
-    )
+    return sessions.agg(*revenue_total_aggs())
 
 
 def order_value_distribution(sessions: DataFrame) -> DataFrame:
@@ -35,6 +48,12 @@ def order_value_distribution(sessions: DataFrame) -> DataFrame:
     return keep_all_labels(agg, ORDER_VALUE_LABELS, "order_value_category", {"count": 0})
 
 
+def top_k_revenue(users: DataFrame, k: int = 10) -> DataFrame:
+    """Revenue of the ``k`` biggest spenders (one row)."""
+    return top_k(users, "user_total_spending", k, "user_id").agg(
+        money_sum(F.col("user_total_spending")).alias("top_10_users_revenue"))
+
+
 def top10_user_share(users: DataFrame, k: int = 10) -> DataFrame:
     """Revenue of the top users and its share of all user revenue."""
     top = top_k(users, "user_total_spending", k, "user_id").agg(
@@ -93,12 +112,7 @@ def revenue_quintiles(users: DataFrame, approx: bool = False) -> DataFrame:
 
 def cart_abandonment(sessions: DataFrame) -> DataFrame:
     """Carts without purchase; potential = count x AOV."""
-    s = F.col("session_total_spending")
-    agg = sessions.agg(
-        F.count_if((F.col("cart_count") > 0) & (F.col("purchase_count") == 0)).alias("cart_abandonment_sessions"),
-        F.coalesce(mean_exact(F.when(s > 0, s)), F.lit(0.0)).alias("_aov"))
-    return agg.select("cart_abandonment_sessions",
-                      (F.col("cart_abandonment_sessions") * F.col("_aov")).alias("potential_revenue_from_abandonment"))
+    return sessions.agg(*abandonment_aggs(), *revenue_total_aggs()).select(*abandonment_cols())
 
 
 _ = math  # keep import for callers computing thresholds

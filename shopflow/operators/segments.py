@@ -14,20 +14,30 @@ from shopflow.schema import (
 )
 
 
-def loyalty(users: DataFrame, cutoff: int = LOYALTY_SESSION_CUTOFF) -> DataFrame:
-    """A4: loyal (>= cutoff sessions) vs casual users; no row unless both
-    cohorts are non-empty."""
+LOYALTY_COLUMNS = ["loyal_user_count", "casual_user_count", "loyal_user_avg_spend", "casual_user_avg_spend",
+                   "loyal_conversion_rate", "casual_conversion_rate"]
+
+
+def loyalty_aggs(cutoff: int = LOYALTY_SESSION_CUTOFF) -> list:
     loyal = F.col("user_total_sessions") >= cutoff
     casual = F.col("user_total_sessions") < cutoff
     spend, rate = F.col("user_total_spending"), F.col("user_view_to_purchase_rate")
-    return users.agg(
-        F.count_if(loyal).alias("loyal_user_count"),
-        F.count_if(casual).alias("casual_user_count"),
-        mean_exact(F.when(loyal, spend)).alias("loyal_user_avg_spend"),
-        mean_exact(F.when(casual, spend)).alias("casual_user_avg_spend"),
-        mean_exact(F.when(loyal, rate)).alias("loyal_conversion_rate"),
-        mean_exact(F.when(casual, rate)).alias("casual_conversion_rate"),
-    ).where((F.col("loyal_user_count") > 0) & (F.col("casual_user_count") > 0))
+    return [F.count_if(loyal).alias("loyal_user_count"),
+            F.count_if(casual).alias("casual_user_count"),
+            mean_exact(F.when(loyal, spend)).alias("loyal_user_avg_spend"),
+            mean_exact(F.when(casual, spend)).alias("casual_user_avg_spend"),
+            mean_exact(F.when(loyal, rate)).alias("loyal_conversion_rate"),
+            mean_exact(F.when(casual, rate)).alias("casual_conversion_rate")]
+
+
+def has_both_cohorts():
+    return (F.col("loyal_user_count") > 0) & (F.col("casual_user_count") > 0)
+
+
+def loyalty(users: DataFrame, cutoff: int = LOYALTY_SESSION_CUTOFF) -> DataFrame:
+    """A4: loyal (>= cutoff sessions) vs casual users; no row unless both
+    cohorts are non-empty."""
+    return users.agg(*loyalty_aggs(cutoff)).where(has_both_cohorts())
 
 
 def spending_segments(users: DataFrame, approx: bool = False,

@@ -11,13 +11,15 @@ from shopflow.operators.common import zip_one_row
 from shopflow.schema import TIME_PERIOD_BINS, TIME_PERIOD_LABELS
 
 
+def weekend_aggs() -> list:
+    w, r = F.col("is_weekend"), F.col("view_to_purchase_rate")
+    return [F.coalesce(mean_exact(F.when(w, r)), F.lit(0.0)).alias("weekend_conversion_rate"),
+            F.coalesce(mean_exact(F.when(~w, r)), F.lit(0.0)).alias("weekday_conversion_rate")]
+
+
 def weekend_conversion(sessions: DataFrame) -> DataFrame:
     """Mean session rate on weekends and weekdays (empty -> 0)."""
-    w, r = F.col("is_weekend"), F.col("view_to_purchase_rate")
-    return sessions.agg(
-        F.coalesce(mean_exact(F.when(w, r)), F.lit(0.0)).alias("weekend_conversion_rate"),
-        F.coalesce(mean_exact(F.when(~w, r)), F.lit(0.0)).alias("weekday_conversion_rate"),
-    )
+    return sessions.agg(*weekend_aggs())
 
 
 def with_start_parts(sessions: DataFrame) -> DataFrame:

@@ -82,7 +82,11 @@ register("numbered_insights", FACTS + ALERTS.replace(FUNNEL, "") + """
 , allm AS (SELECT position AS o, message AS m FROM alerts UNION ALL SELECT 100 + o, m FROM msgs)
 SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS Insight_Number, m AS Business_Insight
 FROM allm WHERE m IS NOT NULL""")(
-    lambda c: report.numbered_insights(S.insight_list(c, _baseline(c))))
+    lambda c: _numbered(c))
+
+
+def _numbered(c):
+    return report.numbered_insights(S.insight_list(c, _baseline(c)))
 
 # -- report sheets ------------------------------------------------------------------
 _EXEC_SQL = []
@@ -97,11 +101,22 @@ register("executive_summary", FUNNEL + REVENUE + WEEKEND + PEAKS + LOYALTY + """
                 cart_abandonment_sessions * avg_order_value AS potential_revenue_from_abandonment
          FROM fr, rev, wk, peaks, lf)
 """ + "\nUNION ALL ".join(_EXEC_SQL))(
-    lambda c: report.executive_summary(zip_one_row(
-        funnel.funnel_counts(c.sessions), funnel.funnel_rates(c.sessions),
-        revenue.revenue_totals(c.sessions), revenue.cart_abandonment(c.sessions),
-        S.loyalty_facts(segments.loyalty(c.users)).drop("has_loyalty"),
-        temporal.weekend_conversion(c.sessions), temporal.temporal_peaks(c.sessions))))
+    lambda c: report.executive_summary(_exec_wide(c)))
+
+
+def _exec_wide(c):
+    """Session and user scalars in one aggregate each, plus the peaks;
+    loyalty values are null (read as 0) when a cohort is missing."""
+    p = S.Parts(c)
+    both = segments.has_both_cohorts()
+    w = zip_one_row(p.session_scalars, p.user_scalars, p.peaks).select(
+        "*", *funnel.funnel_rate_cols(),
+        (F.col("cart_abandonment_sessions") * F.col("avg_order_value")).alias("potential_revenue_from_abandonment"))
+    masked = {"loyal_user_count", "casual_user_count", "loyal_user_avg_spend", "casual_user_avg_spend"}
+    return w.select(*[(F.when(both, F.col(x)) if x in masked else F.col(x)).alias(x) for x in _EXEC_COLS])
+
+
+_EXEC_COLS = [col for _, _, col, _ in report.EXECUTIVE_ROWS]
 
 register("report_users", LTV + f"""
 SELECT {USER_COLS}, ltv_segment FROM ltv ORDER BY user_total_spending DESC, user_id LIMIT 1000""")(

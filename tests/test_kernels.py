@@ -43,8 +43,17 @@ def test_quantiles_match_numpy(spark):
     vals[:200] = 5.0  # a long run of ties
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, v double")
     probs = [0, 0.2, 0.25, 0.33, 0.5, 0.67, 0.75, 0.8, 1]
-    got = exact_quantiles(df, "v", probs, tiebreak=["id"])
     exp = np.quantile(vals, probs)
+    got = exact_quantiles(df, "v", probs, tiebreak=["id"])
+    assert got == pytest.approx(list(exp), rel=0, abs=1e-12)
+    # the distributed rank path gives the same edges
+    from shopflow.operators import binning
+    old = binning.MAX_BAND_ROWS
+    binning.MAX_BAND_ROWS = 0
+    try:
+        got = exact_quantiles(df, "v", probs, tiebreak=["id"])
+    finally:
+        binning.MAX_BAND_ROWS = old
     assert got == pytest.approx(list(exp), rel=0, abs=1e-12)
 
 
