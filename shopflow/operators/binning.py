@@ -67,7 +67,26 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     return _rank_select(v, n, pos, tiebreak)
 
 
-def _band_select(v: DataFrame, n: int, pos, bands) -> list[float] | None:
+def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], n: int,
+                     tiebreak: Sequence[str] = ()) -> list:
+    """Exact values at 0-based ascending ``ranks`` among the ``n`` non-null
+    values of ``value`` (kept in the column's own type, e.g. exact decimals)."""
+    v = df.select(F.col(value).alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
+    pos = [(r, r, 0.0) for r in ranks]
+    if n > 1 and 4 * n / ACCURACY * len(ranks) <= MAX_BAND_ROWS:
+        eps = 2.0 / ACCURACY + 1.0 / n
+        probs = sorted({min(1.0, max(0.0, r / (n - 1) + d)) for r in ranks for d in (-eps, eps)})
+        q = v.agg(F.percentile_approx(F.col("_v").cast("double"), probs, ACCURACY).alias("q")).first()["q"]
+        qm = dict(zip(probs, q))
+        bands = [(qm[min(1.0, max(0.0, r / (n - 1) - eps))], qm[min(1.0, max(0.0, r / (n - 1) + eps))])
+                 for r in ranks]
+        got = _band_select(v, n, pos, bands, interpolate=False)
+        if got is not None:
+            return got
+    return _rank_select(v, n, pos, tiebreak, interpolate=False)
+
+
+def _band_select(v: DataFrame, n: int, pos, bands, interpolate: bool = True) -> list | None:
     below = v.agg(*[F.count_if(F.col("_v") < F.lit(lo)).alias(f"b{i}")
                     for i, (lo, _) in enumerate(bands)]).first()
     inside = None
@@ -92,16 +111,16 @@ def _band_select(v: DataFrame, n: int, pos, bands) -> list[float] | None:
         a, b = at(lo_rank), at(hi_rank)
         if a is None or b is None:
             return None
-        out.append(_lerp(a, b, t))
+        out.append(_lerp(a, b, t) if interpolate else a)
     return out
 
 
-def _rank_select(v: DataFrame, n: int, pos, tiebreak: Sequence[str]) -> list[float]:
+def _rank_select(v: DataFrame, n: int, pos, tiebreak: Sequence[str], interpolate: bool = True) -> list:
     wanted = sorted({p for lo, hi, _ in pos for p in (lo, hi)})
     ranked = global_order(v, [F.col("_v").asc(), *[F.col(t).asc() for t in tiebreak]])
     rows = ranked.where(F.col("_rank").isin([w + 1 for w in wanted])).select("_rank", "_v").collect()
     at = {r["_rank"] - 1: r["_v"] for r in rows}
-    return [_lerp(at[lo], at[hi], t) for lo, hi, t in pos]
+    return [_lerp(at[lo], at[hi], t) if interpolate else at[lo] for lo, hi, t in pos]
 
 
 def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import cut, keep_all_labels
 from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio
-from shopflow.operators.binning import qcut_column, quantile_edges
+from shopflow.operators.binning import order_statistics, qcut_column, quantile_edges
 from shopflow.operators.common import top_k, zip_one_row
 from shopflow.operators.ordered import global_order
 from shopflow.schema import ORDER_VALUE_BINS, ORDER_VALUE_LABELS, REVENUE_QUINTILE_LABELS
@@ -68,17 +68,27 @@ def top10_user_share(users: DataFrame, k: int = 10) -> DataFrame:
 def top_share(users: DataFrame, fraction: float = 0.2, min_one: bool = True) -> DataFrame:
     """Revenue of the first floor(fraction * n) users by spend.
 
-    ``min_one`` keeps at least one user (A26); R7 has no minimum.  The
-    ranking is a distributed global order (no single-task window).
+    ``min_one`` keeps at least one user (A26); R7 has no minimum.  The sum of
+    the k largest spends is found without ordering the table: the k-th
+    largest spend v is an exact order statistic (``order_statistics``), and
+    the total is the sum above v plus v for each remaining place (ties at v
+    all have the same spend).
     """
+    spend = F.col("user_total_spending")
     n = users.count()
     k = int(n * fraction)
     if min_one:
         k = max(1, k)
-    ranked = global_order(users.select("user_id", "user_total_spending"),
-                          [F.col("user_total_spending").desc(), F.col("user_id").asc()])
-    top = ranked.where(F.col("_rank") <= k).agg(money_sum(F.col("user_total_spending")).alias("top_revenue"))
-    total = users.agg(money_sum(F.col("user_total_spending")).alias("total_revenue"))
+    k = min(k, n)
+    if k == 0:
+        top = users.agg(F.lit(0).cast("decimal(28,2)").alias("top_revenue"))
+    else:
+        v = order_statistics(users, "user_total_spending", [n - k], n, tiebreak=["user_id"])[0]
+        above = users.agg(money_sum(F.when(spend > F.lit(v), spend)).alias("_s"),
+                          F.count_if(spend > F.lit(v)).alias("_c"))
+        top = above.select((F.col("_s") + (F.lit(k) - F.col("_c")) * F.lit(v)).cast("decimal(28,2)")
+                           .alias("top_revenue"))
+    total = users.agg(money_sum(spend).alias("total_revenue"))
     return zip_one_row(top, total).select(
         F.lit(k).cast("bigint").alias("top_users"),
         "top_revenue",
