@@ -97,7 +97,8 @@ def _band_select(v: DataFrame, n: int, pos, bands, interpolate: bool = True) ->
     out = []
     for i, ((lo_rank, hi_rank, t), (lo, hi)) in enumerate(zip(pos, bands)):
         start = below[f"b{i}"]
-        vals = [(x, c) for x, c in counts if lo <= x <= hi]
+        # Spark compared the column with the double edges as doubles; do the same.
+        vals = [(x, c) for x, c in counts if lo <= float(x) <= hi]
         if not (start <= lo_rank and start + sum(c for _, c in vals) > hi_rank):
             return None  # the band missed a rank: use the exact distributed path
 

@@ -73,7 +73,10 @@ def user_features(sessions: DataFrame) -> DataFrame:
         F.sum("purchase_count").alias("total_purchase_count"),
         F.sum("purchase_unique").alias("total_unique_purchase_count"),
         F.sum("view_unique").alias("total_unique_view_count"),
-        mean_exact(F.col("session_duration"), scale=6).alias("user_avg_session_duration"),
+        # durations have microsecond resolution: the mean is rounded half-even
+        # to the microsecond (exact decimal arithmetic)
+        F.bround(F.avg(F.col("session_duration").cast("decimal(28,6)")).cast("decimal(38,16)"), 6)
+         .cast("double").alias("user_avg_session_duration"),
         money_sum(F.col("session_total_spending")).alias("user_total_spending"),
     )
     return (agg

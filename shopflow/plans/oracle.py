@@ -113,12 +113,19 @@ users AS (
     CAST(sum(purchase_count) AS BIGINT) AS total_purchase_count,
     CAST(sum(purchase_unique) AS BIGINT) AS total_unique_purchase_count,
     CAST(sum(view_unique) AS BIGINT) AS total_unique_view_count,
-    avg(session_duration) AS user_avg_session_duration,
+    -- mean duration rounded half-even to the microsecond, in exact integers
+    CASE WHEN count(session_duration) > 0 THEN
+      CAST((sum(dur_us) // count(session_duration)
+            + CASE WHEN 2 * (sum(dur_us) % count(session_duration)) > count(session_duration) THEN 1
+                   WHEN 2 * (sum(dur_us) % count(session_duration)) = count(session_duration)
+                        THEN (sum(dur_us) // count(session_duration)) % 2
+                   ELSE 0 END) AS DOUBLE) / 1e6 END AS user_avg_session_duration,
     coalesce(sum(session_total_spending), 0) AS user_total_spending,
     least(coalesce(CAST(sum(purchase_unique) AS DOUBLE) / nullif(sum(view_unique), 0), 0.0), 1.0)
       AS user_view_to_purchase_rate,
     coalesce(CAST(sum(purchase_count) AS DOUBLE) / nullif(count(*), 0), 0.0) AS user_purchase_per_session
-  FROM sessions GROUP BY user_id
+  FROM (SELECT *, epoch_us(session_ended_at) - epoch_us(session_started_at) AS dur_us FROM sessions)
+  GROUP BY user_id
 ),
 brands AS (
   SELECT brand,

@@ -115,3 +115,19 @@ def test_keep_all_labels(spark):
     out = {r[0]: r[1] for r in keep_all_labels(agg, ORDER_VALUE_LABELS, "order_value_category", {"count": 0}).collect()}
     assert out == {"Small": 0, "Medium": 0, "Large": 3, "Premium": 0}
     assert not math.isnan(1.0)
+
+
+def test_order_statistics_on_decimals(spark):
+    from decimal import Decimal
+    from shopflow.operators import binning
+    vals = [Decimal(str(round(x * 0.37, 2))) for x in range(400)] + [Decimal("12.95")] * 300
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v decimal(18,2)")
+    ranks = [0, 5, 350, 420, 699]
+    exp = [sorted(vals)[r] for r in ranks]
+    assert binning.order_statistics(df, "v", ranks, len(vals), ["id"]) == exp
+    old = binning.MAX_BAND_ROWS
+    binning.MAX_BAND_ROWS = 0
+    try:
+        assert binning.order_statistics(df, "v", ranks, len(vals), ["id"]) == exp
+    finally:
+        binning.MAX_BAND_ROWS = old
