@@ -264,6 +264,14 @@ def text_search(events: DataFrame, pattern: str | None, event_type: str | None =
     return out
 
 
+def search_sample(hits: DataFrame, n: int = 50) -> DataFrame:
+    """The first ``n`` hits in time order (then session and the other
+    columns, so the sample is deterministic); a per-partition top-n."""
+    from shopflow.operators.clean import event_order
+    order = [event_order()[0], F.col("user_session").asc()] + event_order()[1:]
+    return hits.orderBy(*order).limit(n)
+
+
 def top_products(hits: DataFrame, k: int = 10) -> DataFrame:
     """Rows with a null key drop out; spend and event count per
     product, the top ``k`` by spend, with the category's leaf name."""

@@ -231,6 +231,13 @@ GROUP BY product_id, brand, category_code
 ORDER BY coalesce(sum(purchase_spending), 0) DESC, product_id, brand, category_code LIMIT 10""")(
     lambda c: explore.top_products(explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE), 10))
 
+register("search_sample", SEARCH + f"""
+SELECT user_id, user_session, event_type, product_id, brand, category_code, {r6('price', 'price')}, event_time,
+       hour, weekday, month, event_period, {r6('purchase_spending', 'purchase_spending')}
+FROM hits ORDER BY event_time NULLS LAST, user_session, product_id NULLS FIRST, event_type NULLS FIRST,
+         price NULLS FIRST, user_id NULLS FIRST, brand NULLS FIRST, category_code NULLS FIRST LIMIT 50""")(
+    lambda c: explore.search_sample(explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE), 50))
+
 # -- R1-R7 ---------------------------------------------------------------------
 LTV = """
 , ltvq AS (SELECT quantile_cont(CAST(user_total_spending AS DOUBLE), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM users)
