@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio, seconds_between
+from shopflow.functions.numeric import money_sum, safe_ratio, seconds_between
 from shopflow.operators.clean import event_order_key
 from shopflow.schema import EVENT_TYPES
 

@@ -10,7 +10,6 @@ from shopflow.functions.buckets import cut
 from shopflow.functions.numeric import present
 from shopflow.functions.text import leaf_name
 from shopflow.operators.binning import exact_quantiles, qcut_column
-from shopflow.operators.common import zip_one_row
 from shopflow.operators.products import with_efficiency
 from shopflow.operators.retention import SPEND, _fits, _tier_plan
 from shopflow.schema import REPORT_EVENT_BINS, REPORT_SESSION_BINS, REPORT_SESSION_LABELS
@@ -174,5 +173,3 @@ def drop_time_zone(df: DataFrame) -> DataFrame:
     """Zoned timestamps become UTC wall-clock; decimals become double."""
     return present(df)
 
-
-_ = zip_one_row

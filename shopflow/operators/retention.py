@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shopflow.functions.buckets import cut
 from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio
 from shopflow.operators.binning import exact_quantiles, qcut_column, quantile_edges
-from shopflow.operators.common import zip_one_row, zip_rows
+from shopflow.operators.common import zip_rows
 from shopflow.operators.ordered import global_order
 from shopflow.operators.revenue import top_share
 from shopflow.schema import LTV_SMALL_LABELS, LTV_TIER_LABELS
@@ -116,5 +116,3 @@ def pareto_8020(users: DataFrame) -> DataFrame:
     return s.select(F.col("top_users").alias("top_20_pct_users"), F.col("top_revenue").alias("top_20_revenue"),
                     (F.col("top_share") * 100).alias("revenue_concentration_pct"))
 
-
-_ = zip_one_row

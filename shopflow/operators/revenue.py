@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from shopflow.functions.buckets import cut, keep_all_labels
 from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio
 from shopflow.operators.binning import order_statistics, qcut_column, quantile_edges
 from shopflow.operators.common import top_k, zip_one_row
-from shopflow.operators.ordered import global_order
 from shopflow.schema import ORDER_VALUE_BINS, ORDER_VALUE_LABELS, REVENUE_QUINTILE_LABELS
 
 
@@ -124,5 +121,3 @@ def cart_abandonment(sessions: DataFrame) -> DataFrame:
     """Carts without purchase; potential = count x AOV."""
     return sessions.agg(*abandonment_aggs(), *revenue_total_aggs()).select(*abandonment_cols())
 
-
-_ = math  # keep import for callers computing thresholds

@@ -10,15 +10,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shopflow.operators import (
-    behavior, explore, funnel, insights, products, report, retention, revenue, segments, temporal,
-)
-from shopflow.operators.common import zip_one_row
-from shopflow.plans import summary as S
+from shopflow.operators import behavior, explore, funnel, retention, revenue, segments, temporal
 from shopflow.plans.catalog import register
-from shopflow.plans.queries_core import (
-    BREADTH, FUNNEL, LOYALTY, MONTHLY, NZQ4, PEAKS, REVENUE, WEEKEND,
-)
+from shopflow.plans.queries_core import BREADTH, FUNNEL, LOYALTY, MONTHLY, NZQ4, REVENUE, WEEKEND
 from shopflow.plans.sqlfrag import r6
 
 # Fixed query parameters.
