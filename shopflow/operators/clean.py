@@ -51,6 +51,14 @@ def dedupe_events(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def duplicate_report(df: DataFrame) -> DataFrame:
+    """q dedupe_events: raw rows, distinct rows and duplicates in one pass
+    (group counts of the same aggregate the dedupe uses)."""
+    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return groups.agg(F.sum("_n").alias("raw_rows"), F.count(F.lit(1)).alias("distinct_rows")).select(
+        "raw_rows", "distinct_rows", (F.col("raw_rows") - F.col("distinct_rows")).alias("duplicate_rows"))
+
+
 def drop_null_sessions(df: DataFrame) -> DataFrame:
     """C2."""
     return df.where(F.col("user_session").isNotNull())

@@ -8,7 +8,6 @@ body of its DuckDB oracle, which is appended to the shared CTE chain of
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from shopflow.operators import behavior, clean, features, funnel, products, revenue, segments, temporal
 from shopflow.plans.catalog import register
@@ -104,11 +103,7 @@ WEEKEND = """
 # -- cleaning and features -----------------------------------------------------
 register("dedupe_events", """
 SELECT count(*) AS raw_rows, (SELECT count(*) FROM dd) AS distinct_rows,
-       count(*) - (SELECT count(*) FROM dd) AS duplicate_rows FROM raw""")(
-    lambda c: c.events_raw.agg(F.count(F.lit(1)).alias("raw_rows")).join(
-        clean.dedupe_events(c.events_raw).agg(F.count(F.lit(1)).alias("distinct_rows")).hint("broadcast"),
-        how="inner").select("raw_rows", "distinct_rows",
-                            (F.col("raw_rows") - F.col("distinct_rows")).alias("duplicate_rows")))
+       count(*) - (SELECT count(*) FROM dd) AS duplicate_rows FROM raw""")(lambda c: clean.duplicate_report(c.events_raw))
 
 register("clean_events", f"""
 SELECT user_id, user_session, event_type, product_id, brand, category_code, {r6('price', 'price')},
