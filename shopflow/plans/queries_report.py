@@ -195,3 +195,26 @@ SELECT (SELECT count(*) FROM sessions) AS total_sessions, (SELECT count(*) FROM
 
 # The nested summary has no flat SQL equivalent: rows-only check.
 register("summary", None)(lambda c: S.build_summary(c, tag="oracle", generated_at="1970-01-01T00:00:00Z"))
+
+# Scalar fields read back out of the nested summary, checked against SQL:
+# the assembly (A38) gets a value-level oracle, not only a row count.
+register("summary_fields", FACTS + f"""
+SELECT total_sessions, {r6('view_to_cart', 'view_to_cart')}, {r6('total_revenue', 'total_revenue')},
+       {r6('top_10_pct', 'top_10_pct')}, {r6('top_20_pct_of_user_revenue', 'top_20_pct_of_user_revenue')},
+       peak_activity_hour, {r6('multi_category_conversion', 'multi_category_conversion')},
+       CAST((SELECT count(*) FROM msgs WHERE m IS NOT NULL) AS INTEGER) AS n_insights,
+       CAST((SELECT count(*) FROM hourly) AS INTEGER) AS n_hours,
+       CAST((SELECT loyal_user_count FROM loy) AS BIGINT) AS loyal_user_count
+FROM facts, (SELECT coalesce(avg(CASE WHEN n_unique_categories > 1 THEN view_to_purchase_rate END), 0.0)
+                    AS multi_category_conversion FROM sessions)""")(
+    lambda c: S.build_summary(c, tag="check", generated_at="1970-01-01T00:00:00Z").select(
+        F.col("summary.funnel.total_sessions").alias("total_sessions"),
+        F.col("summary.funnel.view_to_cart").alias("view_to_cart"),
+        F.col("summary.revenue.total_revenue").alias("total_revenue"),
+        F.col("summary.revenue.top_10_pct").alias("top_10_pct"),
+        F.col("summary.revenue.top_20_pct_of_user_revenue").alias("top_20_pct_of_user_revenue"),
+        F.col("summary.temporal.peak_activity_hour").alias("peak_activity_hour"),
+        F.col("summary.advanced.multi_category_conversion").alias("multi_category_conversion"),
+        F.size("summary.insights").alias("n_insights"),
+        F.size("summary.temporal.hourly").alias("n_hours"),
+        F.col("summary.segmentation.loyalty.loyal_user_count").alias("loyal_user_count")))

@@ -27,6 +27,7 @@ def test_contract(spark):
     assert set(sql) <= set(qs)
     missing = set(qs) - set(sql)
     assert missing == {"summary"}
+    assert "summary_fields" in sql
     df = E.entry(spark)
     assert df.count() > 0
 
