@@ -106,14 +106,15 @@ def add_event_period(df: DataFrame) -> DataFrame:
                          cut(F.col("hour"), EVENT_PERIOD_BINS, EVENT_PERIOD_LABELS, right=False))
 
 
-def add_session_clock(df: DataFrame) -> DataFrame:
+def add_session_clock(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """session_start, time_since_start, prev_event_gap (seconds).
 
     prev_event_gap is the gap to the previous event of the session in
     ``event_order``; the first event gets 0, as does any gap with a missing
-    time.  Computed with the skew-safe ``keyed_clock``.
+    time.  Computed with the skew-safe ``keyed_clock`` (sessions with more
+    than ``hot_rows`` events are split into time sub-buckets).
     """
-    c = keyed_clock(df, "user_session", "event_time", event_order())
+    c = keyed_clock(df, "user_session", "event_time", event_order(), hot_rows=hot_rows)
     return (c.withColumn("session_start", F.col("_key_first"))
              .withColumn("time_since_start", seconds_between(F.col("session_start"), F.col("event_time")))
              .withColumn("prev_event_gap",

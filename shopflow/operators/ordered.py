@@ -9,11 +9,13 @@ partition is processed by an ordinary window; what crosses a partition
 boundary is carried by a small table with at most one row per
 (partition, key), whose size is bounded by the partition count per key.
 
-The range-partitioned rows are read by two branches of one plan.  Spark
-may run the range exchange once per branch, and its sample is seeded by
-the RDD id, so two runs can draw different bounds.  The partitioned rows
-are therefore checkpointed (reliably, to the session's checkpoint folder)
-once, and both branches read that copy; a lost executor re-reads files.
+In ``global_order`` the range-partitioned rows are read by two branches
+of one plan.  Spark may run the range exchange once per branch, and its
+sample is seeded by the RDD id, so two runs can draw different bounds.
+The partitioned rows are therefore checkpointed (reliably, to the
+session's checkpoint folder) once, and both branches read that copy.
+``keyed_clock`` avoids this altogether: its split points are collected
+once, so the split is deterministic and nothing is materialised.
 """
 
 from __future__ import annotations
@@ -68,29 +70,69 @@ def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (
     return out.drop(*drop)
 
 
+HOT_ROWS = 1_000_000      # a key with more rows than this is split
+MAX_HOT_KEYS = 10_000     # bound on the hot-key list sent to the driver
+MAX_SUB_BUCKETS = 1_000   # bound on time sub-buckets per hot key
+
+
+def _micros(col_name: str, dtype) -> Column:
+    from pyspark.sql import types as T
+    c = F.col(col_name)
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    return F.unix_micros(c)
+
+
 def keyed_clock(df: DataFrame, key: str, time_col: str, order: Sequence[Column],
-                num_partitions: int | None = None) -> DataFrame:
+                hot_rows: int | None = None) -> DataFrame:
     """Per key: ``_key_first`` = min(time) and ``_prev_time`` = time of the
     previous row in ``order`` (null for the first row of a key).
 
     ``order`` starts with the time column (nulls last) and ends with enough
     columns to make it total within a key.
+
+    Keys with at most ``hot_rows`` rows go through an ordinary window on
+    the key.  Hotter keys (found by a partial-aggregated count; at most
+    ``MAX_HOT_KEYS`` of them reach the driver with their time quantiles)
+    are cut into time sub-buckets of about ``hot_rows`` rows; equal times
+    never straddle a cut.  Each (key, sub-bucket) is one window partition,
+    and a small table with one row per (key, sub-bucket) carries the last
+    time of the previous sub-bucket and the key's first time.  Sub-buckets
+    are a pure function of the row and the collected cut points, so a
+    re-run task reproduces them exactly.
     """
-    key_col = F.col(key)
-    r = _range_partition(df, [key_col.asc_nulls_last(), *order], num_partitions)
-    w = Window.partitionBy(PID, key).orderBy(*order)
-    r = (r.withColumn("_prev_local", F.lag(time_col).over(w))
-          .withColumn("_pos_local", F.row_number().over(w)))
-    # Piece of a key inside one range partition -> its first/last time.
-    pieces = r.groupBy(PID, key).agg(F.max(time_col).alias("_piece_max"),
-                                     F.min(time_col).alias("_piece_min"))
-    # A key spans at most num_partitions pieces, so these windows are small.
+    spark = df.sparkSession
+    t_rows = hot_rows or HOT_ROWS
+    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > t_rows)
+             .orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect())
+    micros = _micros(time_col, df.schema[time_col].dataType)
+    if hot:
+        buckets = min(MAX_SUB_BUCKETS, max(2, -(-max(r["_n"] for r in hot) // t_rows)))
+        probs = [i / buckets for i in range(1, buckets)]
+        keys = spark.createDataFrame([(r[key],) for r in hot], df.select(key).schema)
+        cuts = (df.join(F.broadcast(keys), on=key, how="inner")
+                  .groupBy(key).agg(F.percentile_approx(micros, probs, 10_000).alias("_cuts")).collect())
+        cut_df = spark.createDataFrame([(r[key], sorted(set(r["_cuts"] or []))) for r in cuts],
+                                       f"{key} {df.schema[key].dataType.simpleString()}, _cuts array<bigint>")
+        rows = df.join(F.broadcast(cut_df), on=key, how="left")
+        sub = (F.when(F.col("_cuts").isNull(), F.lit(0))
+                .when(F.col(time_col).isNull(), F.lit(buckets))
+                .otherwise(F.size(F.filter(F.col("_cuts"), lambda b: b < micros))))
+        rows = rows.withColumn("_sub", sub).drop("_cuts")
+    else:
+        rows = df.withColumn("_sub", F.lit(0))
+    w = Window.partitionBy(key, "_sub").orderBy(*order)
+    r = (rows.withColumn("_prev_local", F.lag(time_col).over(w))
+             .withColumn("_pos_local", F.row_number().over(w)))
+    pieces = r.groupBy(key, "_sub").agg(F.max(time_col).alias("_piece_max"),
+                                        F.min(time_col).alias("_piece_min"))
+    # One row per (key, sub-bucket): at most MAX_SUB_BUCKETS + 1 per key.
     by_key = Window.partitionBy(key)
     pieces = pieces.select(
-        PID, key,
-        F.lag("_piece_max").over(by_key.orderBy(PID)).alias("_carry"),
+        key, "_sub",
+        F.lag("_piece_max").over(by_key.orderBy("_sub")).alias("_carry"),
         F.min("_piece_min").over(by_key).alias("_key_first"))
-    out = r.join(pieces, on=[PID, key], how="inner")
+    out = r.join(pieces, on=[key, "_sub"], how="inner")
     prev = F.when(F.col("_pos_local") == 1, F.col("_carry")).otherwise(F.col("_prev_local"))
     return (out.withColumn("_prev_time", prev)
-               .drop(PID, "_prev_local", "_pos_local", "_carry"))
+               .drop("_sub", "_prev_local", "_pos_local", "_carry"))

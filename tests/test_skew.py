@@ -50,3 +50,23 @@ def test_hot_session_features_match_brute_force(spark):
     assert (out["category_code"] == exp.loc[out.index, "category_code"]).all()
     assert (out["brand"] == exp.loc[out.index, "brand"]).all()
     assert np.allclose(out["session_total_spending"].astype(float), exp.loc[out.index, "session_total_spending"])
+
+
+def test_hot_session_clock_matches_brute_force(spark):
+    from shopflow.operators.clean import add_session_clock, clean_base
+    rng = np.random.default_rng(8)
+    base = dt.datetime(2024, 5, 4)
+    rows = []
+    for i in range(1200):
+        sess = "hot" if i % 3 else f"s{i % 13}"
+        t = None if i % 101 == 0 else base + dt.timedelta(seconds=int(rng.integers(0, 3000)))
+        rows.append((1, sess, "view", int(rng.integers(0, 50)), "B", None, 1.0 + i, t))
+    b = clean_base(events(spark, rows))
+    got = add_session_clock(b, hot_rows=50).toPandas()
+    pdf = got[["user_session", "event_time", "product_id", "price"]].copy()
+    pdf = pdf.sort_values(["user_session", "event_time", "product_id", "price"], na_position="last")
+    prev = pdf.groupby("user_session")["event_time"].shift(1)
+    gap = (pdf["event_time"] - prev).dt.total_seconds().fillna(0.0)
+    exp = dict(zip(zip(pdf["user_session"], pdf["price"].astype(float)), gap))
+    for r in got.itertuples():
+        assert r.prev_event_gap == exp[(r.user_session, float(r.price))]
