@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,21 @@ def top_k(df: DataFrame, value: str, k: int, key: str | list[str]) -> DataFrame:
 def zip_one_row(*frames: DataFrame) -> DataFrame:
     """Side-by-side columns of several global aggregates.
 
-    Every input is a grouping-free aggregate (exactly one row), so the
-    result is one row; each join is an equi-join on a constant key whose
-    sides are one row each (broadcast).
+    Every input is a grouping-free aggregate (exactly one row).  The frames
+    are stacked with ``unionByName`` (each row fills only its own columns)
+    and folded back into one row with ``first(ignorenulls)``: no join, so
+    no nested-loop or cartesian plan, and the final step reads one row per
+    input frame.
     """
-    out = frames[0].withColumn("_one", F.lit(1))
+    if len(frames) == 1:
+        return frames[0]
+    names: list[str] = []
+    for f in frames:
+        names += [c for c in f.columns if c not in names]
+    stacked = frames[0]
     for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), on="_one", how="inner")
-    return out.drop("_one")
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for c in names])
 
 
 def scalar(df: DataFrame, col: str | None = None):
@@ -36,8 +43,15 @@ def scalar(df: DataFrame, col: str | None = None):
     return row[col] if col else row[0]
 
 
-def zip_rows(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a global aggregate (one row) to every row of
-    ``df``: an equi-join on a constant key with the one-row side broadcast."""
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(one_row.withColumn("_one", F.lit(1))), on="_one", how="inner").drop("_one")
+def attach_total(rows: DataFrame, total: DataFrame, bound: int) -> DataFrame:
+    """Attach the columns of a one-row aggregate to a frame of at most
+    ``bound`` rows (e.g. a top-k list): a window over those few rows, no
+    join."""
+    tag = "_is_total"
+    cols = [c for c in total.columns]
+    stacked = rows.withColumn(tag, F.lit(False)).unionByName(total.withColumn(tag, F.lit(True)),
+                                                           allowMissingColumns=True)
+    whole = Window.partitionBy()
+    out = stacked.select(*[c for c in stacked.columns if c not in cols],
+                         *[F.max(F.col(c)).over(whole).alias(c) for c in cols])
+    return out.where(~F.col(tag)).drop(tag)

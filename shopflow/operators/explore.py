@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio
 from shopflow.functions.text import contains_literal, leaf_name, matches_regex
-from shopflow.operators.common import top_k, zip_one_row, zip_rows
+from shopflow.operators.common import attach_total, top_k, zip_one_row
 from shopflow.schema import DASH_PERIOD_LABELS, ZERO_SPENDER
 
 
@@ -43,7 +43,7 @@ def _shown(matches: DataFrame, key: str, show: int) -> DataFrame:
     first = matches.orderBy(key).limit(show)
     ranked = first.withColumn("match_rank", F.row_number().over(Window.orderBy(key)))
     total = matches.agg(F.count(F.lit(1)).alias("total_matches"))
-    return zip_rows(ranked, total)
+    return attach_total(ranked, total, show)
 
 
 def brand_search(events: DataFrame, term: str, show: int = 5) -> DataFrame:

@@ -41,7 +41,8 @@ def _range_partition(df: DataFrame, order: Sequence[Column], num_partitions: int
 
 def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (),
                  rank_col: str = "_rank", num_partitions: int | None = None) -> DataFrame:
-    """Attach a 1-based global rank and running sums in ``order``.
+    """Attach a 1-based global rank and running sums in ``order``, plus the
+    row count ``_n_total`` and grand totals ``total_<col>``.
 
     ``order`` must be a total order (end it with a unique key) so ties are
     deterministic and the range partitioner can split runs of equal values.
@@ -58,10 +59,13 @@ def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (
     # One row per range partition: bounded by the partition count, so a
     # single-task window and a broadcast are both safe here.
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
     offsets = totals.select(
         PID,
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-        *[F.sum(f"_tot_{s}").over(before).alias(f"_off_{s}") for s in sums])
+        *[F.sum(f"_tot_{s}").over(before).alias(f"_off_{s}") for s in sums],
+        F.sum("_cnt").over(everything).alias("_n_total"),
+        *[F.sum(f"_tot_{s}").over(everything).alias(f"total_{s}") for s in sums])
     out = r.join(F.broadcast(offsets), on=PID, how="inner")
     out = out.withColumn(rank_col, F.col("_off") + F.col("_local_rank"))
     for s in sums:

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import cut
-from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio
+from shopflow.functions.numeric import mean_exact, safe_ratio
 from shopflow.operators.binning import exact_quantiles, qcut_column, quantile_edges
-from shopflow.operators.common import zip_rows
 from shopflow.operators.ordered import global_order
 from shopflow.operators.revenue import top_share
 from shopflow.schema import LTV_SMALL_LABELS, LTV_TIER_LABELS
@@ -101,11 +100,11 @@ def pareto_curve(users: DataFrame, limit: int | None = None) -> DataFrame:
     """
     base = users.select("user_id", SPEND)
     ranked = global_order(base, [F.col(SPEND).desc(), F.col("user_id").asc()], sums=[SPEND])
-    tot = users.agg(F.count(F.lit(1)).alias("_n"), money_sum(F.col(SPEND)).alias("_total"))
-    out = zip_rows(ranked, tot).select(
+    total = F.col(f"total_{SPEND}")
+    out = ranked.select(
         "user_id", SPEND, F.col("_rank").alias("user_rank"),
-        (F.col("_rank") / F.col("_n") * 100).alias("cumulative_users_pct"),
-        F.when(F.col("_total") != 0, F.col(f"cum_{SPEND}").cast("double") / F.col("_total").cast("double") * 100)
+        (F.col("_rank") / F.col("_n_total") * 100).alias("cumulative_users_pct"),
+        F.when(total != 0, F.col(f"cum_{SPEND}").cast("double") / total.cast("double") * 100)
          .alias("cumulative_revenue_pct"))
     return out.where(F.col("user_rank") <= limit) if limit else out
 

@@ -36,3 +36,12 @@ def test_session_features_plan_has_partial_aggregation(spark):
     ctx = ShopContext.for_source(spark, SF001)
     plan = _plan(session_features(ctx.events))
     assert "partial_count" in plan and "Expand" in plan
+
+
+def test_no_cross_joins(spark):
+    import __spark_entry__ as E
+    qs = E.queries()
+    for name in ["summary", "summary_fields", "pareto_curve", "brand_search", "top20pct_share",
+                 "executive_summary", "insights", "behavior_table"]:
+        plan = _plan(qs[name](spark, SF001))
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
