@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import prefix_sums, read_table, stage_path
+from shopflow.llm.common import maybe_broadcast, prefix_sums, read_table, stage_path
 
 LAW = "rows"
 
@@ -61,7 +61,7 @@ def place(buckets: DataFrame, n_shards: int) -> DataFrame:
     counts = buckets.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = prefix_sums(counts, "_bucket", "_n", "_start").select("_bucket", "_start")
     # Shard s holds the positions from floor(s * n_rows / n_shards) up to the next shard's.
-    return (buckets.join(starts, "_bucket")
+    return (buckets.join(maybe_broadcast(starts), "_bucket")
                    .withColumn("position", F.col("_start") + F.col("_pos"))
                    .withColumn("shard", F.expr(f"int(((position + 1) * {n_shards} - 1) div {n_rows})"))
                    .withColumn("slot", F.expr(f"position - (bigint(shard) * {n_rows}) div {n_shards}"))
