@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopflow.llm import sharding
+from shopflow.llm import ngram_join, perplexity, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_ngram_jaccard_join": ngram_join.query,
+    "op5_hierarchical_quality": quality.query,
     "op7_external_shuffle": sharding.query,
+    "op10_ngram_perplexity": perplexity.query,
 }
 
 #: Only where SQL can state the whole result; the tests hold the others

@@ -147,18 +147,27 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE_LOWER = _BYTE[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for i, b in enumerate((_BASE, _BASE_INV)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[i] = np.cumprod(p)
-    return _POWERS[0], _POWERS[1]
+class _Powers:
+    """Powers of the hash base and of its inverse modulo 2**64, made where they are used."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def up_to(self, n: int) -> list[np.ndarray]:
+        if len(self.tables[0]) <= n:
+            for i, b in enumerate((_BASE, _BASE_INV)):
+                p = np.full(max(n + 1, CHUNK_BYTES + 1), b, np.uint64)
+                p[0] = 1
+                self.tables[i] = np.cumprod(p)
+        return self.tables
+
+
+_POWERS = _Powers()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -176,7 +185,7 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     A polynomial over prefix sums: the value of a span does not depend on
     where it stands.
     """
-    power, inverse = _powers(len(values))
+    power, inverse = _POWERS.up_to(len(values))
     prefix = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * power[:len(values)], out=prefix[1:])
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
