@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopflow.llm import ngram_join, perplexity, quality, sharding
+from shopflow.llm import licenses, merkle, ngram_join, packing, perplexity, pieces, quality, secrets, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index_merge": warc.query,
+    "op2_license_diagonals": licenses.query,
     "op3_ngram_jaccard_join": ngram_join.query,
+    "op4_merkle_fingerprints": merkle.query,
     "op5_hierarchical_quality": quality.query,
+    "op6_secret_ownership": secrets.query,
     "op7_external_shuffle": sharding.query,
+    "op8_group_packing": packing.query,
+    "op9_piece_spans": pieces.query,
     "op10_ngram_perplexity": perplexity.query,
 }
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import Words, flat_utf8, materialize, maybe_broadcast, mix64, read_table, text_chunks
+from shopflow.llm.common import Words, flat_utf8, materialize, maybe_broadcast, mix64, read_table, text_chunks, unused_name
 from shopflow.llm.components import connected_components
 
 THRESHOLD = 85      # percent
@@ -324,17 +324,17 @@ def components(docs: DataFrame, text: str = "text", width: int = 4, threshold: i
                         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
-def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", width: int = 4, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (all columns) with one document left of each component.
 
     The document with the smallest doc_id stays; rows that repeat its doc_id
     and text stay with it, and a component without any doc_id stays whole.
     """
-    found = materialize(components(docs, text), "components")
+    found = materialize(components(docs, text, width, threshold), "components")
+    key, digest = unused_name(docs.columns, "gone_id"), unused_name(docs.columns, "gone_hash")
     gone = (found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct())
-    return docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id"))
-                     & F.xxhash64(F.col(text)).eqNullSafe(F.col("_gone_hash")), "left_anti")
+                 .select(F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct())
+    return docs.join(maybe_broadcast(gone), F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text)) == F.col(digest)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
