@@ -15,10 +15,14 @@ corpus; a signature nobody shares costs nothing and is never joined, and of
 the shared ones a set probes the rarest that its H + 1 units still need.
 Sets sharing a probed signature are verified exactly on their shingles, not
 in all pairs: first each against one member (hub) of its signatures, twice
-with different hubs, the links contracted to components in between; then all
-pairs of members of different components.  Pairs inside a component need no
-check, since only components are asked for, so no link between different
-texts is lost.  Equal sets are one class from the start.
+with different hubs, the links contracted to components in between.  Pairs
+inside a component need no check, since only components are asked for.  What
+signatures still leave open between components is narrowed on the shingles
+themselves: only shingles held by several components can make a link between
+them, a set with too few of those has none, and two linked sets share one of
+the rarest (prefix filter); those pairs are verified.  Every step is exact,
+so no link between different texts is lost.  Equal sets are one class from
+the start.
 
 Hot groups: copies collapse to one set; signatures are counted with map-side
 combination; hubs of many sets are salted in the verification join.
@@ -37,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopflow.llm.common import Words, flat_utf8, materialize, maybe_broadcast, mix64, read_table, text_chunks, unused_name
@@ -105,7 +109,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 4) -> tuple
         shingles[full] = mix64(total)
     for i in np.flatnonzero((words.count > 0) & (words.count < width)):
         first, n = words.first[i], words.count[i]
-        shingles[bounds[i]] = mix64((h[first:first + n] * _K[:n]).sum(dtype=np.uint64, keepdims=True) + _K[4 + n:5 + n])[0]
+        shingles[bounds[i]] = mix64((h[first:first + n] * _K[:n]).sum(dtype=np.uint64, keepdims=True) + _K[4:5] * np.uint64(n))[0]
     for i in range(n_docs):
         shingles[bounds[i]:bounds[i + 1]].sort()
     doc = np.repeat(np.arange(n_docs), size)
@@ -247,6 +251,52 @@ def _verified(pairs: DataFrame, shingles: DataFrame, t: int, salt_rows: int = 20
     return both.where(linked).select("a", "b")
 
 
+def _cross_shingles(sets: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(sid, component, n, shingle, holders): the shingles that several components hold."""
+    each = sets.join(shingles, "sid").select("sid", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    holders = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+                   .where("c0 <> c1").select("shingle", "holders"))
+    return each.join(holders, "shingle")
+
+
+def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 2, step: float = 1.03) -> DataFrame:
+    """(a, b): pairs of sets of different components that may be linked.
+
+    A set links to another component only by shingles that component holds
+    (``cross`` of its ``n``), and needs ``t`` percent of its own; sets with
+    fewer drop out, and with them the shingles only they held.  Sizes are put
+    into bins ``step`` apart; for a partner bin a set needs an overlap that
+    grows with the partner, so its prefix (its rarest cross shingles) gets
+    shorter.  The overlap of a pair is at most the smaller ``cross``.
+    """
+    least = F.ceil(F.col("n") * t / 100)
+    for _ in range(passes):
+        sets = materialize(_cross_shingles(sets, shingles).groupBy("sid", "component", "n").agg(F.count(F.lit(1)).alias("cross"))
+                           .where(F.col("cross") >= least).select("sid", "component"), "open")
+
+    def bin_of(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / F.log(F.lit(step)) + 1e-9).cast("int")
+
+    key = Window.partitionBy("sid")
+    ranked = (_cross_shingles(sets, shingles).withColumn("cross", F.count(F.lit(1)).over(key))
+              .withColumn("rank", F.row_number().over(key.orderBy("holders", "shingle")))
+              .where(F.col("rank") <= F.col("cross") - least + 1).withColumn("bin", bin_of(F.col("n"))))
+    partners = F.sequence(bin_of(least), bin_of(F.floor(F.col("n") * 100 / t)))
+    smallest = F.greatest(F.floor(F.pow(F.lit(step), F.col("partner"))), least)
+    overlap = F.ceil(t * (F.col("n") + smallest) / (100 + t))
+    prefix = (ranked.withColumn("partner", F.explode(partners)).where(F.col("rank") <= F.col("cross") - overlap + 1)
+                    .select("sid", "component", "n", "cross", "shingle", F.least("bin", "partner").alias("low"), F.greatest("bin", "partner").alias("high"),
+                            "bin", "partner"))
+    prefix = materialize(prefix, "prefixes")
+    x, y = prefix.alias("x"), prefix.alias("y")
+    same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+    most = F.least("x.cross", "y.cross")
+    close = 100 * most >= t * (F.col("x.n") + F.col("y.n") - most)
+    return (x.join(y, same).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & close
+                                  & (F.col("x.bin") == F.col("y.partner")))
+             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
+
+
 def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(sets, components): a row per document with its set, and (sid, component)
     for every set that shares a link with another."""
@@ -298,11 +348,7 @@ def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold:
             pairs = (known.join(hubs, "sig").where((F.col("sid") != F.col("b")) & (F.col("component") != F.col("cb")))
                           .groupBy(F.col("sid").alias("a")).agg(F.min("b").alias("b")))
         else:
-            open_ = materialize(known.join(hubs.select("sig"), "sig", "left_semi"), "open")
-            one, two = open_.where("probing = 1").alias("x"), open_.where("indexed = 1").alias("y")
-            pairs = (one.join(two, F.col("x.sig") == F.col("y.sig"))
-                        .where((F.col("x.sid") != F.col("y.sid")) & (F.col("x.component") != F.col("y.component")))
-                        .select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct())
+            pairs = _open_pairs(known.join(hubs.select("sig"), "sig", "left_semi").select("sid", "component").distinct(), shingles, threshold)
         found = materialize(_verified(materialize(pairs, "pairs"), shingles, threshold), "links")
         links = found if links is None else links.union(found)
         if not found.isEmpty():
