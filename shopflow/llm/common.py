@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shopflow.session import shared_dir
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Broadcast sides are counted first; beyond this many rows the join shuffles.
 BROADCAST_ROWS = 500_000
