@@ -125,7 +125,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_group(capacity: int):
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(table):
         table = table.sort_by([("row", "ascending"), ("start", "ascending")])
         where, offset = first_fit_decreasing(table.column("length").to_numpy(), capacity)
         group = table.column("group").to_numpy()
