@@ -1,25 +1,25 @@
 """K2 quantile bins with exact, linearly interpolated edges.
 
-Edges are order statistics.  The default path is a two-pass selection:
-``percentile_approx`` (rank error <= n / accuracy) brackets every wanted
-rank in a narrow value band; a second pass counts the rows below each band
-and groups the band's values, and the exact order statistics are read off
-the cumulative counts.  The result is verified against the counts; when a
-band would be too large or the check fails, the distributed rank
-(``global_order``) is used instead.  Only band values and counts reach the
-driver, never the column.  ``approx=True`` returns the approximate edges.
+Edges are order statistics.  Equal values are counted first (a combining
+aggregate, so a value holding a third of all rows is one row afterwards);
+the distinct values are range-partitioned and written in order.  The range
+totals, one number per range, tell which range holds each wanted rank, and
+only in those ranges is a running count taken.  At most two values per
+wanted quantile reach the driver.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import cut
-from shopflow.operators.ordered import global_order
+from shopflow.operators.ordered import PID, ranged
 
 
 def _positions(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -38,90 +38,60 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1 - t) if t >= 0.5 else a + d * t
 
 
-ACCURACY = 100_000
-MAX_BAND_ROWS = 2_000_000
+class OrderStatistics:
+    """Exact values by 0-based ascending rank among a column's non-null values."""
+
+    def __init__(self, df: DataFrame, value: Column):
+        counted = df.select(value.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+        self.rows = ranged(counted, [F.col("_v").asc()])
+        # One row per range.
+        totals = self.rows.groupBy(PID).agg(F.sum("_c").alias("n")).orderBy(PID).collect()
+        self.pids = [r[PID] for r in totals]
+        self.ends = list(accumulate(r["n"] for r in totals))
+        self.n = self.ends[-1] if self.ends else 0
+
+    def at(self, ranks: Sequence[int]) -> dict[int, object]:
+        if not ranks:
+            return {}
+        before = {}
+        for r in set(ranks):
+            i = bisect.bisect_right(self.ends, r)
+            before.setdefault(self.pids[i], (self.ends[i - 1] if i else 0, []))[1].append(r)
+        run = Window.partitionBy(PID).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = self.rows.where(F.col(PID).isin(list(before))).withColumn("_end", F.sum("_c").over(run))
+        hit = None
+        for pid, (start, wanted) in before.items():
+            for r in wanted:
+                c = (F.col(PID) == pid) & (F.col("_end") > r - start) & (F.col("_end") - F.col("_c") <= r - start)
+                hit = c if hit is None else hit | c
+        found = rows.where(hit).select(PID, "_v", "_end", "_c").collect()
+        out = {}
+        for x in found:
+            start, wanted = before[x[PID]]
+            out.update({r: x["_v"] for r in wanted if x["_end"] - x["_c"] <= r - start < x["_end"]})
+        return out
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     tiebreak: Sequence[str] = ()) -> list[float] | None:
     """Linear-interpolated quantiles of the non-null values (numpy method).
 
-    Returns None for an empty column.  ``tiebreak`` columns make the order
-    total for the rank-based fallback.
+    Returns None for an empty column.
     """
-    v = df.select(F.col(value).cast("double").alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
-    eps = 2.0 / ACCURACY
-    approx_p = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
-    head = v.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx("_v", approx_p, ACCURACY).alias("q")).first()
-    n = head["n"]
-    if n == 0:
+    stats = OrderStatistics(df, F.col(value).cast("double"))
+    if not stats.n:
         return None
-    pos = _positions(n, probs)
-    if 4 * n / ACCURACY * len(probs) <= MAX_BAND_ROWS:
-        q = dict(zip(approx_p, head["q"]))
-        bands = [(q[min(1.0, max(0.0, p - eps))], q[min(1.0, max(0.0, p + eps))]) for p in probs]
-        got = _band_select(v, n, pos, bands)
-        if got is not None:
-            return got
-    return _rank_select(v, n, pos, tiebreak)
+    pos = _positions(stats.n, probs)
+    v = stats.at([r for lo, hi, _ in pos for r in (lo, hi)])
+    return [_lerp(v[lo], v[hi], t) for lo, hi, t in pos]
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Sequence[int], n: int,
                      tiebreak: Sequence[str] = ()) -> list:
     """Exact values at 0-based ascending ``ranks`` among the ``n`` non-null
     values of ``value`` (kept in the column's own type, e.g. exact decimals)."""
-    v = df.select(F.col(value).alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
-    pos = [(r, r, 0.0) for r in ranks]
-    if n > 1 and 4 * n / ACCURACY * len(ranks) <= MAX_BAND_ROWS:
-        eps = 2.0 / ACCURACY + 1.0 / n
-        probs = sorted({min(1.0, max(0.0, r / (n - 1) + d)) for r in ranks for d in (-eps, eps)})
-        q = v.agg(F.percentile_approx(F.col("_v").cast("double"), probs, ACCURACY).alias("q")).first()["q"]
-        qm = dict(zip(probs, q))
-        bands = [(qm[min(1.0, max(0.0, r / (n - 1) - eps))], qm[min(1.0, max(0.0, r / (n - 1) + eps))])
-                 for r in ranks]
-        got = _band_select(v, n, pos, bands, interpolate=False)
-        if got is not None:
-            return got
-    return _rank_select(v, n, pos, tiebreak, interpolate=False)
-
-
-def _band_select(v: DataFrame, n: int, pos, bands, interpolate: bool = True) -> list | None:
-    below = v.agg(*[F.count_if(F.col("_v") < F.lit(lo)).alias(f"b{i}")
-                    for i, (lo, _) in enumerate(bands)]).first()
-    inside = None
-    for lo, hi in bands:
-        c = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
-        inside = c if inside is None else (inside | c)
-    counts = sorted((r["_v"], r["count"]) for r in v.where(inside).groupBy("_v").count().collect())
-    out = []
-    for i, ((lo_rank, hi_rank, t), (lo, hi)) in enumerate(zip(pos, bands)):
-        start = below[f"b{i}"]
-        # Spark compared the column with the double edges as doubles; do the same.
-        vals = [(x, c) for x, c in counts if lo <= float(x) <= hi]
-        if not (start <= lo_rank and start + sum(c for _, c in vals) > hi_rank):
-            return None  # the band missed a rank: use the exact distributed path
-
-        def at(rank, vals=vals, start=start):
-            acc = start
-            for x, c in vals:
-                acc += c
-                if rank < acc:
-                    return x
-            return None
-        a, b = at(lo_rank), at(hi_rank)
-        if a is None or b is None:
-            return None
-        out.append(_lerp(a, b, t) if interpolate else a)
-    return out
-
-
-def _rank_select(v: DataFrame, n: int, pos, tiebreak: Sequence[str], interpolate: bool = True) -> list:
-    wanted = sorted({p for lo, hi, _ in pos for p in (lo, hi)})
-    ranked = global_order(v, [F.col("_v").asc(), *[F.col(t).asc() for t in tiebreak]])
-    rows = ranked.where(F.col("_rank").isin([w + 1 for w in wanted])).select("_rank", "_v").collect()
-    at = {r["_rank"] - 1: r["_v"] for r in rows}
-    return [_lerp(at[lo], at[hi], t) if interpolate else at[lo] for lo, hi, t in pos]
+    found = OrderStatistics(df, F.col(value)).at(ranks)
+    return [found[r] for r in ranks]
 
 
 def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],

@@ -85,10 +85,12 @@ def coerce_event_time(df: DataFrame) -> DataFrame:
         ntz = F.timestamp_add("MICROSECOND", F.unix_micros(parsed), _epoch())
     elif isinstance(dt, T.TimestampType):
         ntz = F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch())
-    elif isinstance(dt, T.TimestampNTZType):
-        ntz = c
+    elif isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        ntz = c.cast(T.TimestampNTZType())
+    elif isinstance(dt, (T.LongType, T.IntegerType)):
+        ntz = F.timestamp_add("SECOND", c, _epoch())  # seconds since 1970
     else:
-        ntz = F.lit(None).cast(T.TimestampNTZType())
+        raise TypeError(f"event_time has type {dt.simpleString()}; text, timestamps, dates and epoch seconds are read")
     return df.withColumn("event_time", ntz)
 
 
@@ -106,15 +108,15 @@ def add_event_period(df: DataFrame) -> DataFrame:
                          cut(F.col("hour"), EVENT_PERIOD_BINS, EVENT_PERIOD_LABELS, right=False))
 
 
-def add_session_clock(df: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def add_session_clock(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """session_start, time_since_start, prev_event_gap (seconds).
 
     prev_event_gap is the gap to the previous event of the session in
     ``event_order``; the first event gets 0, as does any gap with a missing
-    time.  Computed with the skew-safe ``keyed_clock`` (sessions with more
-    than ``hot_rows`` events are split into time sub-buckets).
+    time.  Computed with the skew-safe ``keyed_clock``, which may cut any
+    session at any row.
     """
-    c = keyed_clock(df, "user_session", "event_time", event_order(), hot_rows=hot_rows)
+    c = keyed_clock(df, "user_session", "event_time", event_order(), num_partitions)
     return (c.withColumn("session_start", F.col("_key_first"))
              .withColumn("time_since_start", seconds_between(F.col("session_start"), F.col("event_time")))
              .withColumn("prev_event_gap",
@@ -134,10 +136,11 @@ CLEAN_COLUMNS = ["user_id", "user_session", "event_type", "product_id", "brand",
                  "time_since_start", "prev_event_gap", "purchase_spending"]
 
 
-def clean_base(df: DataFrame) -> DataFrame:
+def clean_base(df: DataFrame, dedupe: bool = True) -> DataFrame:
     """Everything but the per-session ordering (C7-C9),
-    which no feature table needs."""
-    out = dedupe_events(df)
+    which no feature table needs.  ``dedupe=False``: the rows were already
+    deduplicated on all their raw columns."""
+    out = dedupe_events(df) if dedupe else df
     out = drop_null_sessions(out)
     out = fill_brand(out)
     out = coerce_event_time(out)
@@ -147,9 +150,9 @@ def clean_base(df: DataFrame) -> DataFrame:
     return out.select(*[c for c in CLEAN_COLUMNS if c in out.columns])
 
 
-def clean_events(df: DataFrame, with_clock: bool = True) -> DataFrame:
+def clean_events(df: DataFrame, with_clock: bool = True, dedupe: bool = True) -> DataFrame:
     """C1-C10 in the reference order."""
-    base = clean_base(df)
+    base = clean_base(df, dedupe)
     if not with_clock:
         return base
     return add_session_clock(base).select(*CLEAN_COLUMNS)

@@ -97,9 +97,9 @@ def filtered_kpis(events: DataFrame) -> DataFrame:
     *event*, unlike A23's per-session mean."""
     s = _session_flags(events).agg(
         F.count(F.lit(1)).alias("total_sessions"),
-        F.sum("has_view").cast("bigint").alias("sessions_with_views"),
-        F.sum("has_cart").cast("bigint").alias("sessions_with_carts"),
-        F.sum("has_purchase").cast("bigint").alias("sessions_with_purchases"),
+        *[F.coalesce(F.sum(flag), F.lit(0)).cast("bigint").alias(name) for flag, name in (
+            ("has_view", "sessions_with_views"), ("has_cart", "sessions_with_carts"),
+            ("has_purchase", "sessions_with_purchases"))],
         money_sum(F.col("purchase_spend")).alias("total_revenue"),
         F.sum("purchase_priced").alias("_priced"),
     )
@@ -109,7 +109,7 @@ def filtered_kpis(events: DataFrame) -> DataFrame:
         "total_revenue",
         (safe_ratio(F.col("sessions_with_carts"), v) * 100).alias("view_to_cart_rate"),
         (safe_ratio(F.col("sessions_with_purchases"), v) * 100).alias("view_to_purchase_rate"),
-        F.try_divide(F.col("total_revenue").cast("decimal(28,2)"), F.col("_priced")).cast("double")
+        F.coalesce(F.try_divide(F.col("total_revenue").cast("decimal(28,2)"), F.col("_priced")).cast("double"), F.lit(0.0))
          .alias("avg_order_value"),
     )
 

@@ -20,9 +20,22 @@ def _first_non_null(name: str):
 
 def session_unique_products(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
     """distinct products per session and event type, 0 when absent."""
-    return events.groupBy("user_session").agg(*[
-        F.count_distinct(F.when(F.col("event_type") == t, F.col("product_id"))).alias(f"{t}_unique")
-        for t in sorted(types)])
+    return distinct_by_type(events, "user_session", types, suffix="_unique")
+
+
+def distinct_by_type(events: DataFrame, key: str, types: Sequence[str], *extra, suffix: str = "") -> DataFrame:
+    """Distinct products per ``key`` and event type by grouping twice.
+
+    The first group-by, on (key, type, product), combines before its shuffle
+    and spreads a hot key by product; the second counts its groups.  No row
+    is multiplied, unlike several distinct counts in one aggregate.
+    ``extra``: (name, sum column) pairs carried along.
+    """
+    once = events.groupBy(key, "event_type", "product_id").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(name) for name, c in extra])
+    named = F.col("product_id").isNotNull()
+    return once.groupBy(key).agg(
+        *[F.count_if((F.col("event_type") == t) & named).alias(f"{t}{suffix}") for t in sorted(types)],
+        *[money_sum(F.col(name)).alias(name) for name, _ in extra])
 
 
 def session_features(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
@@ -91,11 +104,8 @@ def entity_features(events: DataFrame, key: str, rate_name: str,
                     types: Sequence[str] = EVENT_TYPES) -> DataFrame:
     """Distinct products per type, purchase/view rate and purchase
     spending for one entity column; rows with a null key drop out."""
-    t = F.col("event_type")
-    agg = events.where(F.col(key).isNotNull()).groupBy(key).agg(
-        *[F.count_distinct(F.when(t == x, F.col("product_id"))).alias(x) for x in sorted(types)],
-        money_sum(F.when(t == "purchase", F.col("purchase_spending"))).alias("purchase_spending"),
-    )
+    spend = F.when(F.col("event_type") == "purchase", F.col("purchase_spending"))
+    agg = distinct_by_type(events.where(F.col(key).isNotNull()), key, types, ("purchase_spending", spend))
     cols = [key, *sorted(types), rate_name, "purchase_spending"]
     return agg.withColumn(rate_name, safe_ratio(F.col("purchase"), F.col("view"))).select(*cols)
 

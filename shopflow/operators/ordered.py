@@ -4,39 +4,45 @@ A window with ``partitionBy(key)`` puts every row of a key into one task,
 and a window with no partition key puts the whole table into one task.
 Both break when one key holds a third of all rows.  The kernels below
 range-partition on the full sort order instead: Spark samples the order
-columns, so a hot key is split across several balanced partitions.  Each
-partition is processed by an ordinary window; what crosses a partition
-boundary is carried by a small table with at most one row per
-(partition, key), whose size is bounded by the partition count per key.
-
-In ``global_order`` the range-partitioned rows are read by two branches
-of one plan.  Spark may run the range exchange once per branch, and its
-sample is seeded by the RDD id, so two runs can draw different bounds.
-The partitioned rows are therefore checkpointed (reliably, to the
-session's checkpoint folder) once, and both branches read that copy.
-``keyed_clock`` avoids this altogether: its split points are collected
-once, so the split is deterministic and nothing is materialised.
+columns, so a hot key, even one whose rows share a timestamp or have none,
+is split across several balanced ranges.  The ranged rows are written once,
+in order, to the shared folder; what crosses a range boundary is carried by
+a table with one row per range.  One method serves every key and size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopflow.session import shared_dir, shuffle_partitions
 
 PID = "_pid"
+_ORDINAL_BITS = 33  # of monotonically_increasing_id: the place within a partition
 
 
-def _range_partition(df: DataFrame, order: Sequence[Column], num_partitions: int | None) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/shopflow/ordered/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``order``, with the range number
+    ``_pid`` (ascending in ``order``) and the 0-based place ``_at`` in it;
+    written once, so every later reader sees the same ranges."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    shared_dir(df.sparkSession)  # make sure a checkpoint folder is set
-    # Range partitions are numbered in sort order, so the partition id is
-    # the coarse position of a row in the total order.
-    ranged = df.repartitionByRange(n, *order).withColumn(PID, F.spark_partition_id())
-    return ranged.checkpoint(eager=True)
+    place = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", place)
+    return _written(rows.withColumn(PID, F.shiftright("_id", _ORDINAL_BITS).cast("int"))
+                        .withColumn("_at", F.col("_id").bitwiseAND((1 << _ORDINAL_BITS) - 1)).drop("_id"))
 
 
 def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (),
@@ -48,16 +54,14 @@ def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (
     deterministic and the range partitioner can split runs of equal values.
     Running sums are inclusive of the current row.
     """
-    r = _range_partition(df, order, num_partitions)
-    w = Window.partitionBy(PID).orderBy(*order)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = r.withColumn("_local_rank", F.row_number().over(w))
+    r = ranged(df, order, num_partitions)
+    running = Window.partitionBy(PID).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for s in sums:
         r = r.withColumn(f"_run_{s}", F.sum(s).over(running))
     totals = r.groupBy(PID).agg(
         F.count(F.lit(1)).alias("_cnt"), *[F.sum(s).alias(f"_tot_{s}") for s in sums])
-    # One row per range partition: bounded by the partition count, so a
-    # single-task window and a broadcast are both safe here.
+    # One row per range: bounded by the partition count, so a single-task
+    # window and a broadcast are both safe here.
     before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     offsets = totals.select(
@@ -67,76 +71,79 @@ def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (
         F.sum("_cnt").over(everything).alias("_n_total"),
         *[F.sum(f"_tot_{s}").over(everything).alias(f"total_{s}") for s in sums])
     out = r.join(F.broadcast(offsets), on=PID, how="inner")
-    out = out.withColumn(rank_col, F.col("_off") + F.col("_local_rank"))
+    out = out.withColumn(rank_col, F.col("_off") + F.col("_at") + 1)
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.coalesce(F.col(f"_off_{s}"), F.lit(0)) + F.col(f"_run_{s}"))
-    drop = [PID, "_local_rank", "_off"] + [f"_run_{s}" for s in sums] + [f"_off_{s}" for s in sums]
+    drop = [PID, "_at", "_off"] + [f"_run_{s}" for s in sums] + [f"_off_{s}" for s in sums]
     return out.drop(*drop)
 
 
-HOT_ROWS = 1_000_000      # a key with more rows than this is split
-MAX_HOT_KEYS = 10_000     # bound on the hot-key list sent to the driver
-MAX_SUB_BUCKETS = 1_000   # bound on time sub-buckets per hot key
-
-
-def _micros(col_name: str, dtype) -> Column:
-    from pyspark.sql import types as T
-    c = F.col(col_name)
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
-    return F.unix_micros(c)
+def _clock_rows(key: str, time_col: str, names: list[str]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Previous row's time and the key's first time, as far as this range knows."""
+        own, at = TaskContext.get().partitionId(), 0
+        last_key = last_time = first_time = None
+        head = True  # still inside the range's first key
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, times = batch.column(batch.schema.get_field_index(key)), batch.column(batch.schema.get_field_index(time_col))
+            before = pa.concat_arrays([pa.array([last_key], keys.type), keys.slice(0, n - 1)])
+            same = pc.fill_null(pc.equal(keys, before), False)
+            if not at:
+                same = pc.if_else(pc.equal(pa.array(range(n)), 0), False, same)
+            prev = pa.concat_arrays([pa.array([last_time], times.type), times.slice(0, n - 1)])
+            # Forward-fill the time at which the key's run began.
+            began = pc.if_else(same, pa.scalar(None, pa.int64()), pa.array(range(n), pa.int64()))
+            filled = pc.fill_null_forward(began)
+            carried = pc.is_null(filled)
+            first = pc.if_else(carried, pa.scalar(first_time, times.type), times.take(pc.fill_null(filled, 0)))
+            new_runs = pc.cumulative_sum(pc.cast(pc.invert(same), pa.int64()))
+            in_head = pc.less_equal(new_runs, 1 if not at else 0) if head else pa.array([False] * n)
+            place = pa.array(range(at, at + n), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([own] * n, pa.int32()), place, pc.if_else(same, prev, pa.scalar(None, times.type)),
+                 first, in_head], names=names)
+            head = head and bool(in_head[n - 1].as_py())
+            last_key, last_time, first_time = keys[n - 1].as_py(), times[n - 1].as_py(), first[n - 1].as_py()
+            at += n
+    return rows
 
 
 def keyed_clock(df: DataFrame, key: str, time_col: str, order: Sequence[Column],
-                hot_rows: int | None = None) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Per key: ``_key_first`` = min(time) and ``_prev_time`` = time of the
     previous row in ``order`` (null for the first row of a key).
 
     ``order`` starts with the time column (nulls last) and ends with enough
-    columns to make it total within a key.
-
-    Keys with at most ``hot_rows`` rows go through an ordinary window on
-    the key.  Hotter keys (found by a partial-aggregated count; at most
-    ``MAX_HOT_KEYS`` of them reach the driver with their time quantiles)
-    are cut into time sub-buckets of about ``hot_rows`` rows; equal times
-    never straddle a cut.  Each (key, sub-bucket) is one window partition,
-    and a small table with one row per (key, sub-bucket) carries the last
-    time of the previous sub-bucket and the key's first time.  Sub-buckets
-    are a pure function of the row and the collected cut points, so a
-    re-run task reproduces them exactly.
+    columns to make it total within a key.  Rows are range-partitioned on
+    (key, order), so any run of rows may be cut, and each range is scanned
+    once in order.  Only the first key of a range can have begun before it:
+    a table with one row per range carries the last time before the range
+    and the first time of that key.
     """
-    spark = df.sparkSession
-    t_rows = hot_rows or HOT_ROWS
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > t_rows)
-             .orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect())
-    micros = _micros(time_col, df.schema[time_col].dataType)
-    if hot:
-        buckets = min(MAX_SUB_BUCKETS, max(2, -(-max(r["_n"] for r in hot) // t_rows)))
-        probs = [i / buckets for i in range(1, buckets)]
-        keys = spark.createDataFrame([(r[key],) for r in hot], df.select(key).schema)
-        cuts = (df.join(F.broadcast(keys), on=key, how="inner")
-                  .groupBy(key).agg(F.percentile_approx(micros, probs, 10_000).alias("_cuts")).collect())
-        cut_df = spark.createDataFrame([(r[key], sorted(set(r["_cuts"] or []))) for r in cuts],
-                                       f"{key} {df.schema[key].dataType.simpleString()}, _cuts array<bigint>")
-        rows = df.join(F.broadcast(cut_df), on=key, how="left")
-        sub = (F.when(F.col("_cuts").isNull(), F.lit(0))
-                .when(F.col(time_col).isNull(), F.lit(buckets))
-                .otherwise(F.size(F.filter(F.col("_cuts"), lambda b: b < micros))))
-        rows = rows.withColumn("_sub", sub).drop("_cuts")
-    else:
-        rows = df.withColumn("_sub", F.lit(0))
-    w = Window.partitionBy(key, "_sub").orderBy(*order)
-    r = (rows.withColumn("_prev_local", F.lag(time_col).over(w))
-             .withColumn("_pos_local", F.row_number().over(w)))
-    pieces = r.groupBy(key, "_sub").agg(F.max(time_col).alias("_piece_max"),
-                                        F.min(time_col).alias("_piece_min"))
-    # One row per (key, sub-bucket): at most MAX_SUB_BUCKETS + 1 per key.
-    by_key = Window.partitionBy(key)
-    pieces = pieces.select(
-        key, "_sub",
-        F.lag("_piece_max").over(by_key.orderBy("_sub")).alias("_carry"),
-        F.min("_piece_min").over(by_key).alias("_key_first"))
-    out = r.join(pieces, on=[key, "_sub"], how="inner")
-    prev = F.when(F.col("_pos_local") == 1, F.col("_carry")).otherwise(F.col("_prev_local"))
-    return (out.withColumn("_prev_time", prev)
-               .drop("_sub", "_prev_local", "_pos_local", "_carry"))
+    time_type = df.schema[time_col].dataType
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    names = [*df.columns, PID, "_at", "_prev_local", "_first_local", "_head"]
+    schema = T.StructType([*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField("_at", T.LongType()),
+                           T.StructField("_prev_local", time_type), T.StructField("_first_local", time_type),
+                           T.StructField("_head", T.BooleanType())])
+    by = [F.col(key).asc(), *order]
+    rows = _written(df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+                      .mapInArrow(_clock_rows(key, time_col, names), schema))
+    edge = F.struct(F.col(key).alias("key"), F.col(time_col).alias("time"), F.col("_first_local").alias("first"), "_head")
+    ends = rows.groupBy(PID).agg(F.min_by(F.col(key), "_at").alias("first_key"), F.max_by(edge, "_at").alias("last"))
+    # One row per range (bounded by the partition count).
+    ranges = Window.orderBy(PID)
+    joined = F.lag("last.key").over(ranges).eqNullSafe(F.col("first_key"))
+    ends = ends.select(PID, "last", joined.alias("joined"), F.lag("last.time").over(ranges).alias("_carry"))
+    # A range that is one key's middle knows no first time; take the nearest that does.
+    knows = F.when(~(F.col("joined") & F.col("last._head")), F.struct(F.col("last.first").alias("t")))
+    ends = ends.withColumn("known", F.last(knows, ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = ends.select(PID, "joined", "_carry", F.lag("known").over(ranges).getField("t").alias("_began"))
+    out = rows.join(F.broadcast(ends), PID)
+    inside = F.col("_head") & F.col("joined")
+    return (out.withColumn("_key_first", F.when(inside, F.col("_began")).otherwise(F.col("_first_local")))
+               .withColumn("_prev_time", F.when(inside & (F.col("_at") == 0), F.col("_carry")).otherwise(F.col("_prev_local")))
+               .drop(PID, "_at", "_prev_local", "_first_local", "_head", "joined", "_carry", "_began"))

@@ -18,7 +18,7 @@ from shopflow.operators.features import (
 from shopflow.plans.context import ShopContext
 from shopflow.plans.summary import build_summary
 from shopflow.schema import EVENT_TYPES
-from shopflow.sources.events import read_clean, read_events, write_clean
+from shopflow.sources.events import read_clean, read_distinct_events, write_clean
 from shopflow.sources.features import read_features, write_features
 from shopflow.sources.summary import baseline_funnel, read_summary, write_summary
 
@@ -43,8 +43,8 @@ def _cleaned_path(cfg: PipelineConfig) -> str:
 
 def run_cleaning(spark: SparkSession, cfg: PipelineConfig) -> None:
     raw_path = cfg.raw_path or f"{cfg.base_path.rstrip('/')}/data/raw/events.csv"
-    raw = read_events(spark, raw_path, cfg.raw_format)
-    write_clean(clean_events(raw), _cleaned_path(cfg), cfg.partition_by)
+    raw = read_distinct_events(spark, raw_path, cfg.raw_format)
+    write_clean(clean_events(raw, dedupe=False), _cleaned_path(cfg), cfg.partition_by)
 
 
 def run_features(spark: SparkSession, cfg: PipelineConfig) -> None:

@@ -12,32 +12,23 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.functions.numeric import money_sum
+from shopflow.functions.numeric import money_sum, nan_to_null, present
 from shopflow.operators import behavior, funnel, insights, products, revenue, segments, temporal
 from shopflow.operators.common import zip_one_row
 from shopflow.plans.context import ShopContext
-from shopflow.schema import TIME_PERIOD_LABELS, ZERO_SPENDER
+from shopflow.schema import TIME_PERIOD_LABELS
 
 FUNNEL_COUNTS = ["total_sessions", "sessions_with_views", "sessions_with_carts", "sessions_with_purchases"]
 RATES = ["view_to_cart", "cart_to_purchase", "view_to_purchase"]
 
 
-def loyalty_facts(loyalty: DataFrame) -> DataFrame:
-    """Always one row, whether or not both cohorts exist."""
-    return loyalty.agg(
-        (F.count(F.lit(1)) > 0).alias("has_loyalty"),
-        F.max("loyal_user_count").alias("loyal_user_count"),
-        F.max("casual_user_count").alias("casual_user_count"),
-        F.max("loyal_user_avg_spend").alias("loyal_user_avg_spend"),
-        F.max("casual_user_avg_spend").alias("casual_user_avg_spend"))
-
-
-def zero_spender_share(stats: DataFrame) -> DataFrame:
-    z = F.when(F.col("spending_segment") == ZERO_SPENDER, F.col("user_count"))
-    return stats.agg((F.sum(z) / (F.sum("user_count") + F.lit(1e-9))).alias("zero_spender_share"))
+def zero_spender_share() -> Column:
+    """Share of users without spending; null when nobody is a zero spender."""
+    zero = F.count(F.when(~F.coalesce(F.col("user_total_spending") > 0, F.lit(False)), F.col("user_id")))
+    return (F.when(zero > 0, zero) / (F.count("user_id") + F.lit(1e-9))).alias("zero_spender_share")
 
 
 class Parts:
@@ -62,7 +53,8 @@ class Parts:
     @property
     def user_scalars(self) -> DataFrame:
         return self.get("us", lambda: self.ctx.users.agg(
-            *segments.loyalty_aggs(), money_sum(F.col("user_total_spending")).alias("_user_revenue")))
+            *segments.loyalty_aggs(), money_sum(F.col("user_total_spending")).alias("_user_revenue"),
+            zero_spender_share()))
 
     @property
     def segmented(self):
@@ -96,8 +88,7 @@ class Parts:
         """One row with every scalar metric and fact (and the baseline
         rates as ``b_<rate>`` when given)."""
         frames = [self.session_scalars, self.user_scalars, self.top10_sum,
-                  self.top20.select("top_20_pct_of_user_revenue"), self.peaks,
-                  zero_spender_share(self.segment_stats)]
+                  self.top20.select("top_20_pct_of_user_revenue"), self.peaks]
         if baseline is not None:
             frames.append(baseline.select(*[F.col(k).cast("double").alias(f"b_{k}") for k in RATES]))
         w = zip_one_row(*frames)
@@ -110,10 +101,6 @@ class Parts:
             segments.has_both_cohorts().alias("has_loyalty"))
 
 
-def facts(ctx: ShopContext, parts: Parts | None = None) -> DataFrame:
-    return (parts or Parts(ctx)).wide()
-
-
 def insight_list(ctx: ShopContext, baseline: DataFrame | None = None, parts: Parts | None = None) -> DataFrame:
     p = parts or Parts(ctx)
     return p.wide(baseline).select(
@@ -122,13 +109,19 @@ def insight_list(ctx: ShopContext, baseline: DataFrame | None = None, parts: Par
 
 
 def _rows(df: DataFrame, order: str, alias: str) -> DataFrame:
-    """A small table (<= 24 rows) as one sorted array-of-structs column."""
-    return df.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_k"), *df.columns)))
-                  .alias("_a")).select(F.transform("_a", lambda x: x.dropFields("_k")).alias(alias))
+    """A small table (<= 24 rows) as one sorted array-of-structs column.
+
+    Helper columns (leading underscore) order the rows and stay outside the
+    structs; NaN and infinities become null (A37).
+    """
+    shown = present(df.select(*[c for c in df.columns if not c.startswith("_")], F.col(order).alias("_k")))
+    names = [c for c in shown.columns if c != "_k"]
+    return shown.agg(F.sort_array(F.collect_list(F.struct("_k", *names))).alias("_a")).select(
+        F.transform("_a", lambda x: x.dropFields("_k")).alias(alias))
 
 
 def _label_map(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
-    return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value).cast("double")))).alias(alias))
+    return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), nan_to_null(F.col(value).cast("double"))))).alias(alias))
 
 
 def _struct(*cols: str):
@@ -161,7 +154,7 @@ def build_summary(ctx: ShopContext, tag: str = "run", baseline: DataFrame | None
         _label_map(revenue.revenue_quintiles(u), "revenue_quintile", "user_total_spending", "segment_revenue"),
         _rows(behavior.session_quality(s), "session_quality", "quality_analysis"),
     ]
-    w = zip_one_row(p.wide(baseline), *lists)
+    w = present(zip_one_row(p.wide(baseline), *lists))
     loyalty = F.when(F.col("has_loyalty"), _struct(*segments.LOYALTY_COLUMNS))
     sections = {
         "funnel": F.struct(*[F.col(x) for x in FUNNEL_COUNTS + RATES], F.col("duration_bucket_conversion")),

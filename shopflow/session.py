@@ -51,8 +51,10 @@ def get_spark(master: str | None = None, app_name: str = "shopflow",
 def shared_dir(spark: SparkSession) -> str:
     """Folder for stage tables that every executor can read.
 
-    On a cluster this is the folder named by ``spark.checkpoint.dir``.  Only
-    when the session has none (local tests) is a private one created.
+    This is the folder named by ``spark.checkpoint.dir``.  A session on a
+    cluster must have one: executors cannot see each other's disks.  Only a
+    session whose executors are threads of this process (``local[...]``)
+    gets a private folder when it has none.
     """
     with _LOCK:
         sc = spark.sparkContext
@@ -60,6 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not path:
             path = spark.conf.get("spark.checkpoint.dir", None)
             if not path:
+                if not sc.master.split("[")[0] == "local":
+                    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
                 path = tempfile.mkdtemp(prefix="shopflow-ckpt-")
             sc.setCheckpointDir(path)
             path = sc.getCheckpointDir() or path

@@ -9,23 +9,36 @@ from shopflow.schema import EVENTS_RAW_CSV
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw event log with a fixed schema (no inference).
+    """Raw event log: every column of the file, values as written.
 
-    CSV keeps ``event_time`` as text; the cleaning step parses it, turning
-    bad text into null.  Parquet input is projected onto the same columns.
+    C1 removes rows that are equal in *all* columns, so nothing is dropped or
+    rounded here; ``typed_events`` projects and casts after the dedupe.  CSV
+    fields are text.
     """
     if fmt == "csv":
-        # Columns are matched by header name (any order); every field is read
-        # as text and cast, so a malformed number becomes null, not an error.
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        return df.select(*[(F.col(f.name) if f.name == "event_time"
-                            else F.col(f.name).try_cast(f.dataType)).alias(f.name)
-                           for f in EVENTS_RAW_CSV.fields])
-    df = spark.read.format(fmt).load(path)
-    return df.select(*[F.col(f.name).cast(f.dataType) if f.name != "event_time" else F.col("event_time")
+        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return spark.read.format(fmt).load(path)
+
+
+def typed_events(df: DataFrame) -> DataFrame:
+    """The eight analysis columns in their fixed types, matched by name.
+
+    A malformed number becomes null, not an error; ``event_time`` keeps its
+    type for the cleaning step to parse.
+    """
+    return df.select(*[(F.col(f.name) if f.name == "event_time" else F.col(f.name).try_cast(f.dataType)).alias(f.name)
                        for f in EVENTS_RAW_CSV.fields])
 
 
+def read_distinct_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """IO1 then C1: whole rows deduplicated as written, then typed.
+
+    The rows that come out may be equal in the typed columns (they differed
+    elsewhere) and must all stay: use ``clean_base(..., dedupe=False)``.
+    """
+    return typed_events(read_events(spark, path, fmt).dropDuplicates())
+
+
 def read_clean(spark: SparkSession, path: str) -> DataFrame:
     """IO2: cleaned events as written by ``write_clean``."""
     return spark.read.parquet(path)

@@ -15,30 +15,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one test table.
-
-    A file written as a single row group is read by a single task; when the
-    scan has fewer splits than the cluster has cores it is spread
-    round-robin first.  Real inputs (many files or row groups) already have
-    enough splits and are left alone.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores and _rows_hint(df) > 50_000:
-        df = df.repartition(cores)
-    return df
-
-
-def _rows_hint(df: DataFrame) -> int:
-    """Row count from parquet footers (no data scan)."""
-    try:
-        import pyarrow.parquet as pq
-        total = 0
-        for f in df.inputFiles():
-            total += pq.ParquetFile(f.replace("file://", "").replace("file:", "")).metadata.num_rows
-        return total
-    except Exception:  # noqa: BLE001 - remote stores: assume large
-        return 1 << 30
+    """Scan one test table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shop_events_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

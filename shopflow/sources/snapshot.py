@@ -8,6 +8,7 @@ as text are restored on load, unparseable text becoming null.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,9 @@ def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     for name in SNAPSHOT_TABLES:
         try:
             df = spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except Exception:  # noqa: BLE001 - a missing table is simply absent
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # only a table that is not there may be left out
             continue
         out[name] = _restore(df, _TIME_COLUMNS.get(name, ()))
     return out

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from shopflow.functions.numeric import present
 
 
+FUNNEL_COUNTS = ("total_sessions", "sessions_with_views", "sessions_with_carts", "sessions_with_purchases")
+FUNNEL_RATES = ("view_to_cart", "cart_to_purchase", "view_to_purchase")
+
+
 def write_summary(summary: DataFrame, output_dir: str, tag: str) -> str:
     """IO7: the one-row ``{generated_at, tag, summary}`` frame as JSON at
     ``output_dir/summary_<tag>``.  One row, so one file."""
@@ -19,15 +23,21 @@ def write_summary(summary: DataFrame, output_dir: str, tag: str) -> str:
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """IO4: a summary written by ``write_summary`` (or any JSON document
-    with a ``summary.funnel`` section)."""
-    return spark.read.option("multiLine", True).json(path)
+    """IO4: the baseline part of a stored summary, by a fixed schema.
+
+    A document without ``summary``, ``funnel`` or one of the rates reads as
+    null there instead of failing.
+    """
+    funnel = ", ".join([f"{k}: bigint" for k in FUNNEL_COUNTS] + [f"{k}: double" for k in FUNNEL_RATES])
+    return spark.read.option("multiLine", True).schema(
+        f"generated_at string, tag string, summary struct<funnel: struct<{funnel}>, insights: array<string>>").json(path)
 
 
 def baseline_funnel(summary: DataFrame) -> DataFrame:
-    """The three funnel rates of a stored summary, as a one-row frame."""
-    keys = ("view_to_cart", "cart_to_purchase", "view_to_purchase")
-    return summary.select(*[F.col(f"summary.funnel.{k}").cast("double").alias(k) for k in keys]).limit(1)
+    """The three funnel rates of a stored summary as one row; no row when it
+    has no funnel (then there are no alerts), 0 for a rate it lacks."""
+    return (summary.where(F.col("summary.funnel").isNotNull())
+                   .select(*[F.coalesce(F.col(f"summary.funnel.{k}"), F.lit(0.0)).alias(k) for k in FUNNEL_RATES]).limit(1))
 
 
 def _sheet_dir(name: str) -> str:

@@ -13,7 +13,9 @@ def start_ingest(spark: SparkSession, source_dir: str, cleaned_dir: str, checkpo
                  fmt: str = "csv", trigger_once: bool = False) -> StreamingQuery:
     """Watch ``source_dir`` for new event files; each micro-batch is cleaned
     (C1-C6, C10: duplicates inside the batch removed, null sessions dropped,
-    brand filled, times parsed) and appended to ``cleaned_dir``.
+    brand filled, times parsed) and written to its own folder
+    ``batch_id=<n>`` of ``cleaned_dir``.  Copies of a row in different
+    batches are left to the batch stage's C1.
 
     The per-session clock (C7-C9) needs whole sessions and stays in the
     batch stage.  Progress lives in ``checkpoint_dir`` (a shared folder),
@@ -24,8 +26,9 @@ def start_ingest(spark: SparkSession, source_dir: str, cleaned_dir: str, checkpo
         reader = reader.option("header", True)
     stream = reader.format(fmt).load(source_dir)
 
-    def write_batch(batch: DataFrame, _batch_id: int) -> None:
-        clean_base(batch).write.mode("append").parquet(cleaned_dir)
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        # A replayed batch replaces its own folder, so it adds no row twice.
+        clean_base(batch).write.mode("overwrite").parquet(f"{cleaned_dir.rstrip('/')}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")

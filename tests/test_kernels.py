@@ -46,15 +46,6 @@ def test_quantiles_match_numpy(spark):
     exp = np.quantile(vals, probs)
     got = exact_quantiles(df, "v", probs, tiebreak=["id"])
     assert got == pytest.approx(list(exp), rel=0, abs=1e-12)
-    # the distributed rank path gives the same edges
-    from shopflow.operators import binning
-    old = binning.MAX_BAND_ROWS
-    binning.MAX_BAND_ROWS = 0
-    try:
-        got = exact_quantiles(df, "v", probs, tiebreak=["id"])
-    finally:
-        binning.MAX_BAND_ROWS = old
-    assert got == pytest.approx(list(exp), rel=0, abs=1e-12)
 
 
 def test_qcut_matches_pandas(spark):
@@ -125,9 +116,3 @@ def test_order_statistics_on_decimals(spark):
     ranks = [0, 5, 350, 420, 699]
     exp = [sorted(vals)[r] for r in ranks]
     assert binning.order_statistics(df, "v", ranks, len(vals), ["id"]) == exp
-    old = binning.MAX_BAND_ROWS
-    binning.MAX_BAND_ROWS = 0
-    try:
-        assert binning.order_statistics(df, "v", ranks, len(vals), ["id"]) == exp
-    finally:
-        binning.MAX_BAND_ROWS = old

@@ -36,10 +36,9 @@ def test_keyed_clock_matches_pandas(spark):
         rows.append((sess, t, i))
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id long")
     order = [F.col("t").asc_nulls_last(), F.col("id").asc()]
-    # hot_rows=100 splits the hot key (1000 rows) into time sub-buckets;
-    # the default treats every key as normal
-    for hot_rows in (100, None):
-        got = keyed_clock(df, "k", "t", order, hot_rows=hot_rows).toPandas().set_index("id").sort_index()
+    # 40 ranges cut the hot key (1000 rows) about twenty times
+    for parts in (40, None, 1):
+        got = keyed_clock(df, "k", "t", order, num_partitions=parts).toPandas().set_index("id").sort_index()
         pdf = pd.DataFrame(rows, columns=["k", "t", "id"])
         pdf = pdf.sort_values(["k", "t", "id"], na_position="last")
         pdf["prev"] = pdf.groupby("k")["t"].shift(1)
@@ -49,3 +48,19 @@ def test_keyed_clock_matches_pandas(spark):
         both = ~pdf["prev"].isna()
         assert (got["_prev_time"][both] == pdf["prev"][both]).all()
         assert (got["_key_first"] == pdf["first"]).all()
+
+
+def test_equal_and_missing_times_are_split(spark):
+    """A session at one timestamp and one without times: ranges stay balanced, values right."""
+    from shopflow.operators.ordered import ranged
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [("one", t0, i) for i in range(1000)] + [("none", None, 1000 + i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id long")
+    order = [F.col("t").asc_nulls_last(), F.col("id").asc()]
+    sizes = [r["count"] for r in ranged(df, [F.col("k").asc(), *order], 20).groupBy("_pid").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 4 * 2000 / 20
+    got = keyed_clock(df, "k", "t", order, num_partitions=20).toPandas()
+    one = got[got.k == "one"].sort_values("id")
+    assert one["_prev_time"].isna().sum() == 1 and (one["_prev_time"].dropna() == t0).all() and (one["_key_first"] == t0).all()
+    none = got[got.k == "none"]
+    assert none["_prev_time"].isna().all() and none["_key_first"].isna().all()

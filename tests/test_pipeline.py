@@ -44,6 +44,47 @@ def test_pipeline_round_trip(spark, tmpdir_run):
     assert "event_date" in cleaned.columns and cleaned.count() == 5933
 
 
+def test_raw_dedupe_keeps_rows_that_differ_anywhere(spark, tmpdir_run):
+    """Two events that differ in a column no analysis reads, or in the third decimal, both stay."""
+    from shopflow.operators.clean import clean_events
+    from shopflow.sources.events import read_distinct_events
+    cols = "event_time string, event_type string, product_id string, category_id string, category_code string, brand string, price string, user_id string, user_session string"
+    t = "2020-09-24 11:57:06 UTC"
+    rows = [(t, "view", "1", c, "a.b", "x", p, "7", "s") for c, p in (("1", "1.001"), ("2", "1.001"), ("1", "1.002"), ("1", "1.001"))]
+    spark.createDataFrame(rows, cols).write.option("header", True).csv(f"{tmpdir_run}/wide")
+    out = clean_events(read_distinct_events(spark, f"{tmpdir_run}/wide"), dedupe=False).collect()
+    assert len(out) == 3 and all(str(r.event_time) == "2020-09-24 11:57:06" for r in out)
+
+
+def test_event_time_types(spark):
+    import datetime as dt
+
+    import pytest
+
+    from shopflow.operators.clean import coerce_event_time
+    day = dt.datetime(2024, 2, 3)
+    for value, kind in ((day.date(), "date"), (int((day - dt.datetime(1970, 1, 1)).total_seconds()), "bigint"), (day, "timestamp_ntz"), ("2024-02-03 00:00:00 UTC", "string")):
+        assert coerce_event_time(spark.createDataFrame([(value,)], f"event_time {kind}")).first()[0] == day
+    with pytest.raises(TypeError):
+        coerce_event_time(spark.createDataFrame([(1.5,)], "event_time double"))
+
+
+def test_baseline_without_funnel_and_broken_snapshot(spark, tmpdir_run):
+    import pytest
+
+    from shopflow.sources.summary import baseline_funnel
+    for i, (text, n) in enumerate((('{"tag": "x"}', 0), ('{"summary": {}}', 0), ('{"summary": {"funnel": {"view_to_cart": 0.5}}}', 1))):
+        with open(f"{tmpdir_run}/s{i}.json", "w") as f:
+            f.write(text)
+        rows = baseline_funnel(read_summary(spark, f"{tmpdir_run}/s{i}.json")).collect()
+        assert len(rows) == n and (not n or (rows[0].view_to_cart, rows[0].cart_to_purchase) == (0.5, 0.0))
+    os.makedirs(f"{tmpdir_run}/snap/users")
+    with open(f"{tmpdir_run}/snap/users/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        load_snapshot(spark, f"{tmpdir_run}/snap")
+
+
 def test_report_and_snapshot(spark, tmpdir_run):
     from shopflow.plans.context import ShopContext
     from shopflow.operators import report
@@ -70,4 +111,11 @@ def test_streaming_ingest(spark, tmpdir_run):
     q.awaitTermination(120)
     out = spark.read.parquet(f"{tmpdir_run}/cleaned")
     assert out.where(F.col("user_session").isNull()).count() == 0
-    assert out.count() >= 5933
+    rows = out.drop("batch_id")
+    assert rows.distinct().count() == 5933
+    assert out.distinct().count() == out.count()  # no copies inside a batch
+    # a replayed batch changes nothing
+    before = out.count()
+    q = start_ingest(spark, src, f"{tmpdir_run}/cleaned", f"{tmpdir_run}/ckpt2", trigger_once=True)
+    q.awaitTermination(120)
+    assert spark.read.parquet(f"{tmpdir_run}/cleaned").count() == before

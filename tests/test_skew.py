@@ -62,7 +62,7 @@ def test_hot_session_clock_matches_brute_force(spark):
         t = None if i % 101 == 0 else base + dt.timedelta(seconds=int(rng.integers(0, 3000)))
         rows.append((1, sess, "view", int(rng.integers(0, 50)), "B", None, 1.0 + i, t))
     b = clean_base(events(spark, rows))
-    got = add_session_clock(b, hot_rows=50).toPandas()
+    got = add_session_clock(b, num_partitions=23).toPandas()
     pdf = got[["user_session", "event_time", "product_id", "price"]].copy()
     pdf = pdf.sort_values(["user_session", "event_time", "product_id", "price"], na_position="last")
     prev = pdf.groupby("user_session")["event_time"].shift(1)
