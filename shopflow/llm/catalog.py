@@ -1,4 +1,8 @@
-"""Registered queries of this package and their DuckDB SQL."""
+"""Registered queries of this package and their DuckDB SQL.
+
+SQL is given only where it can state a query's whole result; the tests hold
+the others against brute-force versions.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.llm import licenses, merkle, ngram_join, packing, perplexity, pieces, quality, secrets, sharding, warc
+from shopflow.llm.sql import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": warc.query,
@@ -21,6 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_perplexity": perplexity.query,
 }
 
-#: Only where SQL can state the whole result; the tests hold the others
-#: against brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
