@@ -49,6 +49,7 @@ from shopflow.llm.components import connected_components
 
 THRESHOLD = 85      # percent
 SEG_BITS = 24
+PARITY_WORDS = 8  # 64-bit words of a set's parity map
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -203,13 +204,25 @@ def _signature_rows(width: int, bands: Bands):
     return rows
 
 
+def parity_maps(bounds: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """(sets, PARITY_WORDS): bit i tells whether an odd number of a set's shingles
+    hash to i.  Two sets differ in at least as many shingles as their maps in bits."""
+    n, bits = len(bounds) - 1, 64 * PARITY_WORDS
+    place = np.repeat(np.arange(n), np.diff(bounds)) * bits + (mix64(shingles ^ _K[3]) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def _shingle_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             bounds, shingles = shingle_sets(*flat_utf8(batch.column(0)), width)
+            maps = parity_maps(bounds, shingles).reshape(-1)
+            steps = pa.array(np.arange(len(bounds), dtype=np.int32) * PARITY_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(set_ids(bounds, shingles).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64)))], names=["sid", "shingles"])
+                 pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64))),
+                 pa.ListArray.from_arrays(steps, pa.array(maps))], names=["sid", "shingles", "parity"])
     return rows
 
 
@@ -239,7 +252,7 @@ def _probes(hits: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, shingles: DataFrame, t: int, salt_rows: int = 2000) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; sets often in ``b`` are salted."""
     often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
-    right = (shingles.withColumnRenamed("sid", "b").join(often, "b")
+    right = (shingles.select(F.col("sid").alias("b"), "shingles").join(often, "b")
                      .select("b", F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
     left = (pairs.join(often, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
                  .join(shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a"))
@@ -259,7 +272,7 @@ def _cross_shingles(sets: DataFrame, shingles: DataFrame) -> DataFrame:
     return each.join(holders, "shingle")
 
 
-def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 2, step: float = 1.03) -> DataFrame:
+def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, step: float = 1.03) -> DataFrame:
     """(a, b): pairs of sets of different components that may be linked.
 
     A set links to another component only by shingles that component holds
@@ -267,7 +280,8 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 2, s
     fewer drop out, and with them the shingles only they held.  Sizes are put
     into bins ``step`` apart; for a partner bin a set needs an overlap that
     grows with the partner, so its prefix (its rarest cross shingles) gets
-    shorter.  The overlap of a pair is at most the smaller ``cross``.
+    shorter.  The overlap of a pair is at most the smaller ``cross``, and the
+    sets differ by at least the bits their parity maps differ in.
     """
     least = F.ceil(F.col("n") * t / 100)
     for _ in range(passes):
@@ -287,11 +301,12 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 2, s
     prefix = (ranked.withColumn("partner", F.explode(partners)).where(F.col("rank") <= F.col("cross") - overlap + 1)
                     .select("sid", "component", "n", "cross", "shingle", F.least("bin", "partner").alias("low"), F.greatest("bin", "partner").alias("high"),
                             "bin", "partner"))
-    prefix = materialize(prefix, "prefixes")
+    prefix = materialize(prefix.join(shingles.select("sid", "parity"), "sid"), "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    most = F.least("x.cross", "y.cross")
-    close = 100 * most >= t * (F.col("x.n") + F.col("y.n") - most)
+    most, both = F.least("x.cross", "y.cross"), F.col("x.n") + F.col("y.n")
+    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    close = (100 * most >= t * (both - most)) & ((100 + t) * differ <= (100 - t) * both)
     return (x.join(y, same).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & close
                                   & (F.col("x.bin") == F.col("y.partner")))
              .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
@@ -329,7 +344,7 @@ def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold:
                 .agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*"))
     keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     chosen = source.join(maybe_broadcast(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left_semi")
-    shingles = materialize(chosen.select("text").mapInArrow(_shingle_rows(width), "sid bigint, shingles array<bigint>")
+    shingles = materialize(chosen.select("text").mapInArrow(_shingle_rows(width), "sid bigint, shingles array<bigint>, parity array<bigint>")
                                  .dropDuplicates(["sid"]), "shingles")
 
     links = None

@@ -135,3 +135,14 @@ def test_hot_family_is_not_expanded_into_pairs(spark):
         J._verified = real
     assert {r.component_id for r in out} == {0}
     assert sum(seen) < 10 * len(rows)
+
+
+def test_parity_maps_never_exceed_the_difference():
+    rnd = np.random.default_rng(4)
+    a = np.unique(rnd.integers(0, 1 << 62, 300).astype(np.uint64))
+    for cut, new in ((0, 0), (5, 9), (120, 80), (300, 300)):
+        b = np.unique(np.concatenate([a[cut:], rnd.integers(0, 1 << 62, new).astype(np.uint64)]))
+        both = np.concatenate([a, b])
+        maps = J.parity_maps(np.array([0, len(a), len(both)]), both)
+        bits = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in maps[0] ^ maps[1])
+        assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (cut + new > 0)
