@@ -64,12 +64,15 @@ def apply_filters(df: DataFrame, date_range: tuple | None = None, brands: Sequen
                   categories: Sequence[str] | None = None) -> DataFrame:
     """Inclusive date range (only if the frame has event_time), brand
     and category membership; an empty list means no filter.  Rows with no
-    time fail the date test.  All three are pushed to the parquet scan."""
+    time fail the date test.  All three are pushed to the parquet scan; a
+    table partitioned by ``event_date`` is pruned by folder as well."""
     out = df
     if date_range and len(date_range) == 2 and "event_time" in df.columns:
         start, end = (d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)) for d in date_range)
         day = F.to_date("event_time")
         out = out.where((day >= F.lit(start)) & (day <= F.lit(end)))
+        if "event_date" in df.columns:
+            out = out.where(F.col("event_date").between(F.lit(start), F.lit(end)))
     if brands and "brand" in df.columns:
         out = out.where(F.col("brand").isin(list(brands)))
     if categories and "category_code" in df.columns:

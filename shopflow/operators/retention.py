@@ -79,9 +79,10 @@ def high_value_users(users: DataFrame, p: float = 0.8) -> DataFrame:
 
 
 def session_frequency(users: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` most common session counts (ties -> smaller count)."""
+    """The ``k`` most common session counts (ties -> smaller count),
+    listed by session count."""
     counts = users.groupBy("user_total_sessions").agg(F.count(F.lit(1)).alias("user_count"))
-    return counts.orderBy(F.col("user_count").desc(), F.col("user_total_sessions").asc()).limit(k)
+    return counts.orderBy(F.col("user_count").desc(), F.col("user_total_sessions").asc()).limit(k).orderBy("user_total_sessions")
 
 
 def repeat_rate(users: DataFrame) -> DataFrame:

@@ -90,6 +90,13 @@ SELECT count(*) AS total_sessions, CAST(sum(hv) AS BIGINT) AS sessions_with_view
        {r6('sum(ps) / nullif(sum(pc), 0)', 'avg_order_value')}
 FROM fs""")(lambda c: explore.filtered_kpis(_filtered(c)))
 
+register("filtered_kpis_empty", """
+SELECT count(*) AS total_sessions, CAST(0 AS BIGINT) AS sessions_with_views, CAST(0 AS BIGINT) AS sessions_with_carts,
+       CAST(0 AS BIGINT) AS sessions_with_purchases, 0.0 AS total_revenue, 0.0 AS view_to_cart_rate,
+       0.0 AS view_to_purchase_rate, 0.0 AS avg_order_value
+FROM sessions WHERE false""")(
+    lambda c: explore.filtered_kpis(explore.apply_filters(c.events, brands=["no such brand"])))
+
 PERIODS_SQL = FILTERED + f"""
 , fp AS (SELECT *, CASE WHEN hour(event_time) < 6 THEN 'Night' WHEN hour(event_time) < 12 THEN 'Morning'
                         WHEN hour(event_time) < 18 THEN 'Afternoon' ELSE 'Evening' END AS time_period

@@ -218,3 +218,20 @@ FROM facts, (SELECT coalesce(avg(CASE WHEN n_unique_categories > 1 THEN view_to_
         F.size("summary.insights").alias("n_insights"),
         F.size("summary.temporal.hourly").alias("n_hours"),
         F.col("summary.segmentation.loyalty.loyal_user_count").alias("loyal_user_count")))
+
+
+def _sheet_index(c):
+    from shopflow.plans.report import sheet_index
+    return sheet_index(c)
+
+
+def _sheet_index_sql() -> str:
+    from shopflow.plans.catalog import REGISTRY
+    from shopflow.plans.oracle import with_chain
+    from shopflow.plans.report import SHEETS
+    return " UNION ALL ".join(
+        f"SELECT {i} AS position, '{sheet}' AS sheet, count(*) AS n_rows FROM ({with_chain(REGISTRY[name].sql)})"
+        for i, (sheet, name, _) in enumerate(SHEETS, 1))
+
+
+register("report_sheets", _sheet_index_sql())(_sheet_index)

@@ -111,11 +111,43 @@ def test_streaming_ingest(spark, tmpdir_run):
     q.awaitTermination(120)
     out = spark.read.parquet(f"{tmpdir_run}/cleaned")
     assert out.where(F.col("user_session").isNull()).count() == 0
-    rows = out.drop("batch_id")
-    assert rows.distinct().count() == 5933
     assert out.distinct().count() == out.count()  # no copies inside a batch
+    assert out.drop("batch_id").distinct().count() == 5933
+    assert out.where("user_id is null or event_type not in ('view', 'cart', 'purchase')").count() == 0
     # a replayed batch changes nothing
     before = out.count()
     q = start_ingest(spark, src, f"{tmpdir_run}/cleaned", f"{tmpdir_run}/ckpt2", trigger_once=True)
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmpdir_run}/cleaned").count() == before
+
+
+def test_full_report_round_trip(spark, tmpdir_run):
+    from shopflow.plans.context import ShopContext
+    from shopflow.plans.report import SHEETS, build_report, write_full_report
+    ctx = ShopContext.for_source(spark, SF001)
+    sheets = build_report(ctx)
+    assert list(sheets) == [s for s, _, _ in SHEETS]
+    paths = write_full_report(ctx, tmpdir_run, "full")
+    for name, df in sheets.items():
+        assert spark.read.parquet(paths[name]).count() == df.count() > 0, name
+    scores = [r.efficiency_score for r in sheets["🏆 Top Brands"].collect()]
+    assert scores == sorted(scores, reverse=True)
+
+
+def test_date_filter_prunes_folders(spark, tmpdir_run):
+    from shopflow.operators.clean import clean_base
+    from shopflow.operators.explore import apply_filters
+    from shopflow.sources.events import read_clean, write_clean
+    events = clean_base(shop_events_from_orders(spark, SF001))
+    write_clean(events, f"{tmpdir_run}/dated")
+    got = apply_filters(read_clean(spark, f"{tmpdir_run}/dated"), ("1997-01-01", "1997-03-31"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert got.count() == apply_filters(events, ("1997-01-01", "1997-03-31")).count()
+
+
+def test_kpis_of_an_empty_filter_are_zero(spark):
+    from shopflow.operators.explore import filtered_kpis
+    from shopflow.plans.context import ShopContext
+    row = filtered_kpis(ShopContext.for_source(spark, SF001).events.where("false")).first()
+    assert all(v == 0 for v in row)
