@@ -34,7 +34,7 @@ from shopflow.llm.common import read_table, row_chunks
 
 MARK = "▁"
 _MARK = MARK.encode()
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 400_000  # about 150 MB
 
 
 class CharMap:
@@ -168,7 +168,7 @@ class PieceCoder:
                 size = self._unknown_sizes(unit, ids, size)
             size, mark = np.array(size, np.int32), np.array(mark, np.int32)
             self.known[unit] = (len(ids), ",".join(map(str, ids)).encode(), self.surface(ids),
-                                size.tobytes(), (size - 2 * mark).tobytes(), ids)
+                                size.tobytes(), (size - 2 * mark).tobytes())
 
     def _unknown_sizes(self, unit: str, ids: list[int], size: list[int]) -> list[int]:
         """Byte sizes when some pieces are unknown: what known neighbours leave."""
@@ -237,7 +237,11 @@ class PieceCoder:
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
         (entries, source), = self.units([text])
-        return [i for e in entries for i in e[5]], self.spans(entries, source)
+        return self.ids(entries), self.spans(entries, source)
+
+    @staticmethod
+    def ids(entries: list) -> list[int]:
+        return [int(i) for e in entries for i in e[1].split(b",")]
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -251,7 +255,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             ids, starts, ends, decoded = [], [], [], []
             for entries, src in coder.units(batch.column(0).fill_null("").to_pylist()):
                 spans = coder.spans(entries, src)
-                ids.append([i for e in entries for i in e[5]])
+                ids.append(coder.ids(entries))
                 starts.append(spans[:, 0])
                 ends.append(spans[:, 1])
                 decoded.append(coder.decoded(entries).decode())
