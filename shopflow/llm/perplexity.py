@@ -3,8 +3,10 @@
 Rules on a document's own words and lines come first; then a modified
 Kneser-Ney model of character 4-grams, counted by Spark over every whole
 text, gives each document a mean negative log probability per character.
-Each language has its own lower and upper band around its median; documents
-outside are rejected.
+Texts are dealt into two folds by a hash of the text, and a document is scored
+by the model of the other fold: neither its own counts nor those of its exact
+copies are in its score.  Each language has its own lower and upper band
+around its median, as wide as its quartiles say; documents outside are rejected.
 
 The model is kept in sorted hash arrays: per order, the sorted slot numbers
 of the n-grams seen and their log probabilities and back-off weights.  A
@@ -42,8 +44,10 @@ ORDER = 4
 SLOT_BITS = {1: 16, 2: 18, 3: 20, 4: 22}
 #: Bands: the median plus and minus this many times the distance to the quartile on that side ...
 BAND_WIDTH = 8.0
-#: ... and at least this many nats a character.
-LEAST_BAND = 0.5
+#: ... and at least this many nats a character (for quartiles that fall together; languages' own spread is wider).
+LEAST_BAND = 0.02
+#: Texts are dealt into this many folds and scored by the counts of another.
+FOLDS = 2
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -115,6 +119,11 @@ def _lang_codes(langs: pa.Array) -> np.ndarray:
     return np.array(seeds, np.uint64)[idx + 1]
 
 
+def text_folds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The fold of each text; equal texts share one."""
+    return (span_hashes(_BYTE[data], offsets[:-1], offsets[1:]) % np.uint64(FOLDS)).astype(np.int64)
+
+
 def gram_slots(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[dict, np.ndarray]:
     """Slots of the n-grams ending at each character from a text's fourth on.
 
@@ -144,38 +153,41 @@ def gram_slots(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tupl
     return slots, doc[at]
 
 
-_COUNT_SCHEMA = "order int, slot int, context int, suffix int, n bigint"
+_COUNT_SCHEMA = "fold int, order int, slot int, context int, suffix int, n bigint"
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's n-grams, combined over the whole task."""
-    count = {k: np.zeros(1 << SLOT_BITS[k], np.int64) for k in SLOT_BITS}
-    link = {(what, k): np.zeros(1 << SLOT_BITS[k], np.int32) for k in range(2, ORDER + 1) for what in ("ctx", "suf")}
+    made = [(f, k) for f in range(FOLDS) for k in SLOT_BITS]
+    count = {(f, k): np.zeros(1 << SLOT_BITS[k], np.int64) for f, k in made}
+    link = {(what, f, k): np.zeros(1 << SLOT_BITS[k], np.int32) for f, k in made if k > 1 for what in ("ctx", "suf")}
     for batch in text_chunks(batches):
         data, offsets = flat_utf8(batch.column(0))
-        slots, _ = gram_slots(data, offsets, _lang_codes(batch.column(1)))
-        for k in SLOT_BITS:
-            count[k] += np.bincount(slots[k], minlength=1 << SLOT_BITS[k])
+        slots, doc = gram_slots(data, offsets, _lang_codes(batch.column(1)))
+        folds = text_folds(data, offsets)[doc]
+        for f, k in made:
+            at = folds == f
+            count[f, k] += np.bincount(slots[k][at], minlength=1 << SLOT_BITS[k])
             if k > 1:
-                link["ctx", k][slots[k]] = slots["ctx", k]
-                link["suf", k][slots[k]] = slots[k - 1]
-    for k in SLOT_BITS:
-        seen = np.flatnonzero(count[k])
-        ctx = link["ctx", k][seen] if k > 1 else np.zeros(len(seen), np.int32)
-        suf = link["suf", k][seen] if k > 1 else np.zeros(len(seen), np.int32)
+                link["ctx", f, k][slots[k][at]] = slots["ctx", k][at]
+                link["suf", f, k][slots[k][at]] = slots[k - 1][at]
+    for f, k in made:
+        seen = np.flatnonzero(count[f, k])
+        ctx = link["ctx", f, k][seen] if k > 1 else np.zeros(len(seen), np.int32)
+        suf = link["suf", f, k][seen] if k > 1 else np.zeros(len(seen), np.int32)
         for i in range(0, len(seen), 1 << 16):
             part = slice(i, i + (1 << 16))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen[part]), k, np.int32)), pa.array(seen[part].astype(np.int32)),
-                 pa.array(ctx[part]), pa.array(suf[part]), pa.array(count[k][seen[part]])],
-                names=["order", "slot", "context", "suffix", "n"])
+                [pa.array(np.full(len(seen[part]), f, np.int32)), pa.array(np.full(len(seen[part]), k, np.int32)),
+                 pa.array(seen[part].astype(np.int32)), pa.array(ctx[part]), pa.array(suf[part]), pa.array(count[f, k][seen[part]])],
+                names=["fold", "order", "slot", "context", "suffix", "n"])
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(order, slot, context, suffix, n) over all texts: at most one row per slot."""
+    """(fold, order, slot, context, suffix, n) over all texts: at most one row per fold and slot."""
     return (docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
                 .mapInArrow(_count_grams, _COUNT_SCHEMA)
-                .groupBy("order", "slot")
+                .groupBy("fold", "order", "slot")
                 .agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")))
 
 
@@ -230,12 +242,13 @@ def kneser_ney(rows: dict[int, dict[str, np.ndarray]]) -> dict:
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
-    """Count over all documents with Spark; the bounded counts become the model."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
+    """Count over all documents with Spark; the bounded counts become one model per fold."""
     table = count_grams(docs, text, lang).toArrow()
-    order = table.column("order").to_numpy()
-    return kneser_ney({k: {name: table.column(name).to_numpy()[order == k] for name in ("slot", "context", "suffix", "n")}
-                       for k in SLOT_BITS})
+    fold, order = table.column("fold").to_numpy(), table.column("order").to_numpy()
+    return [kneser_ney({k: {name: table.column(name).to_numpy()[(fold == f) & (order == k)] for name in ("slot", "context", "suffix", "n")}
+                        for k in SLOT_BITS})
+            for f in range(FOLDS)]
 
 
 class Scorer:
@@ -262,9 +275,9 @@ class Scorer:
 _METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _scored(docs: DataFrame, model: dict, keep_row: bool, text: str, lang: str) -> DataFrame:
+def _scored(docs: DataFrame, models: list[dict], keep_row: bool, text: str, lang: str) -> DataFrame:
     """Metrics and ``nll`` (mean negative log probability a character) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_row else F.struct(F.col("doc_id"))
     source = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), row.alias("row"))
     schema = T.StructType([source.schema["row"], T.StructField("lang", T.StringType()),
@@ -272,13 +285,17 @@ def _scored(docs: DataFrame, model: dict, keep_row: bool, text: str, lang: str)
                            T.StructField("nll", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorers = [Scorer(model) for model in shared.value]
         for batch in text_chunks(batches):
             data, offsets = flat_utf8(batch.column(0))
             counts = rule_counts(data, offsets)
             slots, doc = gram_slots(data, offsets, _lang_codes(batch.column(1)))
             grams = np.bincount(doc, minlength=batch.num_rows)
-            loss = -np.bincount(doc, scorer.log_p(slots, ORDER), batch.num_rows)
+            folds, log_p = text_folds(data, offsets)[doc], np.zeros(len(doc))
+            for f in range(FOLDS):
+                at = np.flatnonzero(folds == f)
+                log_p[at] = scorers[(f + 1) % FOLDS].log_p(slots, ORDER, at)
+            loss = -np.bincount(doc, log_p, batch.num_rows)
             nll = pa.array(loss / np.maximum(grams, 1), mask=(grams == 0) | np.isnan(loss))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(2), batch.column(1), *[pa.array(counts[m]) for m in _METRICS], nll], names=schema.names)

@@ -76,3 +76,31 @@ def test_bands_reject_foreign_text(spark):
     docs = spark.createDataFrame(plain + odd, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = {r.doc_id: r.kept for r in P.quality_rules(docs).collect()}
     assert all(kept[i] for i in range(300)) and not any(kept[1000 + i] for i in range(3))
+
+
+def test_bands_reject_labelled_junk(spark):
+    """Of the labelled documents that pass the base rules the bands reject junk and keep nearly all good ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in P.read_table(spark, sf, "labels").collect()}
+    rows = [r for r in P.quality_rules(documents(spark, sf)).collect() if not r.base_failed]
+    junk = [r.kept for r in rows if labels.get(r.doc_id) == 0]
+    good = [r.kept for r in rows if labels.get(r.doc_id) == 1]
+    assert junk.count(False) >= 0.2 * len(junk), (junk.count(False), len(junk))
+    assert good.count(True) >= 0.95 * len(good), (good.count(True), len(good))
+
+
+def test_copies_do_not_teach_their_own_score(spark):
+    """A text is as surprising with a hundred copies of it in the table as alone."""
+    rnd = np.random.default_rng(2)
+    vocabulary = ["the", "house", "river", "walks", "under", "green", "stone", "people", "water", "light", "night", "winter"]
+    plain = [(i, " ".join(rnd.choice(vocabulary, 120)), "en", "s", 0) for i in range(300)]
+    odd = " ".join("".join(rnd.choice(list("bcdfgjkqvxz"), 6)) for _ in range(120))
+    scores = []
+    for copies in (1, 100):
+        docs = spark.createDataFrame(plain + [(1000 + i, odd, "en", "s", 0) for i in range(copies)],
+                                     "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        out = {r.doc_id: r for r in P.quality_rules(docs).collect()}
+        assert not any(out[1000 + i].kept for i in range(copies))
+        assert len({out[1000 + i].perplexity for i in range(copies)}) == 1
+        scores.append(out[1000].perplexity)
+    assert np.isclose(*scores)
