@@ -8,14 +8,13 @@ by the model of the other fold: neither its own counts nor those of its exact
 copies are in its score.  Each language has its own lower and upper band
 around its median, as wide as its quartiles say; documents outside are rejected.
 
-The model is kept in sorted hash arrays: per order, the sorted slot numbers
-of the n-grams seen and their log probabilities and back-off weights.  A
-slot is a hash of (language, n-gram) with a fixed number of bits per order
-(``SLOT_BITS``), so the arrays have a proven size bound (at most 5.6 million
-entries, 70 MB) whatever the corpus; that is what allows them to be
-broadcast.  The counts behind them cover all documents.  Characters rather
-than words are the n-gram unit because word pairs of an open vocabulary
-neither fit such a bound nor the shuffle budget (see the README's figures).
+N-grams are counted one by one under 64-bit keys of (language, order,
+n-gram), so the model grows with the corpus.  Counts combine in the tasks;
+discounts come from the counts of counts (the only numbers the driver needs),
+context totals from Spark aggregates.  A model of at most ``MODEL_ROWS`` rows is
+broadcast as sorted arrays; a larger one is joined by key to the distinct
+n-grams of text chunks, and each chunk is scored with the rows it needs.  Both
+ways give the same results.
 
 Defined results: a null text is an empty one (0 words, base_failed); texts
 under four characters have no 4-gram, a null perplexity and no verdict from
@@ -30,18 +29,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopflow.llm.common import (
     SPACE, Words, code_points_before, flat_utf8, materialize, mix64, maybe_broadcast, read_table,
-    span_hashes, text_chunks, _BYTE,
+    small_enough, span_hashes, text_chunks, _BYTE,
 )
 
 ORDER = 4
-#: Bits of a slot number, by n-gram order.
-SLOT_BITS = {1: 16, 2: 18, 3: 20, 4: 22}
+#: The first character scored is a text's fourth; longer n-grams would be padded there.
+FIRST = 4
+#: Bits of an n-gram's key, by order.
+SLOT_BITS = dict.fromkeys(range(1, ORDER + 1), 64)
+#: Models of more rows than this are joined, not broadcast.
+MODEL_ROWS = 4_000_000
+#: Bytes of text in a counting task and in a chunk that is joined to the model.
+TASK_BYTES = 48 << 20
+#: Distinct n-grams gathered in a counting task before they are combined.
+GATHER = 1 << 20
 #: Bands: the median plus and minus this many times the distance to the quartile on that side ...
 BAND_WIDTH = 8.0
 #: ... and at least this many nats a character (for quartiles that fall together; languages' own spread is wider).
@@ -124,76 +132,142 @@ def text_folds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (span_hashes(_BYTE[data], offsets[:-1], offsets[1:]) % np.uint64(FOLDS)).astype(np.int64)
 
 
+class Grams:
+    """The n-grams that end at each character from a text's fourth on."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
+        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        self.codes = mix64(points.astype(np.uint64) + np.uint64(1))
+        self.langs = langs
+        chars = code_points_before(data)[offsets]
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(chars))
+        self.begin = chars[:-1]
+        n = len(points)
+        self.at = np.flatnonzero(doc[:n - FIRST + 1] == doc[FIRST - 1:]) + FIRST - 1 if n >= FIRST else np.zeros(0, np.int64)
+        self.doc = doc[self.at]
+
+    def _values(self, at: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+        """The k characters that end before ``at`` + 1 as a polynomial; nothing stands before a text."""
+        value, power = np.zeros(len(at), np.uint64), 1
+        for i in range(k):
+            code = self.codes[at - i]
+            if i >= FIRST:
+                code = np.where(at - i >= self.begin[doc], code, np.uint64(0))
+            value += code * np.uint64(power)
+            power = power * _BASE % (1 << 64)
+        return value
+
+    def _slot(self, value: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+        return mix64(value ^ mix64(self.langs + np.uint64(k))[doc]).view(np.int64)
+
+    def top(self, where: np.ndarray) -> np.ndarray:
+        """Keys of the longest n-grams at some of the positions."""
+        return self._slot(self._values(self.at[where], self.doc[where], ORDER), self.doc[where], ORDER)
+
+    def slots(self, where: np.ndarray | slice = slice(None)) -> dict:
+        """``{k: keys, ("ctx", k): keys of the n-grams before the last character}``."""
+        at, doc, out = self.at[where], self.doc[where], {}
+        for k in range(1, ORDER + 1):
+            out[k] = self._slot(self._values(at, doc, k), doc, k)
+            if k > 1:
+                before = self._values(at, doc, k) - self.codes[at]
+                out["ctx", k] = self._slot(before * _BASE_INVERSE, doc, k - 1)
+        return out
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+
+
 def gram_slots(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Slots of the n-grams ending at each character from a text's fourth on.
+    """Keys of the n-grams ending at each character from a text's fourth on.
 
-    Returns ``{order: slots}`` plus, under ``("ctx", k)``, the slot of the
+    Returns ``{order: keys}`` plus, under ``("ctx", k)``, the key of the
     (k-1)-gram before the last character, and the document of each position.
     """
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    chars = code_points_before(data)[offsets]
-    points = np.where(points < 0x10000, points, mix64(points) & np.uint64(0xFFFF))
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(chars))
-    n = len(points)
-    if n < ORDER:
-        at = np.zeros(0, np.int64)
-    else:
-        at = np.flatnonzero(doc[:n - ORDER + 1] == doc[ORDER - 1:]) + ORDER - 1
-    seed = langs[doc[at]]
-    code, slots = np.zeros(len(at), np.uint64), {}
+    grams = Grams(data, offsets, langs)
+    return grams.slots(), grams.doc
+
+
+_COUNT_SCHEMA = "fold int, order int, slot bigint, context bigint, suffix bigint, n bigint"
+_NAMES = [*range(1, ORDER + 1), *[("ctx", k) for k in range(2, ORDER + 1)]]
+
 
-    def slot(order: int, value: np.ndarray) -> np.ndarray:
-        return (mix64(value ^ (seed + np.uint64(order))) >> np.uint64(64 - SLOT_BITS[order])).astype(np.int64)
+def _combined(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a row of each distinct key, sums of ``n``), in the keys' order."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return order[first], (np.add.reduceat(n[order], first) if len(first) else n[:0])
 
-    for k in range(1, ORDER + 1):
-        code = code | points[at - k + 1] << np.uint64(16 * (k - 1))
-        slots[k] = slot(k, code)
-        if k > 1:
-            slots["ctx", k] = slot(k - 1, code >> np.uint64(16))
-    return slots, doc[at]
 
+def _distinct(grams: Grams, folds: np.ndarray, f: int) -> tuple[dict, np.ndarray]:
+    """Slots and counts of the distinct n-grams in the texts of one fold."""
+    where = np.flatnonzero(folds == f)
+    _, first, n = np.unique(grams.top(where), return_index=True, return_counts=True)
+    return grams.slots(where[first]), n
 
-_COUNT_SCHEMA = "fold int, order int, slot int, context int, suffix int, n bigint"
+
+class _Gathered:
+    """Distinct longest n-grams of one fold with their counts."""
+
+    def __init__(self):
+        self.parts, self.pending = [], 0
+
+    def add(self, slots: dict, n: np.ndarray) -> None:
+        self.parts.append((slots, n))
+        self.pending += len(n)
+        if self.pending > GATHER:
+            self.combine()
+            self.pending = 0
+
+    def combine(self) -> tuple[dict, np.ndarray]:
+        slots = {name: np.concatenate([p[0][name] for p in self.parts]) for name in _NAMES}
+        at, n = _combined(slots[ORDER], np.concatenate([p[1] for p in self.parts]))
+        self.parts = [({name: v[at] for name, v in slots.items()}, n)]
+        return self.parts[0]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's n-grams, combined over the whole task."""
-    made = [(f, k) for f in range(FOLDS) for k in SLOT_BITS]
-    count = {(f, k): np.zeros(1 << SLOT_BITS[k], np.int64) for f, k in made}
-    link = {(what, f, k): np.zeros(1 << SLOT_BITS[k], np.int32) for f, k in made if k > 1 for what in ("ctx", "suf")}
+    gathered = [_Gathered() for _ in range(FOLDS)]
     for batch in text_chunks(batches):
         data, offsets = flat_utf8(batch.column(0))
-        slots, doc = gram_slots(data, offsets, _lang_codes(batch.column(1)))
-        folds = text_folds(data, offsets)[doc]
-        for f, k in made:
-            at = folds == f
-            count[f, k] += np.bincount(slots[k][at], minlength=1 << SLOT_BITS[k])
-            if k > 1:
-                link["ctx", f, k][slots[k][at]] = slots["ctx", k][at]
-                link["suf", f, k][slots[k][at]] = slots[k - 1][at]
-    for f, k in made:
-        seen = np.flatnonzero(count[f, k])
-        ctx = link["ctx", f, k][seen] if k > 1 else np.zeros(len(seen), np.int32)
-        suf = link["suf", f, k][seen] if k > 1 else np.zeros(len(seen), np.int32)
-        for i in range(0, len(seen), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(seen[part]), f, np.int32)), pa.array(np.full(len(seen[part]), k, np.int32)),
-                 pa.array(seen[part].astype(np.int32)), pa.array(ctx[part]), pa.array(suf[part]), pa.array(count[f, k][seen[part]])],
-                names=["fold", "order", "slot", "context", "suffix", "n"])
+        grams = Grams(data, offsets, _lang_codes(batch.column(1)))
+        folds = text_folds(data, offsets)[grams.doc]
+        for f in range(FOLDS):
+            gathered[f].add(*_distinct(grams, folds, f))
+    for f in range(FOLDS):
+        if not gathered[f].parts:
+            continue
+        slots, n_top = gathered[f].combine()
+        for k in SLOT_BITS:
+            at, n = _combined(slots[k], n_top)
+            none = np.zeros(len(at), np.int64)
+            columns = [slots[k][at], slots["ctx", k][at] if k > 1 else none, slots[k - 1][at] if k > 1 else none, n]
+            for i in range(0, len(at), 1 << 16):
+                part = [c[i:i + (1 << 16)] for c in columns]
+                same = [pa.array(np.full(len(part[0]), v, np.int32)) for v in (f, k)]
+                yield pa.RecordBatch.from_arrays([*same, *map(pa.array, part)], names=["fold", "order", "slot", "context", "suffix", "n"])
+
+
+def _in_large_tasks(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` in fewer tasks, of about TASK_BYTES of text each (n-grams combine better there)."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
 def count_grams(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(fold, order, slot, context, suffix, n) over all texts: at most one row per fold and slot."""
-    return (docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    """(fold, order, slot, context, suffix, n) over all texts: one row per fold and n-gram."""
+    return (_in_large_tasks(docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), "text")
                 .mapInArrow(_count_grams, _COUNT_SCHEMA)
                 .groupBy("fold", "order", "slot")
                 .agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n")))
 
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [np.count_nonzero(counts == i) for i in range(5)]
+def _discounts(n: list[int]) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more; ``n[i]``
+    n-grams were counted i times."""
     if not (n[1] and n[2]):
         return np.array([0, 0.5, 0.75, 0.9])
     y = n[1] / (n[1] + 2 * n[2])
@@ -202,105 +276,185 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(rows: dict[int, dict[str, np.ndarray]]) -> dict:
-    """Sorted hash arrays {order: (slots, log p, log back-off)} from the counts.
+    """``fit``'s model from one fold's counts in memory (small inputs; the tests hold ``fit`` against it).
 
-    The highest order uses counts, lower orders the number of distinct
-    n-grams one longer that end in them.
+    {order: (sorted keys, discounted counts, context totals, context
+    discounts)}; order 0 is the empty context.  The highest order uses counts,
+    lower orders the number of distinct n-grams one longer that end in them.
     """
-    by = {}
-    for k, r in rows.items():
-        order = np.argsort(r["slot"])
-        by[k] = {name: v[order] for name, v in r.items()}
-    model, lower = {}, None
-    for k in range(1, ORDER + 1):
-        r = by.get(k)
-        size = 1 << SLOT_BITS[k]
+    model, above = {k: [{}, {}, {}] for k in range(ORDER + 1)}, {}
+    for k in range(ORDER, 0, -1):
+        r = rows.get(k)
         if r is None or not len(r["slot"]):
             return {}
-        if k == ORDER:
-            c = r["n"].astype(np.float64)
-        else:
-            c = np.bincount(by[k + 1]["suffix"], minlength=size)[r["slot"]].astype(np.float64) if k + 1 in by else r["n"] * 0.0
-            c = np.maximum(c, 1)
-        d = _discounts(c)[np.minimum(c, 3).astype(np.int64)]
-        ctx = r["context"] if k > 1 else np.zeros(len(c), np.int64)
-        contexts = 1 << SLOT_BITS[k - 1] if k > 1 else 1
-        total = np.bincount(ctx, c, contexts)
-        spare = np.bincount(ctx, d, contexts)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gamma = np.where(total > 0, spare / total, 1.0)
-        below = lower[r["suffix"]] if k > 1 else np.full(len(c), 1 / (len(c) + 1))
-        p = (c - d) / total[ctx] + gamma[ctx] * below
-        lower = np.full(size, 1e-9)
-        lower[r["slot"]] = p
-        model[k] = [r["slot"].astype(np.int32), np.log(p).astype(np.float32), np.zeros(len(p), np.float32)]
-        if k > 1:
-            prev = model[k - 1]
-            prev[2] = np.log(np.maximum(gamma[prev[0]], 1e-9)).astype(np.float32)
-        else:
-            model[0] = [np.zeros(1, np.int32), np.log(np.array([gamma[0] / (len(c) + 1)]) + 1e-12).astype(np.float32), np.zeros(1, np.float32)]
-    return model
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[dict]:
-    """Count over all documents with Spark; the bounded counts become one model per fold."""
-    table = count_grams(docs, text, lang).toArrow()
-    fold, order = table.column("fold").to_numpy(), table.column("order").to_numpy()
-    return [kneser_ney({k: {name: table.column(name).to_numpy()[(fold == f) & (order == k)] for name in ("slot", "context", "suffix", "n")}
-                        for k in SLOT_BITS})
-            for f in range(FOLDS)]
+        c = np.array(r["n"] if k == ORDER else [above.get(s, 1) for s in r["slot"].tolist()], np.int64)
+        d = _discounts([np.count_nonzero(c == i) for i in range(5)])[np.minimum(c, 3)]
+        above = {}
+        for s, ctx, suffix, ci, di in zip(r["slot"].tolist(), r["context"].tolist(), r["suffix"].tolist(), c, d):
+            model[k][0][s] = ci - di
+            model[k - 1][1][ctx] = model[k - 1][1].get(ctx, 0) + ci
+            model[k - 1][2][ctx] = model[k - 1][2].get(ctx, 0) + di
+            above[suffix] = above.get(suffix, 0) + 1
+    out = {}
+    for k, columns in model.items():
+        keys = sorted({key for c in columns for key in c})
+        out[k] = (np.array(keys, np.int64), *[np.array([c.get(key, 0) for key in keys], np.float64) for c in columns])
+    return out
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(fold, order, slot, less, total, spare): Kneser-Ney statistics of all documents.
+
+    ``less`` is an n-gram's discounted count, ``total`` and ``spare`` the counts
+    and discounts of the n-grams it is the context of.  Order 0 is the empty context.
+    """
+    spark = docs.sparkSession
+    grams = materialize(count_grams(docs, text, lang), "grams")
+    longer = (grams.where("order > 1").groupBy("fold", (F.col("order") - 1).alias("order"), F.col("suffix").alias("slot"))
+                   .agg(F.count(F.lit(1)).alias("ends")))
+    c = F.when(F.col("order") == ORDER, F.col("n")).otherwise(F.coalesce("ends", F.lit(1)))
+    counted = materialize(grams.join(longer, ["fold", "order", "slot"], "left").select("fold", "order", "slot", "context", c.alias("c")), "counted")
+    few = counted.groupBy("fold", "order").agg(*[F.count_if(F.col("c") == i).alias(f"n{i}") for i in range(5)]).collect()
+    discounts = spark.createDataFrame([(r.fold, r.order, *map(float, _discounts([r[f"n{i}"] for i in range(5)])[1:])) for r in few],
+                                      "fold int, order int, d1 double, d2 double, d3 double")
+    d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    counted = counted.join(F.broadcast(discounts), ["fold", "order"]).withColumn("d", d)
+    # A gram's own row and its rows as a context come together in one aggregate.
+    own = counted.select("fold", "order", "slot", (F.col("c") - F.col("d")).alias("less"), F.lit(0).cast("bigint").alias("total"), F.lit(0.0).alias("spare"))
+    context = (counted.groupBy("fold", (F.col("order") - 1).alias("order"), F.col("context").alias("slot"))
+                      .agg(F.lit(0.0).alias("less"), F.sum("c").alias("total"), F.sum("d").alias("spare")))
+    return materialize(own.unionByName(context).groupBy("fold", "order", "slot").agg(*[F.sum(x).alias(x) for x in ("less", "total", "spare")]), "model")
+
+
+def sorted_arrays(table: pa.Table) -> dict:
+    """A model (as of ``kneser_ney``) from rows (order, slot, less, total, spare)."""
+    order = table.column("order").to_numpy()
+    columns = [table.column(c).to_numpy() for c in ("slot", "less", "total", "spare")]
+    out = {}
+    for k in range(ORDER + 1):
+        at = np.flatnonzero(order == k)
+        at = at[np.argsort(columns[0][at])]
+        out[k] = (columns[0][at], *[c[at].astype(np.float64) for c in columns[1:]])
+    return out
 
 
 class Scorer:
-    """Look-ups in a model's sorted arrays, spread over their slots once per worker."""
+    """Interpolated probabilities from a model's sorted arrays.
 
-    def __init__(self, model: dict):
-        self.p, self.back = {}, {}
-        for k in SLOT_BITS:
-            self.p[k] = np.full(1 << SLOT_BITS[k], np.nan, np.float32)
-            self.back[k] = np.zeros(1 << SLOT_BITS[k], np.float32)
-            if k in model:
-                self.p[k][model[k][0]], self.back[k][model[k][0]] = model[k][1], model[k][2]
-        self.floor = float(model[0][1][0]) if 0 in model else float("nan")
-
-    def log_p(self, slots: dict, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-        out = self.p[k][slots[k][at]].astype(np.float64)
-        gone = np.flatnonzero(np.isnan(out))
-        if len(gone):
-            where = gone if isinstance(at, slice) else at[gone]
-            out[gone] = (self.log_p(slots, k - 1, where) + self.back[k - 1][slots["ctx", k][where]] if k > 1 else self.floor)
-        return out
+    ``letters`` is the number of distinct characters the model has seen, if
+    the model holds only some of its rows.
+    """
+
+    def __init__(self, model: dict, letters: int | None = None):
+        self.model = model
+        self.letters = letters if letters is not None else np.count_nonzero(model[1][1]) if model else 0
+
+    def _find(self, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        have = self.model[k][0]
+        if not len(have):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return at, have[at] == keys
+
+    def log_p(self, slots: dict, k: int) -> np.ndarray:
+        """Log probabilities of the last characters of the n-grams of order ``k``."""
+        if not self.letters:
+            return np.full(len(slots[k]), np.nan)
+        p = np.full(len(slots[k]), 1 / (self.letters + 1))
+        for j in range(1, k + 1):
+            at, seen = self._find(j - 1, slots["ctx", j] if j > 1 else np.zeros(len(p), np.int64))
+            _, less, total, spare = self.model[j - 1]
+            known = seen.copy()
+            known[seen] = total[at[seen]] > 0
+            at = at[known]
+            own, found = self._find(j, slots[j][known])
+            less = np.zeros(len(own))
+            less[found] = self.model[j][1][own[found]]
+            p[known] = (less + spare[at] * p[known]) / total[at]
+        return np.log(p)
 
 
 _METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _scored(docs: DataFrame, models: list[dict], keep_row: bool, text: str, lang: str) -> DataFrame:
+def _scores(batch: pa.RecordBatch, text: pa.Array, lang: pa.Array, scorers: list) -> list[pa.Array]:
+    """The metrics and ``nll`` of a batch's texts."""
+    data, offsets = flat_utf8(text)
+    counts = rule_counts(data, offsets)
+    grams = Grams(data, offsets, _lang_codes(lang))
+    folds, log_p = text_folds(data, offsets)[grams.doc], np.zeros(len(grams.doc))
+    for f in range(FOLDS):
+        where = np.flatnonzero(folds == f)
+        _, first, inverse = np.unique(grams.top(where), return_index=True, return_inverse=True)
+        log_p[where] = scorers[(f + 1) % FOLDS].log_p(grams.slots(where[first]), ORDER)[inverse]
+    n = np.bincount(grams.doc, minlength=batch.num_rows)
+    loss = -np.bincount(grams.doc, log_p, batch.num_rows)
+    return [*[pa.array(counts[m]) for m in _METRICS], pa.array(loss / np.maximum(n, 1), mask=(n == 0) | np.isnan(loss))]
+
+
+def _chunk_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, fold, order, slot): the model rows that each chunk's texts need."""
+    need = {}
+    for batch in text_chunks(batches):
+        chunks = batch.column(2).to_numpy()
+        data, offsets = flat_utf8(batch.column(0))
+        grams = Grams(data, offsets, _lang_codes(batch.column(1)))
+        folds = text_folds(data, offsets)[grams.doc]
+        for chunk in np.unique(chunks).tolist():
+            here = np.where(chunks[grams.doc] == chunk, folds, -1)
+            for f in range(FOLDS):
+                need.setdefault((chunk, f), _Gathered()).add(*_distinct(grams, here, f))
+    for (chunk, f), gathered in need.items():
+        slots, _ = gathered.combine()
+        for k in SLOT_BITS:
+            keys = np.unique(np.concatenate([slots[k], *([slots["ctx", k + 1]] if k < ORDER else [])]))
+            for i in range(0, len(keys), 1 << 16):
+                part = keys[i:i + (1 << 16)]
+                same = [pa.array(np.full(len(part), v, np.int32)) for v in (chunk, (f + 1) % FOLDS, k)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["chunk", "fold", "order", "slot"])
+
+
+def _scored(docs: DataFrame, model: DataFrame, keep_row: bool, text: str, lang: str) -> DataFrame:
     """Metrics and ``nll`` (mean negative log probability a character) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    context = docs.sparkSession.sparkContext
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_row else F.struct(F.col("doc_id"))
     source = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), row.alias("row"))
     schema = T.StructType([source.schema["row"], T.StructField("lang", T.StringType()),
                            *[T.StructField(m, T.LongType()) for m in _METRICS],
                            T.StructField("nll", T.DoubleType())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(model) for model in shared.value]
-        for batch in text_chunks(batches):
-            data, offsets = flat_utf8(batch.column(0))
-            counts = rule_counts(data, offsets)
-            slots, doc = gram_slots(data, offsets, _lang_codes(batch.column(1)))
-            grams = np.bincount(doc, minlength=batch.num_rows)
-            folds, log_p = text_folds(data, offsets)[doc], np.zeros(len(doc))
-            for f in range(FOLDS):
-                at = np.flatnonzero(folds == f)
-                log_p[at] = scorers[(f + 1) % FOLDS].log_p(slots, ORDER, at)
-            loss = -np.bincount(doc, log_p, batch.num_rows)
-            nll = pa.array(loss / np.maximum(grams, 1), mask=(grams == 0) | np.isnan(loss))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), batch.column(1), *[pa.array(counts[m]) for m in _METRICS], nll], names=schema.names)
-
-    return source.mapInArrow(score, schema)
+    if small_enough(model, MODEL_ROWS):
+        rows = [model.where(F.col("fold") == f).drop("fold").toArrow() for f in range(FOLDS)]
+        shared = context.broadcast([sorted_arrays(r) for r in rows])
+        del rows
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorers = [Scorer(m) for m in shared.value]
+            for batch in text_chunks(batches):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(2), batch.column(1), *_scores(batch, batch.column(0), batch.column(1), scorers)], names=schema.names)
+
+        return source.mapInArrow(score, schema)
+
+    letters = {r.fold: r.n for r in model.where("order = 1 and less > 0").groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    roots = {r.fold: (float(r.total), r.spare) for r in model.where("order = 0").collect()}
+    source = materialize(_in_large_tasks(source, "text").withColumn("chunk", F.spark_partition_id()), "chunks")
+    schema = T.StructType([source.schema["row"], *schema.fields[1:]])    # as written: all fields may be null
+    need = source.select("text", "lang", "chunk").mapInArrow(_chunk_grams, "chunk int, fold int, order int, slot bigint").distinct()
+    rows = need.join(model, ["fold", "order", "slot"]).select("chunk", "fold", "order", "slot", "less", "total", "spare")
+
+    def score_chunk(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        scorers, out = [], []
+        for f in range(FOLDS):
+            part = sorted_arrays(rows.filter(pc.equal(rows.column("fold"), f)))
+            if f in roots:
+                part[0] = (np.zeros(1, np.int64), np.zeros(1), *[np.array([v]) for v in roots[f]])
+            scorers.append(Scorer(part, letters.get(f, 0)))
+        for batch in text_chunks(texts.to_batches()):
+            out.append(pa.RecordBatch.from_arrays(
+                [batch.column(2), batch.column(1), *_scores(batch, batch.column(0), batch.column(1), scorers)], names=schema.names))
+        return pa.Table.from_batches(out)
+
+    return source.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(score_chunk, schema)
 
 
 def _verdicts(scored: DataFrame) -> DataFrame:

@@ -104,3 +104,47 @@ def test_copies_do_not_teach_their_own_score(spark):
         assert len({out[1000 + i].perplexity for i in range(copies)}) == 1
         scores.append(out[1000].perplexity)
     assert np.isclose(*scores)
+
+
+def test_model_counts_every_gram_and_grows(spark):
+    """One row per (fold, language, n-gram): no slots, no collisions, whatever the corpus."""
+    docs = documents(spark)
+    grams = {}
+    for r in docs.collect():
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        fold = int(P.text_folds(data, np.array([0, len(data)]))[0])
+        padded = "\0" * P.ORDER + r.text
+        for end in range(P.ORDER + 4, len(padded) + 1):
+            for k in P.SLOT_BITS:
+                grams.setdefault((fold, k), Counter())[r.lang, padded[end - k:end]] += 1
+    out = {}
+    for r in P.count_grams(docs).collect():
+        out.setdefault((r.fold, r.order), []).append(r.n)
+    assert {key: sorted(n) for key, n in out.items()} == {key: sorted(c.values()) for key, c in grams.items()}
+
+
+def test_spark_model_equals_the_one_in_memory(spark):
+    docs = documents(spark).limit(60).localCheckpoint()
+    table = P.count_grams(docs).toArrow()
+    model = P.fit(docs)
+    for f in range(P.FOLDS):
+        part = table.filter(P.pc.equal(table["fold"], f))
+        order = part["order"].to_numpy()
+        small = P.kneser_ney({k: {c: part[c].to_numpy()[order == k] for c in ("slot", "context", "suffix", "n")} for k in P.SLOT_BITS})
+        got = P.sorted_arrays(model.where(f"fold = {f}").toArrow())
+        for k in small:
+            for a, b in zip(small[k], got[k]):
+                assert np.allclose(a, b)
+
+
+def test_joined_model_scores_as_the_broadcast_one(spark, monkeypatch):
+    for docs in (documents(spark), with_clashes(edge_docs(spark)), no_docs(spark)):
+        def rows():
+            return sorted(((r.doc_id, r.n_words, r.kept, r.perplexity and round(r.perplexity, 9)) for r in P.quality_rules(docs).collect()), key=str)
+        expected, kept = rows(), sorted(map(str, P.keep_good(docs).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(P, "MODEL_ROWS", -1)
+            m.setattr(P, "TASK_BYTES", 1 << 16)
+            m.setattr(P, "small_enough", lambda df, n: False)
+            assert rows() == expected
+            assert sorted(map(str, P.keep_good(docs).collect())) == kept
