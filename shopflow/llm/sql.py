@@ -107,9 +107,71 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
+CHAT = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, x.i, x.r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(i, r)),
+e AS (SELECT *, replace(replace(replace(replace(text, '\', '\\'), '##', '#\#'), '##', '#\#'), '</turn>', '<\/turn>') AS body FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+             5 + length(replace(url_encode(role), '%20', '+')) + 1 + length(body) + 8 AS size FROM e),
+p AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM o)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'assistant' OR i = n) AS n_examples
+FROM p GROUP BY conv_id"""
+
+_LEAF = "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode(CAST({{{c}}} AS VARCHAR))) AS VARCHAR) || ':' || CAST({{{c}}} AS VARCHAR), '-')" for c in ("d", "s", "l", "n", "t")) + ")"
+
+
+def _leaf(text: str) -> str:
+    return _LEAF.format(d="doc_id", s="source", l="lang", n="n_chars", t=text)
+
+
+_BITS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_transform(range(0, 8), lambda i: CAST((ord(c) >> i) & 1 AS BIGINT))))"
+
+MANIFEST = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("replace(text, chr(10), '')")} AS stripped,
+         xor(list_reduce({_BITS}, lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), CAST(4294967295 AS BIGINT)), 4294967295) AS crc
+  FROM documents),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM d),
+sub AS (
+  SELECT s, 0 AS h, r AS p, leaf AS digest, count(*) OVER (PARTITION BY s) AS n FROM l
+  UNION ALL
+  SELECT s, h + 1, p // 3, sha256(string_agg(digest, '' ORDER BY p)), max((n + 2) // 3) FROM sub WHERE n > 1 GROUP BY s, h, p // 3),
+heads AS (SELECT s, digest, h FROM sub WHERE n = 1),
+top AS (
+  SELECT 0 AS h, s AS p, digest, count(*) OVER () AS n FROM heads
+  UNION ALL
+  SELECT h + 1, p // 3, sha256(string_agg(digest, '' ORDER BY p)), max((n + 2) // 3) FROM top WHERE n > 1 GROUP BY h, p // 3),
+steps AS (
+  SELECT l.s, l.r, sub.h, l.r // CAST(pow(3, sub.h) AS BIGINT) % 3 AS digit, sub.digest, sub.p % 3 AS place
+  FROM l JOIN sub ON sub.s = l.s AND sub.n > 1 AND sub.p // 3 = l.r // CAST(pow(3, sub.h + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.s, l.r, heads.h + top.h, l.s // CAST(pow(3, top.h) AS BIGINT) % 3, top.digest, top.p % 3
+  FROM l JOIN heads ON heads.s = l.s JOIN top ON top.n > 1 AND top.p // 3 = l.s // CAST(pow(3, top.h + 1) AS BIGINT)),
+sides AS (
+  SELECT s, r, h, coalesce(string_agg(digest, '' ORDER BY place) FILTER (place < digit), '') AS a,
+         coalesce(string_agg(digest, '' ORDER BY place) FILTER (place > digit), '') AS b
+  FROM steps GROUP BY s, r, h),
+fold AS (
+  SELECT s, r, 0 AS h, CASE WHEN crc % 2 = 0 THEN stripped ELSE leaf END AS digest FROM l
+  UNION ALL
+  SELECT f.s, f.r, f.h + 1, sha256(x.a || f.digest || x.b) FROM fold f JOIN sides x ON x.s = f.s AND x.r = f.r AND x.h = f.h),
+ended AS (SELECT s, r, arg_max(digest, h) AS digest FROM fold GROUP BY s, r),
+proof AS (SELECT s, r, string_agg(a || b, '' ORDER BY h) AS path FROM sides GROUP BY s, r)
+SELECT l.doc_id, l.leaf, heads.digest AS subroot, top.digest AS root, sha256(coalesce(proof.path, '')) AS proof_sha256,
+       ended.digest AS folded_root, ended.digest = top.digest AS verified
+FROM l JOIN heads ON heads.s = l.s JOIN top ON top.n = 1 JOIN ended ON ended.s = l.s AND ended.r = l.r
+LEFT JOIN proof ON proof.s = l.s AND proof.r = l.r"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index_merge": WARC,
     "op2_license_diagonals": licenses_sql(),
     "op3_ngram_jaccard_join": JACCARD,
     "op6_secret_ownership": secrets_sql(),
+    "op12_manifest_descent": MANIFEST,
+    "op13_prefix_target_chat": CHAT,
 }
