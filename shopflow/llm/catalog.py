@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopflow.llm import chat, licenses, manifest, merkle, ngram_join, packing, perplexity, pieces, quality, secrets, sharding, warc
+from shopflow.llm import chat, fptree, licenses, manifest, merkle, ngram_join, packing, perplexity, pieces, quality, secrets, sharding, warc
 from shopflow.llm.sql import ORACLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_group_packing": packing.query,
     "op9_piece_spans": pieces.query,
     "op10_ngram_perplexity": perplexity.query,
+    "op11_fptree_search": fptree.query,
     "op12_manifest_descent": manifest.query,
     "op13_prefix_target_chat": chat.query,
 }

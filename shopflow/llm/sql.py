@@ -107,6 +107,22 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
+SEARCH = fr"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+           FROM documents),
+h AS (SELECT row, doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM h),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+f AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM h) GROUP BY row, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, docs),
+s AS (SELECT item_id, row, CAST(sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+      FROM i JOIN f ON f.term = i.term JOIN w ON w.term = i.term JOIN h USING (row), c GROUP BY item_id, row),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+      FROM s JOIN h USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
 CHAT = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, x.i, x.r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(i, r)),
@@ -172,6 +188,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_license_diagonals": licenses_sql(),
     "op3_ngram_jaccard_join": JACCARD,
     "op6_secret_ownership": secrets_sql(),
+    "op11_fptree_search": SEARCH,
     "op12_manifest_descent": MANIFEST,
     "op13_prefix_target_chat": CHAT,
 }
