@@ -123,6 +123,8 @@ def descend(forest: Forest, starts: DataFrame, requests: DataFrame | None = None
         if requests is not None:
             at = at.join(wanted(height - 1), ["tree", "pos"], "left_semi")
         at = at.unionByName(enter(height - 1))
+        if height > 1:  # a level's plan ends here; the leaves flow on
+            at = materialize(at, f"frontier-{height - 1}")
     if requests is not None and not forest.levels:
         at = at.join(wanted(0), ["tree", "pos"], "left_semi")
     return at
@@ -147,8 +149,8 @@ class Manifest:
         empty = F.array().cast(PATH)
         over = descend(self.top, self.top.roots.withColumn("path", empty),
                        None if requests is None else requests.select(F.lit(0).cast("bigint").alias("tree"), F.col("tree").alias("pos")).distinct())
-        starts = (over.select(F.col("pos").alias("tree"), "path")
-                      .join(self.subroots, "tree").withColumn("subroot", F.col("digest")))
+        starts = materialize(over.select(F.col("pos").alias("tree"), "path")
+                                 .join(self.subroots, "tree").withColumn("subroot", F.col("digest")), "starts")
         found = descend(self.sources, starts, requests)
         return found.withColumn("path", F.reverse("path"))
 
