@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.functions.numeric import money_sum, safe_ratio, seconds_between
-from shopflow.operators.clean import event_order_key
 from shopflow.schema import EVENT_TYPES
 
 
-def _first_non_null(name: str):
-    # The smallest order key among rows where the column is set; the
-    # key carries the column itself, so one struct min gives the value.
-    return F.min(F.when(F.col(name).isNotNull(), event_order_key()))[name].alias(name)
-
-
 def session_unique_products(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
     """distinct products per session and event type, 0 when absent."""
     return distinct_by_type(events, "user_session", types, suffix="_unique")
@@ -38,39 +31,68 @@ def distinct_by_type(events: DataFrame, key: str, types: Sequence[str], *extra,
         *[money_sum(F.col(name)).alias(name) for name, _ in extra])
 
 
+def session_cells(events: DataFrame) -> DataFrame:
+    """Events collapsed by (session, type, product, brand, category): count,
+    extreme times, spend, and the smallest (time, price, user) of any row and
+    of the rows with a user.  A hot session spreads by product."""
+    row = F.struct(F.col("event_time").isNull().alias("t_null"), F.col("event_time"), F.col("price"), F.col("user_id"))
+    return events.groupBy("user_session", "event_type", "product_id", "brand", "category_code").agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_time").alias("t0"), F.max("event_time").alias("t1"),
+        F.sum("purchase_spending").alias("spend"), F.min(row).alias("any_row"),
+        F.min(F.when(F.col("user_id").isNotNull(), row)).alias("user_row"))
+
+
+def session_facts(cells: DataFrame) -> DataFrame:
+    """(session, kind, type, product, value, ...): a row for each product of a
+    type (kind 0, with the cell's measures), brand (1) and category (2) of a
+    cell; equal ones of a session are folded, which counts distinct values."""
+    def order_key(row: str) -> Column:
+        # event_order over the cell's rows: its columns are constant in the cell.
+        r = F.col(row)
+        return F.struct(r["t_null"].alias("t_null"), r["event_time"].alias("event_time"), F.col("product_id"), F.col("event_type"),
+                        r["price"].alias("price"), r["user_id"].alias("user_id"), F.col("brand"), F.col("category_code"))
+
+    measures = {"n": F.col("n"), "t0": F.col("t0"), "t1": F.col("t1"), "spend": F.col("spend"),
+                "first_user": F.when(F.col("user_row").isNotNull(), order_key("user_row")),
+                "first_brand": F.when(F.col("brand").isNotNull(), order_key("any_row")),
+                "first_category": F.when(F.col("category_code").isNotNull(), order_key("any_row"))}
+    none = F.lit(None)
+    base = cells.select("user_session", "event_type", "product_id", "brand", "category_code", *[c.alias(k) for k, c in measures.items()])
+    types = {f.name: f.dataType for f in base.schema.fields}
+
+    def fact(kind: int, value: Column) -> Column:
+        own = kind == 0
+        return F.struct(F.lit(kind).alias("kind"), *[(F.col(c) if own else none.cast(types[c])).alias(c) for c in ("event_type", "product_id")],
+                        value.cast("string").alias("value"), *[(F.col(k) if own else none.cast(types[k])).alias(k) for k in measures])
+
+    facts = F.array(fact(0, none), F.when(F.col("brand").isNotNull(), fact(1, F.col("brand"))),
+                    F.when(F.col("category_code").isNotNull(), fact(2, F.col("category_code"))))
+    each = base.select("user_session", F.explode(F.filter(facts, lambda x: x.isNotNull())).alias("f")).select("user_session", "f.*")
+    return each.groupBy("user_session", "kind", "event_type", "product_id", "value").agg(
+        F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.sum("spend").alias("spend"),
+        *[F.min(c).alias(c) for c in ("first_user", "first_brand", "first_category")])
+
+
 def session_features(events: DataFrame, types: Sequence[str] = EVENT_TYPES) -> DataFrame:
-    """F1-F6 over cleaned events, as two session-grain aggregates joined on
-    the session key.
-
-    * counts: counters, min/max time, spend and the distinct counts (F1,
-      F2b-F2e).  Spark plans the distinct counts with an Expand whose first
-      aggregation is keyed by (session, value), so a session holding a
-      third of all rows is spread over many tasks; the final per-session
-      step sees one partial row per task.  All buffers are fixed-width, so
-      this is a hash aggregate.
-    * firsts: first non-null user, category, brand (F2a).  Struct buffers
-      force a sort-based aggregate, so it runs on the plain rows rather
-      than on the expanded ones.
-
-    The reference left-joins F1 to F2; here F1 is in the same aggregate,
-    and the only join is between two tables with one row per session.
+    """F1-F6 over cleaned events from one scan, without a join.
+
+    Three combining aggregates: cells of (session, type, product, brand,
+    category), then distinct facts of a session, then the session.  A session
+    that holds a third of all rows spreads over tasks in the first two; the
+    last one gets a partial row per task and session.  First values (F2a) are
+    the smallest order key among rows where the column is set.
     """
-    t = F.col("event_type")
-    counts = events.groupBy("user_session").agg(
-        F.count_if(t == "view").alias("view_count"),
-        F.count_if(t == "cart").alias("cart_count"),
-        F.count_if(t == "purchase").alias("purchase_count"),
-        F.count_distinct("brand").alias("n_unique_brands"),
-        F.count_distinct("category_code").alias("n_unique_categories"),
-        F.min("event_time").alias("session_started_at"),
-        F.max("event_time").alias("session_ended_at"),
-        money_sum(F.col("purchase_spending")).alias("session_total_spending"),
-        *[F.count_distinct(F.when(t == x, F.col("product_id"))).alias(f"{x}_unique")
-          for x in sorted(types)],
-    )
-    firsts = events.groupBy("user_session").agg(
-        _first_non_null("user_id"), _first_non_null("category_code"), _first_non_null("brand"))
-    out = firsts.join(counts, on="user_session", how="inner")
+    t, product = F.col("event_type"), F.col("kind") == 0
+    named = product & F.col("product_id").isNotNull()
+    counted = lambda x: F.coalesce(F.sum(F.when(product & (t == x), F.col("n"))), F.lit(0))
+    out = session_facts(session_cells(events)).groupBy("user_session").agg(
+        F.min("first_user")["user_id"].alias("user_id"), F.min("first_category")["category_code"].alias("category_code"),
+        F.min("first_brand")["brand"].alias("brand"),
+        *[counted(x).alias(f"{x}_count") for x in EVENT_TYPES],
+        F.count_if(F.col("kind") == 1).alias("n_unique_brands"), F.count_if(F.col("kind") == 2).alias("n_unique_categories"),
+        F.min("t0").alias("session_started_at"), F.max("t1").alias("session_ended_at"),
+        money_sum(F.col("spend")).cast("decimal(28,2)").alias("session_total_spending"),
+        *[F.count_if(named & (t == x)).alias(f"{x}_unique") for x in sorted(types)])
     return (out
             .withColumn("session_duration", seconds_between(F.col("session_started_at"), F.col("session_ended_at")))
             .withColumn("view_to_purchase_rate", safe_ratio(F.col("purchase_unique"), F.col("view_unique")))
