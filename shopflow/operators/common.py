@@ -2,10 +2,42 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def require_columns(df: DataFrame, columns: Iterable[str], name: str) -> None:
+    """IO12: raise listing the missing columns (no Spark job)."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"Missing required columns in {name}: {missing}")
+
+
+# Names of the feature tables in messages.
+_FRAMES = {"sessions": "session_df", "users": "user_df", "brands": "brand_df", "categories": "category_df"}
+
+
+def requires(**columns: Iterable[str]) -> Callable:
+    """IO12 at the head of an analysis: ``requires(sessions=[...])`` checks the
+    argument of that name (when given) before anything is planned."""
+    def wrap(fn: Callable) -> Callable:
+        signature = inspect.signature(fn)
+
+        @functools.wraps(fn)
+        def checked(*args, **kwargs):
+            given = signature.bind(*args, **kwargs).arguments
+            for argument, wanted in columns.items():
+                if given.get(argument) is not None:
+                    require_columns(given[argument], wanted, _FRAMES.get(argument, argument))
+            return fn(*args, **kwargs)
+        return checked
+    return wrap
+
+
 def top_k(df: DataFrame, value: str, k: int, key: str | list[str]) -> DataFrame:
     """K7: the k largest by ``value``; ties go to the smallest key (the
     reference keeps the first row, and its tables are sorted by key).

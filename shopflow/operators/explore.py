@@ -254,14 +254,33 @@ def event_types(events: DataFrame) -> DataFrame:
     return events.select("event_type").distinct()
 
 
-def text_search(events: DataFrame, pattern: str | None, event_type: str | None = None) -> DataFrame:
+SEARCHED = ("brand", "category_code", "product_id")
+
+
+def search_values(events: DataFrame) -> DataFrame:
+    """The distinct (brand, category, product) of the events: what a search
+    looks at, as many rows as the catalogue has."""
+    return events.select(*SEARCHED).distinct()
+
+
+def text_search(events: DataFrame, pattern: str | None, event_type: str | None = None,
+                values: DataFrame | None = None) -> DataFrame:
     """Case-insensitive regex over brand, category and product id
-    text (null never matches), then an optional event-type filter."""
+    text (null never matches), then an optional event-type filter.
+
+    The expression runs once per distinct value (``values``, by default taken
+    from the events); the events are then semi-joined on the values found,
+    by broadcast when adaptive execution measures them small.
+    """
     out = events
     if pattern:
-        out = out.where(matches_regex(F.col("brand"), pattern)
-                        | matches_regex(F.col("category_code"), pattern)
-                        | matches_regex(F.col("product_id").cast("string"), pattern))
+        found = (search_values(events) if values is None else values).where(
+            matches_regex(F.col("brand"), pattern)
+            | matches_regex(F.col("category_code"), pattern)
+            | matches_regex(F.col("product_id").cast("string"), pattern))
+        found = found.select(*[F.col(c).alias(f"_{c}") for c in SEARCHED])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SEARCHED]
+        out = out.join(found, same[0] & same[1] & same[2], "left_semi")
     if event_type and event_type != "All":
         out = out.where(F.col("event_type") == event_type)
     return out

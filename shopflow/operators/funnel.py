@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import cut, keep_all_labels
 from shopflow.functions.numeric import mean_exact, safe_ratio
+from shopflow.operators.common import requires
 from shopflow.schema import DURATION_BINS, DURATION_LABELS, MAX_SESSION_DURATION_MINUTES
 
 
@@ -27,6 +28,7 @@ def funnel_rate_cols() -> list:
             safe_ratio(p, v).alias("view_to_purchase")]
 
 
+@requires(sessions=["view_count", "cart_count", "purchase_count"])
 def funnel_counts(sessions: DataFrame) -> DataFrame:
     """A1: one row of session counts."""
     return sessions.agg(*funnel_count_aggs())
@@ -42,6 +44,7 @@ def duration_bucket(duration_seconds) -> object:
     return cut(minutes, DURATION_BINS, DURATION_LABELS, right=True)
 
 
+@requires(sessions=["session_duration", "view_to_purchase_rate"])
 def duration_conversion(sessions: DataFrame) -> DataFrame:
     """A3: mean session rate per clipped-duration bucket; empty bucket -> 0."""
     agg = (sessions.withColumn("duration_category", duration_bucket(F.col("session_duration")))

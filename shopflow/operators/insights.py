@@ -16,6 +16,37 @@ from shopflow.schema import ALERT_DROP_PCT, LOW_FUNNEL_ALERT_THRESHOLD
 RATE_KEYS = ("view_to_cart", "cart_to_purchase", "view_to_purchase")
 
 
+# The texts of alerts and insights; {} stands for a number or name.
+ALERT_TEXTS = {
+    "dropped": "⚠️ {} dropped by {}% compared to baseline.",
+    "increased": "✅ {} increased by {}% compared to baseline.",
+}
+RULE_TEXTS = {
+    "low_view_to_cart": "⚠️ View→Cart conversion is low ({}%).",
+    "low_cart_to_purchase": "⚠️ Cart→Purchase conversion is low ({}%).",
+    "top_10_users": "💡 Top 10 users contribute {}% of user revenue (high concentration).",
+    "top_20_percent": "💡 Top 20% of users account for {}% of user revenue.",
+    "abandonment": "💰 {} cart abandonment sessions represent potential recovery of ${}.",
+    "weekend": "📈 Weekend conversion notably higher than weekday; consider shifting spend.",
+    "weekday": "📈 Weekday conversion notably higher than weekend; optimize campaigns accordingly.",
+    "best_hour": "⏰ Best conversion hour: {}:00.",
+    "revenue_month": "📅 Peak revenue month: {}.",
+    "conversion_month": "📅 Peak conversion month: {}.",
+    "loyalty": "⭐ Loyal users have {}% higher average spend than casual users.",
+    "no_revenue": "⚠️ Total revenue is zero—check data ingestion or filtering.",
+    "zero_spenders": "⚠️ Majority of users are zero spenders; consider focusing on activation strategies.",
+}
+
+
+def say(text: str, *values: Column) -> Column:
+    """A text with its places filled."""
+    parts = text.split("{}")
+    out = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        out += [value.cast("string"), F.lit(part)]
+    return F.concat(*out)
+
+
 def fmt1(x: Column) -> Column:
     """Python ``f"{x:.1f}"``."""
     return F.format_string("%.1f", F.rint(x * 10) / 10)
@@ -35,11 +66,10 @@ def _status(change: Column) -> Column:
 
 
 def _alert_message(metric: Column, change: Column) -> Column:
-    status = _status(change)
-    return (F.when(status == "dropped", F.concat(F.lit("⚠️ "), metric, F.lit(" dropped by "),
-                                               fmt1(F.abs(change) * 100), F.lit("% compared to baseline.")))
-            .when(status == "increased", F.concat(F.lit("✅ "), metric, F.lit(" increased by "),
-                                                  fmt1(change * 100), F.lit("% compared to baseline."))))
+    out = F.lit(None).cast("string")
+    for status, text in ALERT_TEXTS.items():
+        out = F.when(_status(change) == status, say(text, metric, fmt1(F.abs(change) * 100))).otherwise(out)
+    return out
 
 
 def baseline_alerts(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -80,37 +110,22 @@ def rule_message_cols() -> list[Column]:
     c = F.col
     wc, wd = c("weekend_conversion_rate"), c("weekday_conversion_rate")
     premium = (c("loyal_user_avg_spend") / c("casual_user_avg_spend") - 1) * 100
+    texts = RULE_TEXTS
     return [
-        F.when(c("view_to_cart") < LOW_FUNNEL_ALERT_THRESHOLD,
-               F.concat(F.lit("⚠️ View→Cart conversion is low ("), fmt1(c("view_to_cart") * 100), F.lit("%)."))),
+        F.when(c("view_to_cart") < LOW_FUNNEL_ALERT_THRESHOLD, say(texts["low_view_to_cart"], fmt1(c("view_to_cart") * 100))),
         F.when(c("cart_to_purchase") < LOW_FUNNEL_ALERT_THRESHOLD,
-               F.concat(F.lit("⚠️ Cart→Purchase conversion is low ("), fmt1(c("cart_to_purchase") * 100),
-                        F.lit("%)."))),
-        F.when(c("top_10_pct") > 0.5,
-               F.concat(F.lit("💡 Top 10 users contribute "), fmt1(c("top_10_pct") * 100),
-                        F.lit("% of user revenue (high concentration)."))),
-        F.when(c("top_20_pct_of_user_revenue") > 0,
-               F.concat(F.lit("💡 Top 20% of users account for "), fmt1(c("top_20_pct_of_user_revenue") * 100),
-                        F.lit("% of user revenue."))),
+               say(texts["low_cart_to_purchase"], fmt1(c("cart_to_purchase") * 100))),
+        F.when(c("top_10_pct") > 0.5, say(texts["top_10_users"], fmt1(c("top_10_pct") * 100))),
+        F.when(c("top_20_pct_of_user_revenue") > 0, say(texts["top_20_percent"], fmt1(c("top_20_pct_of_user_revenue") * 100))),
         F.when(c("cart_abandonment_sessions") > 0,
-               F.concat(F.lit("💰 "), c("cart_abandonment_sessions").cast("string"),
-                        F.lit(" cart abandonment sessions represent potential recovery of $"),
-                        fmt_money(c("potential_revenue_from_abandonment")), F.lit("."))),
-        F.when(wc > wd * 1.1, F.lit("📈 Weekend conversion notably higher than weekday; consider shifting spend."))
-         .when(wd > wc * 1.1,
-               F.lit("📈 Weekday conversion notably higher than weekend; optimize campaigns accordingly.")),
-        F.when(c("best_conversion_hour").isNotNull(),
-               F.concat(F.lit("⏰ Best conversion hour: "), c("best_conversion_hour").cast("string"), F.lit(":00."))),
-        F.when(c("peak_revenue_month").isNotNull(),
-               F.concat(F.lit("📅 Peak revenue month: "), c("peak_revenue_month").cast("string"), F.lit("."))),
-        F.when(c("peak_conversion_month").isNotNull(),
-               F.concat(F.lit("📅 Peak conversion month: "), c("peak_conversion_month").cast("string"), F.lit("."))),
-        F.when(c("has_loyalty") & (c("casual_user_avg_spend") > 0),
-               F.concat(F.lit("⭐ Loyal users have "), fmt1(premium),
-                        F.lit("% higher average spend than casual users."))),
-        F.when(c("total_revenue") == 0, F.lit("⚠️ Total revenue is zero—check data ingestion or filtering.")),
-        F.when(c("zero_spender_share") > 0.8,
-               F.lit("⚠️ Majority of users are zero spenders; consider focusing on activation strategies.")),
+               say(texts["abandonment"], c("cart_abandonment_sessions"), fmt_money(c("potential_revenue_from_abandonment")))),
+        F.when(wc > wd * 1.1, F.lit(texts["weekend"])).when(wd > wc * 1.1, F.lit(texts["weekday"])),
+        F.when(c("best_conversion_hour").isNotNull(), say(texts["best_hour"], c("best_conversion_hour"))),
+        F.when(c("peak_revenue_month").isNotNull(), say(texts["revenue_month"], c("peak_revenue_month"))),
+        F.when(c("peak_conversion_month").isNotNull(), say(texts["conversion_month"], c("peak_conversion_month"))),
+        F.when(c("has_loyalty") & (c("casual_user_avg_spend") > 0), say(texts["loyalty"], fmt1(premium))),
+        F.when(c("total_revenue") == 0, F.lit(texts["no_revenue"])),
+        F.when(c("zero_spender_share") > 0.8, F.lit(texts["zero_spenders"])),
     ]
 
 

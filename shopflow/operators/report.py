@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopflow.functions.buckets import cut
-from shopflow.functions.numeric import present
 from shopflow.functions.text import leaf_name
-from shopflow.operators.binning import exact_quantiles, qcut_column
+from shopflow.operators.binning import OrderStatistics, index_of, qcut_column
 from shopflow.operators.products import with_efficiency
 from shopflow.operators.retention import SPEND, _fits, _tier_plan
 from shopflow.schema import REPORT_EVENT_BINS, REPORT_SESSION_BINS, REPORT_SESSION_LABELS
@@ -55,25 +54,25 @@ def executive_summary(wide: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def report_ltv_column(users: DataFrame):
+def report_ltv_column(users: DataFrame, index: OrderStatistics | None = None):
     """E2's tiering: as R1, but the fallback is <= q33 Low, <= q67 Medium, else High."""
-    n, labels, edges = _tier_plan(users)
+    index = index_of(users, SPEND, index)
+    n, labels, edges = _tier_plan(index)
     spend = F.col(SPEND)
     if _fits(edges):
         return qcut_column(spend, edges, labels)
-    mx = users.agg(F.max(spend).cast("double")).first()[0]
-    if mx is None:
+    if index.most is None:
         return F.lit(None).cast("string")
-    if mx == 0:
+    if index.most == 0:
         return F.lit("No Spending")
-    q33, q67 = exact_quantiles(users, SPEND, [0.33, 0.67], tiebreak=["user_id"])
+    q33, q67 = index.quantiles([0.33, 0.67])
     v = spend.cast("double")
     return F.when(v <= q33, "Low").when(v <= q67, "Medium").when(v > q67, "High").otherwise("Low")
 
 
-def report_users(users: DataFrame, k: int | None = 1000) -> DataFrame:
+def report_users(users: DataFrame, k: int | None = 1000, index: OrderStatistics | None = None) -> DataFrame:
     """Users with LTV tier, top ``k`` by spend (the sheet's size)."""
-    out = users.withColumn("ltv_segment", report_ltv_column(users)).orderBy(
+    out = users.withColumn("ltv_segment", report_ltv_column(users, index)).orderBy(
         F.col(SPEND).desc(), F.col("user_id").asc())
     return out.limit(k) if k else out
 
@@ -167,9 +166,3 @@ def numbered_insights(insight_list: DataFrame) -> DataFrame:
     """1-based insight table."""
     return insight_list.select(F.col("insight_number").alias("Insight_Number"),
                                F.col("insight").alias("Business_Insight"))
-
-
-def drop_time_zone(df: DataFrame) -> DataFrame:
-    """Zoned timestamps become UTC wall-clock; decimals become double."""
-    return present(df)
-

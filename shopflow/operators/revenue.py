@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import cut, keep_all_labels
 from shopflow.functions.numeric import mean_exact, money_sum, safe_ratio
-from shopflow.operators.binning import order_statistics, qcut_column, quantile_edges
-from shopflow.operators.common import top_k, zip_one_row
+from shopflow.operators.binning import OrderStatistics, index_of, qcut_column, steps
+from shopflow.operators.common import requires, top_k, zip_one_row
 from shopflow.schema import ORDER_VALUE_BINS, ORDER_VALUE_LABELS, REVENUE_QUINTILE_LABELS
 
 
@@ -30,11 +30,13 @@ def abandonment_cols() -> list:
             (F.col("cart_abandonment_sessions") * F.col("avg_order_value")).alias("potential_revenue_from_abandonment")]
 
 
+@requires(sessions=["session_total_spending"])
 def revenue_totals(sessions: DataFrame) -> DataFrame:
     """AOV is the mean spend of spending *sessions*."""
     return sessions.agg(*revenue_total_aggs())
 
 
+@requires(sessions=["session_total_spending"])
 def order_value_distribution(sessions: DataFrame) -> DataFrame:
     """Spending sessions per order-value label; empty labels -> 0."""
     s = F.col("session_total_spending")
@@ -51,6 +53,7 @@ def top_k_revenue(users: DataFrame, k: int = 10) -> DataFrame:
         money_sum(F.col("user_total_spending")).alias("top_10_users_revenue"))
 
 
+@requires(users=["user_id", "user_total_spending"])
 def top10_user_share(users: DataFrame, k: int = 10) -> DataFrame:
     """Revenue of the top users and its share of all user revenue."""
     top = top_k(users, "user_total_spending", k, "user_id").agg(
@@ -62,50 +65,43 @@ def top10_user_share(users: DataFrame, k: int = 10) -> DataFrame:
          .otherwise(F.lit(0.0)).alias("top_10_pct"))
 
 
-def top_share(users: DataFrame, fraction: float = 0.2, min_one: bool = True) -> DataFrame:
+@requires(users=["user_total_spending"])
+def top_share(users: DataFrame, fraction: float = 0.2, min_one: bool = True,
+              index: OrderStatistics | None = None) -> DataFrame:
     """Revenue of the first floor(fraction * n) users by spend.
 
-    ``min_one`` keeps at least one user (A26); R7 has no minimum.  The sum of
-    the k largest spends is found without ordering the table: the k-th
-    largest spend v is an exact order statistic (``order_statistics``), and
-    the total is the sum above v plus v for each remaining place (ties at v
-    all have the same spend).
+    ``min_one`` keeps at least one user (A26); R7 has no minimum.  Counts and
+    the sum of the k largest spends are read from the index of spends.
     """
     spend = F.col("user_total_spending")
-    n = users.count()
+    found = index_of(users, "user_total_spending", index)
+    n = found.n_rows
     k = int(n * fraction)
     if min_one:
         k = max(1, k)
     k = min(k, n)
-    if k == 0:
-        top = users.agg(F.lit(0).cast("decimal(28,2)").alias("top_revenue"))
-    else:
-        v = order_statistics(users, "user_total_spending", [n - k], n, tiebreak=["user_id"])[0]
-        above = users.agg(money_sum(F.when(spend > F.lit(v), spend)).alias("_s"),
-                          F.count_if(spend > F.lit(v)).alias("_c"))
-        top = above.select((F.col("_s") + (F.lit(k) - F.col("_c")) * F.lit(v)).cast("decimal(28,2)")
-                           .alias("top_revenue"))
     total = users.agg(money_sum(spend).alias("total_revenue"))
-    return zip_one_row(top, total).select(
+    return total.withColumn("top_revenue", F.lit(found.top_sum(k)).cast("decimal(28,2)")).select(
         F.lit(k).cast("bigint").alias("top_users"),
         "top_revenue",
         F.when(F.col("total_revenue") > 0, safe_ratio(F.col("top_revenue"), F.col("total_revenue")))
          .otherwise(F.lit(0.0)).alias("top_share"))
 
 
-def top20pct_share(users: DataFrame) -> DataFrame:
+def top20pct_share(users: DataFrame, index: OrderStatistics | None = None) -> DataFrame:
     """A26."""
-    return top_share(users, 0.2, True).select(
+    return top_share(users, 0.2, True, index).select(
         F.col("top_users").alias("n_top_20_percent"),
         F.col("top_revenue").alias("top_20_percent_users_revenue"),
         F.col("top_share").alias("top_20_pct_of_user_revenue"))
 
 
-def revenue_quintiles(users: DataFrame, approx: bool = False) -> DataFrame:
+@requires(users=["user_total_spending"])
+def revenue_quintiles(users: DataFrame, index: OrderStatistics | None = None) -> DataFrame:
     """Zero spenders excluded; spend per quintile label, all labels kept."""
     spend = F.col("user_total_spending")
     nonzero = users.where(spend != 0)
-    edges = quantile_edges(nonzero, "user_total_spending", 5, tiebreak=["user_id"], approx=approx)
+    edges = index_of(users, "user_total_spending", index).quantiles(steps(5), without=0)
     if edges is None:
         agg = nonzero.select(F.lit(None).cast("string").alias("revenue_quintile"), spend).where(F.lit(False))
     else:
@@ -117,6 +113,7 @@ def revenue_quintiles(users: DataFrame, approx: bool = False) -> DataFrame:
         F.coalesce(F.col("user_total_spending"), F.lit(0).cast("decimal(28,2)")).alias("user_total_spending"))
 
 
+@requires(sessions=["session_total_spending", "cart_count", "purchase_count"])
 def cart_abandonment(sessions: DataFrame) -> DataFrame:
     """Carts without purchase; potential = count x AOV."""
     return sessions.agg(*abandonment_aggs(), *revenue_total_aggs()).select(*abandonment_cols())

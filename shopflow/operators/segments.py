@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.buckets import cut
 from shopflow.functions.numeric import bround, mean_exact
-from shopflow.operators.binning import qcut_column, quantile_edges
+from shopflow.operators.binning import OrderStatistics, index_of, qcut_column, steps
+from shopflow.operators.common import requires
 from shopflow.schema import (
     ACTIVITY_LEVEL_BINS, ACTIVITY_LEVEL_LABELS, LOYALTY_SESSION_CUTOFF,
     SPENDING_SEGMENT_LABELS, ZERO_SPENDER,
@@ -34,18 +35,19 @@ def has_both_cohorts():
     return (F.col("loyal_user_count") > 0) & (F.col("casual_user_count") > 0)
 
 
+@requires(users=["user_total_sessions", "user_total_spending", "user_view_to_purchase_rate"])
 def loyalty(users: DataFrame, cutoff: int = LOYALTY_SESSION_CUTOFF) -> DataFrame:
     """A4: loyal (>= cutoff sessions) vs casual users; no row unless both
     cohorts are non-empty."""
     return users.agg(*loyalty_aggs(cutoff)).where(has_both_cohorts())
 
 
-def spending_segments(users: DataFrame, approx: bool = False,
-                      on_duplicates: str = "collapse") -> DataFrame:
+@requires(users=["user_id", "user_total_spending"])
+def spending_segments(users: DataFrame, on_duplicates: str = "collapse",
+                      index: OrderStatistics | None = None) -> DataFrame:
     """A5: 'Zero Spender' for zero spend; spending quartiles of the rest."""
     spend = F.col("user_total_spending")
-    nonzero = users.where(spend > 0)
-    edges = quantile_edges(nonzero, "user_total_spending", 4, tiebreak=["user_id"], approx=approx)
+    edges = index_of(users, "user_total_spending", index).quantiles(steps(4), above=0)
     if edges is None:
         seg = F.lit(ZERO_SPENDER)
     else:
@@ -54,6 +56,7 @@ def spending_segments(users: DataFrame, approx: bool = False,
     return users.withColumn("spending_segment", seg)
 
 
+@requires(users=["user_total_sessions"])
 def activity_levels(users: DataFrame) -> DataFrame:
     """One-time / Casual / Regular / Power by session count."""
     return users.withColumn("activity_level",
@@ -61,6 +64,8 @@ def activity_levels(users: DataFrame) -> DataFrame:
                                 right=True, include_lowest=True))
 
 
+@requires(segmented=["spending_segment", "user_id", "user_total_spending", "user_total_sessions",
+                     "user_view_to_purchase_rate", "user_purchase_per_session"])
 def segment_stats(segmented: DataFrame) -> DataFrame:
     """Per spending segment, rounded to 2 (half-even)."""
     return segmented.groupBy("spending_segment").agg(

@@ -15,11 +15,15 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shopflow.operators.binning import OrderStatistics
 from shopflow.operators.clean import CLEAN_COLUMNS, add_session_clock, clean_base
+from shopflow.operators.explore import search_values
 from shopflow.operators.features import (
     brand_features, category_features, session_features, user_features,
 )
+from shopflow.operators.temporal import start_cells
 from shopflow.schema import EVENT_TYPES
 from shopflow.session import shared_dir
 from shopflow.sources import fixtures
@@ -38,7 +42,9 @@ class ShopContext:
         self.materialize = materialize
         self.types = tuple(types)
         self.tag = tag or uuid.uuid4().hex[:12]
+        self.sf_dir: str | None = None  # set for contexts over the test tables
         self._tables: dict[str, DataFrame] = {}
+        self._indexes: dict[str, OrderStatistics] = {}
         self._lock = threading.RLock()
 
     # -- construction -----------------------------------------------------
@@ -51,30 +57,48 @@ class ShopContext:
             ctx = _CACHE.get(key)
             if ctx is None or ctx.spark is not spark:
                 digest = hashlib.sha1("|".join(key).encode()).hexdigest()[:12]
-                if source == "orders":
-                    raw = lambda: fixtures.shop_events_from_orders(spark, sf_dir)
-                    types = EVENT_TYPES
-                elif source == "events":
-                    raw = lambda: fixtures.shop_events_from_event_log(spark, sf_dir)
-                    types = EVENT_TYPES + ("error", "signup")
-                else:
+                if source not in fixtures.SOURCES:
                     raise ValueError(f"unknown source {source!r}")
+                raw = lambda: fixtures.SOURCES[source](spark, sf_dir)
+                types = EVENT_TYPES + (("error", "signup") if source == "events" else ())
                 ctx = cls(spark, raw, materialize=materialize, types=types, tag=f"{source}-{digest}")
+                ctx.sf_dir = sf_dir
                 _CACHE[key] = ctx
             return ctx
 
     # -- stage tables -----------------------------------------------------
-    def _stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def _stage(self, name: str, build: Callable[[], DataFrame], write: bool | None = None) -> DataFrame:
         with self._lock:
             if name not in self._tables:
                 df = build()
-                if self.materialize:
+                if self.materialize if write is None else write:
                     path = f"{shared_dir(self.spark)}/shopflow/{self.tag}/{name}"
                     df.write.mode("overwrite").parquet(path)
                     df = self.spark.read.parquet(path)
                 self._tables[name] = df
             return self._tables[name]
 
+    def _index(self, name: str, build: Callable[[], DataFrame], column: str) -> OrderStatistics:
+        with self._lock:
+            if name not in self._indexes:
+                self._indexes[name] = OrderStatistics(build(), F.col(column))
+            return self._indexes[name]
+
+    @property
+    def spend_index(self) -> OrderStatistics:
+        """Values of the users' spend, for A5, A26, A27, R1-R3, R7 and E2."""
+        return self._index("spend", lambda: self.users, "user_total_spending")
+
+    @property
+    def duration_index(self) -> OrderStatistics:
+        """Values of the session durations, for A32."""
+        return self._index("duration", lambda: self.sessions, "session_duration")
+
+    @property
+    def start_cells(self) -> DataFrame:
+        """Sessions by month and hour of start (at most 289 rows), for A10-A15."""
+        return self._stage("start_cells", lambda: start_cells(self.sessions), write=True)
+
     @property
     def events_raw(self) -> DataFrame:
         return self._raw()
@@ -85,6 +109,11 @@ class ShopContext:
         of every feature table and event-level analysis."""
         return self._stage("events_base", lambda: clean_base(self._raw()))
 
+    @property
+    def search_values(self) -> DataFrame:
+        """Distinct (brand, category, product), for D25."""
+        return self._stage("search_values", lambda: search_values(self.events))
+
     @property
     def events_clean(self) -> DataFrame:
         """The full cleaned table (C1-C10), built on the materialised base."""

@@ -147,9 +147,19 @@ categories AS (
 )"""
 
 
+# The orders fixture with some of its events only.
+_FILTERS = {
+    "orders-browsing": "event_type = 'view'",
+    "orders-weekend": "event_type <> 'purchase' OR coalesce(isodow(event_time) >= 6, false)",
+}
+
+
 def with_chain(body: str, source: str = "orders") -> str:
     """Full SQL text: fixture -> cleaning -> features -> ``body``."""
-    if source == "orders":
-        return "WITH " + FIXTURE.strip() + ",\n" + _chain(("view", "cart", "purchase")).strip() + "\n" + body
-    return ("WITH " + EVENTS_FIXTURE.strip() + ",\n"
-            + _chain(("view", "cart", "purchase", "error", "signup")).strip() + "\n" + body)
+    if source == "events":
+        return ("WITH " + EVENTS_FIXTURE.strip() + ",\n"
+                + _chain(("view", "cart", "purchase", "error", "signup")).strip() + "\n" + body)
+    fixture = FIXTURE.strip()
+    if source in _FILTERS:
+        fixture = fixture.replace("\nraw AS (", "\nall_raw AS (") + f",\nraw AS (SELECT * FROM all_raw WHERE {_FILTERS[source]})"
+    return "WITH " + fixture + ",\n" + _chain(("view", "cart", "purchase")).strip() + "\n" + body

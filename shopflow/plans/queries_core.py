@@ -112,6 +112,14 @@ SELECT user_id, user_session, event_type, product_id, brand, category_code, {r6(
        {r6('purchase_spending', 'purchase_spending')}
 FROM ev""")(lambda c: c.events_clean)
 
+# The same table from a log whose times are text (C4); unparseable text is null.
+register("clean_events_text", f"""
+SELECT user_id, user_session, event_type, product_id, brand, category_code, {r6('price', 'price')},
+       event_time, hour, weekday, month, event_period, session_start,
+       {r6('time_since_start', 'time_since_start')}, {r6('prev_event_gap', 'prev_event_gap')},
+       {r6('purchase_spending', 'purchase_spending')}
+FROM ev""", source="orders-text")(lambda c: c.events_clean)
+
 register("event_gaps", f"""
 SELECT user_session, event_time, product_id, event_type, session_start,
        {r6('time_since_start', 'time_since_start')}, {r6('prev_event_gap', 'prev_event_gap')}
@@ -186,7 +194,7 @@ FROM loy""", source="events")(lambda c: segments.loyalty(c.users))
 
 register("spending_segments", NZQ4 + f"""
 SELECT user_id, {r6('user_total_spending', 'user_total_spending')}, spending_segment FROM useg""")(
-    lambda c: segments.spending_segments(c.users).select("user_id", "user_total_spending", "spending_segment"))
+    lambda c: segments.spending_segments(c.users, index=c.spend_index).select("user_id", "user_total_spending", "spending_segment"))
 
 register("activity_levels", """
 SELECT user_id, user_total_sessions,
@@ -202,7 +210,7 @@ SELECT spending_segment, count(user_id) AS user_count,
        {r6('round_even(avg(user_total_sessions), 2)', 'avg_total_sessions_per_user')},
        {r6('round_even(avg(user_view_to_purchase_rate), 2)', 'avg_conversion_rate')},
        {r6('round_even(avg(user_purchase_per_session), 2)', 'avg_purchases_per_session')}
-FROM useg GROUP BY spending_segment""")(lambda c: segments.segment_stats(segments.spending_segments(c.users)))
+FROM useg GROUP BY spending_segment""")(lambda c: segments.segment_stats(segments.spending_segments(c.users, index=c.spend_index)))
 
 # -- temporal ------------------------------------------------------------------
 register("weekend_conversion", WEEKEND + f"""
@@ -213,21 +221,21 @@ SELECT {r6('weekend_conversion_rate', 'weekend_conversion_rate')},
 register("monthly", MONTHLY + f"""
 SELECT month, user_session, {r6('session_total_spending', 'session_total_spending')},
        {r6('view_to_purchase_rate', 'view_to_purchase_rate')} FROM monthly""")(
-    lambda c: temporal.monthly(c.sessions))
+    lambda c: temporal.monthly(cells=c.start_cells))
 
 register("quarterly", MONTHLY + f"""
 SELECT quarter, user_session, {r6('session_total_spending', 'session_total_spending')},
        {r6('view_to_purchase_rate', 'view_to_purchase_rate')} FROM quarterly""")(
-    lambda c: temporal.quarterly(c.sessions))
+    lambda c: temporal.quarterly(cells=c.start_cells))
 
 register("time_periods", MONTHLY + f"""
 SELECT time_period, user_session, {r6('view_to_purchase_rate', 'view_to_purchase_rate')},
        {r6('session_total_spending', 'session_total_spending')} FROM periods""")(
-    lambda c: temporal.time_periods(c.sessions))
+    lambda c: temporal.time_periods(cells=c.start_cells))
 
 register("hourly", MONTHLY + f"""
 SELECT hour, user_session, {r6('view_to_purchase_rate', 'view_to_purchase_rate')} FROM hourly""")(
-    lambda c: temporal.hourly(c.sessions))
+    lambda c: temporal.hourly(cells=c.start_cells))
 
 PEAKS = MONTHLY + """
 , peaks AS (
@@ -237,7 +245,7 @@ PEAKS = MONTHLY + """
          (SELECT month FROM monthly ORDER BY view_to_purchase_rate DESC, month LIMIT 1) AS peak_conversion_month)"""
 register("temporal_peaks", PEAKS + """
 SELECT peak_activity_hour, best_conversion_hour, peak_revenue_month, peak_conversion_month FROM peaks""")(
-    lambda c: temporal.temporal_peaks(c.sessions))
+    lambda c: temporal.temporal_peaks(cells=c.start_cells))
 
 # -- products ------------------------------------------------------------------
 register("top_brands", f"""
@@ -298,7 +306,7 @@ register("top20pct_share", f"""
 , a AS (SELECT sum(user_total_spending) AS s FROM users)
 SELECT n.k AS n_top_20_percent, {r6('t.s', 'top_20_percent_users_revenue')},
        {r6('CASE WHEN a.s > 0 THEN CAST(t.s AS DOUBLE) / CAST(a.s AS DOUBLE) ELSE 0.0 END', 'top_20_pct_of_user_revenue')}
-FROM n, t, a""")(lambda c: revenue.top20pct_share(c.users))
+FROM n, t, a""")(lambda c: revenue.top20pct_share(c.users, c.spend_index))
 
 register("revenue_quintiles", f"""
 , q AS (SELECT quantile_cont(CAST(user_total_spending AS DOUBLE), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q
@@ -312,7 +320,7 @@ register("revenue_quintiles", f"""
 SELECT l.revenue_quintile, {r6('coalesce(a.s, 0)', 'user_total_spending')}
 FROM (VALUES ('Bottom 20%'), ('Low 20%'), ('Middle 20%'), ('High 20%'), ('Top 20%')) l(revenue_quintile)
 LEFT JOIN (SELECT revenue_quintile, sum(user_total_spending) AS s FROM lab GROUP BY 1) a USING (revenue_quintile)""")(
-    lambda c: revenue.revenue_quintiles(c.users))
+    lambda c: revenue.revenue_quintiles(c.users, c.spend_index))
 
 register("cart_abandonment", REVENUE + f"""
 SELECT CAST(cart_abandonment_sessions AS BIGINT) AS cart_abandonment_sessions,
@@ -339,7 +347,7 @@ register("session_quality", QUALITY + f"""
 SELECT session_quality, count(user_session) AS user_session,
        {r6('round_even(avg(view_to_purchase_rate), 3)', 'view_to_purchase_rate')},
        {r6('round_even(avg(session_total_spending), 3)', 'session_total_spending')}
-FROM sq GROUP BY session_quality""")(lambda c: behavior.session_quality(c.sessions))
+FROM sq GROUP BY session_quality""")(lambda c: behavior.session_quality(c.sessions, c.duration_index))
 
 # -- second fixture: the ``events`` table (extra event types error/signup) ------
 register("session_features_events", """
@@ -378,4 +386,4 @@ SELECT spending_segment, count(user_id) AS user_count,
        {r6('round_even(avg(user_view_to_purchase_rate), 2)', 'avg_conversion_rate')},
        {r6('round_even(avg(user_purchase_per_session), 2)', 'avg_purchases_per_session')}
 FROM useg GROUP BY spending_segment""", source="events")(
-    lambda c: segments.segment_stats(segments.spending_segments(c.users)))
+    lambda c: segments.segment_stats(segments.spending_segments(c.users, index=c.spend_index)))

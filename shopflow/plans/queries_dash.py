@@ -144,7 +144,7 @@ SELECT spending_segment, count(user_id) AS user_count,
        {r6('round_even(avg(user_view_to_purchase_rate), 2)', 'avg_conversion_rate')},
        {r6('round_even(avg(user_purchase_per_session), 2)', 'avg_purchases_per_session')}
 FROM useg WHERE spending_segment <> 'Zero Spender' GROUP BY spending_segment""")(
-    lambda c: explore.nonzero_segments(segments.segment_stats(segments.spending_segments(c.users))))
+    lambda c: explore.nonzero_segments(segments.segment_stats(segments.spending_segments(c.users, index=c.spend_index))))
 
 register("recovery_scenarios", REVENUE + f"""
 SELECT CAST(x.r AS DOUBLE) AS recovery_rate, {r6('cart_abandonment_sessions * avg_order_value * x.r', 'recovered_revenue')}
@@ -166,7 +166,7 @@ FROM breadth""")(lambda c: explore.brand_breadth_gap(behavior.brand_breadth(c.se
 register("peak_quarter", MONTHLY + f"""
 SELECT quarter AS peak_quarter, {r6('session_total_spending', 'peak_revenue')}
 FROM quarterly ORDER BY session_total_spending DESC, quarter LIMIT 1""")(
-    lambda c: explore.peak_quarter(temporal.quarterly(c.sessions)))
+    lambda c: explore.peak_quarter(temporal.quarterly(cells=c.start_cells)))
 
 register("behavior_table", BREADTH + f"""
 SELECT 'Multi-Brand' AS shopping_behavior, {r6('multi_brand_conversion * 100', 'conversion_rate')},
@@ -221,7 +221,7 @@ SEARCH = FILTERED + f"""
                               AND event_type = '{SEARCH_TYPE}')"""
 register("text_search", SEARCH + """
 SELECT count(*) AS records_found FROM hits""")(
-    lambda c: explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE).agg(
+    lambda c: explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE, c.search_values).agg(
         F.count(F.lit(1)).alias("records_found")))
 
 register("top_products", SEARCH + f"""
@@ -230,14 +230,14 @@ SELECT product_id, brand, split_part(category_code, '.', -1) AS category_display
 FROM hits WHERE product_id IS NOT NULL AND brand IS NOT NULL AND category_code IS NOT NULL
 GROUP BY product_id, brand, category_code
 ORDER BY coalesce(sum(purchase_spending), 0) DESC, product_id, brand, category_code LIMIT 10""")(
-    lambda c: explore.top_products(explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE), 10))
+    lambda c: explore.top_products(explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE, c.search_values), 10))
 
 register("search_sample", SEARCH + f"""
 SELECT user_id, user_session, event_type, product_id, brand, category_code, {r6('price', 'price')}, event_time,
        hour, weekday, month, event_period, {r6('purchase_spending', 'purchase_spending')}
 FROM hits ORDER BY event_time NULLS LAST, user_session, product_id NULLS FIRST, event_type NULLS FIRST,
          price NULLS FIRST, user_id NULLS FIRST, brand NULLS FIRST, category_code NULLS FIRST LIMIT 50""")(
-    lambda c: explore.search_sample(explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE), 50))
+    lambda c: explore.search_sample(explore.text_search(_filtered(c), SEARCH_PATTERN, SEARCH_TYPE, c.search_values), 50))
 
 # -- R1-R7 ---------------------------------------------------------------------
 LTV = """
@@ -249,17 +249,17 @@ LTV = """
                           ELSE 'Diamond' END AS ltv_segment FROM users u, ltvq)"""
 register("ltv_segments", LTV + f"""
 SELECT user_id, {r6('user_total_spending', 'user_total_spending')}, ltv_segment FROM ltv""")(
-    lambda c: retention.ltv_segments(c.users).select("user_id", "user_total_spending", "ltv_segment"))
+    lambda c: retention.ltv_segments(c.users, c.spend_index).select("user_id", "user_total_spending", "ltv_segment"))
 
 register("ltv_stats", LTV + f"""
 SELECT ltv_segment, count(user_id) AS user_count, {r6('avg(user_total_spending)', 'avg_user_total_spending')},
        {r6('avg(user_total_sessions)', 'avg_user_total_sessions')} FROM ltv GROUP BY ltv_segment""")(
-    lambda c: retention.ltv_stats(retention.ltv_segments(c.users)))
+    lambda c: retention.ltv_stats(retention.ltv_segments(c.users, c.spend_index)))
 
 register("high_value_users", f"""
 , q AS (SELECT quantile_cont(CAST(user_total_spending AS DOUBLE), 0.8) AS t FROM users)
 SELECT {r6('t', 'spend_threshold')}, count_if(CAST(user_total_spending AS DOUBLE) > t)::BIGINT AS high_value_users
-FROM users, q GROUP BY t""")(lambda c: retention.high_value_users(c.users))
+FROM users, q GROUP BY t""")(lambda c: retention.high_value_users(c.users, index=c.spend_index))
 
 register("session_frequency", """
 SELECT user_total_sessions, count(*) AS user_count FROM users GROUP BY 1
@@ -288,4 +288,4 @@ register("pareto_8020", f"""
 , a AS (SELECT sum(user_total_spending) AS s FROM users)
 SELECT n.k AS top_20_pct_users, {r6('t.s', 'top_20_revenue')},
        {r6('CASE WHEN a.s > 0 THEN CAST(t.s AS DOUBLE) / CAST(a.s AS DOUBLE) ELSE 0.0 END * 100', 'revenue_concentration_pct')}
-FROM n, t, a""")(lambda c: retention.pareto_8020(c.users))
+FROM n, t, a""")(lambda c: retention.pareto_8020(c.users, c.spend_index))

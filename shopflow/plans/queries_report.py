@@ -8,10 +8,14 @@ from shopflow.operators import funnel, insights, products, report, revenue, segm
 from shopflow.operators.common import zip_one_row
 from shopflow.plans import summary as S
 from shopflow.plans.catalog import register
-from shopflow.plans.queries_core import FUNNEL, LOYALTY, NZQ4, PEAKS, REVENUE, WEEKEND
+from shopflow.plans.context import ShopContext
+from shopflow.plans.oracle import with_chain
+from shopflow.plans.queries_core import FUNNEL, LOYALTY, NZQ4, PEAKS, QUALITY, REVENUE, WEEKEND
 from shopflow.plans.queries_dash import LTV, USER_COLS
 from shopflow.plans.sqlfrag import r6
+from shopflow.session import shared_dir
 from shopflow.sources.snapshot import snapshot_status
+from shopflow.sources.summary import baseline_funnel, read_summary, write_summary
 
 BASELINE_FACTORS = {"view_to_cart": 1.2, "cart_to_purchase": 1.0, "view_to_purchase": 0.8}
 
@@ -41,6 +45,31 @@ SELECT position, metric, {r6('current', 'current')}, {r6('baseline', 'baseline')
        status, message FROM alerts""")(
     lambda c: insights.baseline_alerts(funnel.funnel_rates(c.sessions), _baseline(c)))
 
+
+
+def _stored_baseline(c):
+    """The summary of the second fixture's log, stored as JSON and read back
+    as an earlier run's baseline."""
+    other = ShopContext.for_source(c.spark, c.sf_dir, "events")
+    path = write_summary(S.build_summary(other, tag="baseline", generated_at="1970-01-01T00:00:00Z"),
+                         f"{shared_dir(c.spark)}/shopflow/{c.tag}/baseline", "events")
+    return baseline_funnel(read_summary(c.spark, path))
+
+
+_EVENT_RATES = with_chain(FUNNEL + """
+SELECT view_to_cart, cart_to_purchase, view_to_purchase FROM fr""", "events")
+_STORED = FUNNEL + f"""
+, bl AS ({_EVENT_RATES})
+, al AS (
+  SELECT 0 AS position, 'view_to_cart' AS metric, fr.view_to_cart AS current, bl.view_to_cart AS baseline FROM fr, bl
+  UNION ALL SELECT 1, 'cart_to_purchase', fr.cart_to_purchase, bl.cart_to_purchase FROM fr, bl
+  UNION ALL SELECT 2, 'view_to_purchase', fr.view_to_purchase, bl.view_to_purchase FROM fr, bl)""" + ALERTS[ALERTS.index("\n, al2 AS"):]
+
+register("baseline_alerts_stored", _STORED + f"""
+SELECT position, metric, {r6('current', 'current')}, {r6('baseline', 'baseline')}, {r6('change', 'change')},
+       status, message FROM alerts""")(
+    lambda c: insights.baseline_alerts(funnel.funnel_rates(c.sessions), _stored_baseline(c)))
+
 FACTS = FUNNEL + REVENUE + WEEKEND + PEAKS + LOYALTY + NZQ4 + """
 , t10 AS (SELECT CASE WHEN a.s > 0 THEN CAST(t.s AS DOUBLE) / CAST(a.s AS DOUBLE) ELSE 0.0 END AS top_10_pct
           FROM (SELECT sum(user_total_spending) AS s FROM
@@ -78,6 +107,13 @@ register("insights", FACTS + """
 SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS insight_number, m AS insight FROM msgs WHERE m IS NOT NULL""")(
     lambda c: S.insight_list(c))
 
+# Logs in which the rules fire that stay silent on the whole orders log: low
+# funnel, zero revenue, zero spenders (views only) and weekend lead.
+for _source in ("browsing", "weekend"):
+    register(f"insights_{_source}", FACTS + """
+SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS insight_number, m AS insight FROM msgs WHERE m IS NOT NULL""",
+             source=f"orders-{_source}")(lambda c: S.insight_list(c))
+
 register("numbered_insights", FACTS + ALERTS.replace(FUNNEL, "") + """
 , allm AS (SELECT position AS o, message AS m FROM alerts UNION ALL SELECT 100 + o, m FROM msgs)
 SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS Insight_Number, m AS Business_Insight
@@ -120,7 +156,7 @@ _EXEC_COLS = [col for _, _, col, _ in report.EXECUTIVE_ROWS]
 
 register("report_users", LTV + f"""
 SELECT {USER_COLS}, ltv_segment FROM ltv ORDER BY user_total_spending DESC, user_id LIMIT 1000""")(
-    lambda c: report.report_users(c.users, 1000))
+    lambda c: report.report_users(c.users, 1000, c.spend_index))
 
 register("report_sessions", f"""
 SELECT user_session, user_id, category_code, brand, view_count, cart_count, purchase_count,
@@ -170,8 +206,8 @@ SELECT 'Time Period' AS Analysis_Type, time_period AS Period, user_session AS Se
 UNION ALL SELECT 'Hourly', 'Hour ' || CAST(hour AS VARCHAR), user_session, round(view_to_purchase_rate, 6), 0.0 FROM hourly
 UNION ALL SELECT 'Quarterly', 'Q' || CAST(quarter AS VARCHAR), user_session, round(view_to_purchase_rate, 6),
                  round(CAST(session_total_spending AS DOUBLE), 6) FROM quarterly""")(
-    lambda c: report.temporal_union(temporal.time_periods(c.sessions), temporal.hourly(c.sessions),
-                                    temporal.quarterly(c.sessions)))
+    lambda c: report.temporal_union(temporal.time_periods(cells=c.start_cells), temporal.hourly(cells=c.start_cells),
+                                    temporal.quarterly(cells=c.start_cells)))
 
 register("recovery_report", REVENUE + LOYALTY + """
 SELECT 1 AS position, 'Cart Abandonment Recovery' AS Opportunity_Type,
@@ -235,3 +271,102 @@ def _sheet_index_sql() -> str:
 
 
 register("report_sheets", _sheet_index_sql())(_sheet_index)
+
+
+# Lists of the nested summary (A38): section path, label and values of their
+# structs, and the SQL of the same rows in order.
+_LISTS = [
+    ("segmentation.segment_stats", "spending_segment",
+     ["user_count", "avg_total_spending_per_user", "avg_total_sessions_per_user", "avg_conversion_rate", "avg_purchases_per_session"],
+     """SELECT spending_segment AS label, spending_segment AS o, 0 AS o2, count(user_id) AS v1, round_even(avg(user_total_spending), 2) AS v2,
+        round_even(avg(user_total_sessions), 2) AS v3, round_even(avg(user_view_to_purchase_rate), 2) AS v4,
+        round_even(avg(user_purchase_per_session), 2) AS v5 FROM useg GROUP BY spending_segment"""),
+    ("temporal.monthly", "month", ["user_session", "session_total_spending", "view_to_purchase_rate"],
+     "SELECT month AS label, month AS o, 0 AS o2, user_session AS v1, session_total_spending AS v2, view_to_purchase_rate AS v3, NULL AS v4, NULL AS v5 FROM monthly"),
+    ("temporal.quarterly", "quarter", ["user_session", "session_total_spending", "view_to_purchase_rate"],
+     "SELECT quarter AS label, quarter AS o, 0 AS o2, user_session AS v1, session_total_spending AS v2, view_to_purchase_rate AS v3, NULL AS v4, NULL AS v5 FROM quarterly"),
+    ("temporal.time_period", "time_period", ["user_session", "view_to_purchase_rate", "session_total_spending"],
+     "SELECT time_period AS label, ord AS o, 0 AS o2, user_session AS v1, view_to_purchase_rate AS v2, session_total_spending AS v3, NULL AS v4, NULL AS v5 FROM periods"),
+    ("temporal.hourly", "hour", ["user_session", "view_to_purchase_rate"],
+     "SELECT hour AS label, hour AS o, 0 AS o2, user_session AS v1, view_to_purchase_rate AS v2, NULL AS v3, NULL AS v4, NULL AS v5 FROM hourly"),
+    ("product_performance.top_brands", "brand", ["purchase_spending", "brand_view_to_purchase_rate"],
+     """SELECT * FROM (SELECT brand AS label, -purchase_spending AS o, brand AS o2, purchase_spending AS v1, brand_view_to_purchase_rate AS v2,
+        NULL AS v3, NULL AS v4, NULL AS v5 FROM brands ORDER BY o, o2 LIMIT 10)"""),
+    ("product_performance.top_efficient_brands", "brand", ["efficiency_score"],
+     """SELECT * FROM (SELECT brand AS label, -brand_view_to_purchase_rate * CAST(purchase_spending AS DOUBLE) AS o, brand AS o2,
+        brand_view_to_purchase_rate * CAST(purchase_spending AS DOUBLE) AS v1, NULL AS v2, NULL AS v3, NULL AS v4, NULL AS v5 FROM brands ORDER BY o, o2 LIMIT 5)"""),
+    ("product_performance.top_categories", "category_code", ["purchase_spending", "category_view_to_purchase_rate"],
+     """SELECT * FROM (SELECT category_code AS label, -purchase_spending AS o, category_code AS o2, purchase_spending AS v1,
+        category_view_to_purchase_rate AS v2, NULL AS v3, NULL AS v4, NULL AS v5 FROM categories ORDER BY o, o2 LIMIT 5)"""),
+    ("product_performance.top_efficient_categories", "category_code", ["efficiency_score"],
+     """SELECT * FROM (SELECT category_code AS label, -category_view_to_purchase_rate * CAST(purchase_spending AS DOUBLE) AS o, category_code AS o2,
+        category_view_to_purchase_rate * CAST(purchase_spending AS DOUBLE) AS v1, NULL AS v2, NULL AS v3, NULL AS v4, NULL AS v5 FROM categories ORDER BY o, o2 LIMIT 3)"""),
+    ("advanced.quality_analysis", "session_quality", ["user_session", "view_to_purchase_rate", "session_total_spending"],
+     """SELECT session_quality AS label, session_quality AS o, 0 AS o2, count(user_session) AS v1, round_even(avg(view_to_purchase_rate), 3) AS v2,
+        round_even(avg(session_total_spending), 3) AS v3, NULL AS v4, NULL AS v5 FROM sq GROUP BY session_quality"""),
+    ("insights", None, [],
+     "SELECT m AS label, o, 0 AS o2, NULL AS v1, NULL AS v2, NULL AS v3, NULL AS v4, NULL AS v5 FROM msgs WHERE m IS NOT NULL"),
+]
+
+
+def summary_lists(summary):
+    """(list, position, label, v1..v5): the entries of every list of a nested summary."""
+    def rows(path, label, values):
+        def entry(x, i):
+            fields = [x[v].cast("double") for v in values] + [F.lit(None).cast("double")] * (5 - len(values))
+            return F.struct(F.lit(path).alias("list"), (i + 1).alias("position"), (x[label] if label else x).cast("string").alias("label"),
+                            *[f.alias(f"v{n}") for n, f in enumerate(fields, 1)])
+        return F.transform(F.col(f"summary.{path}"), entry)
+    return summary.select(F.explode(F.concat(*[rows(*x[:3]) for x in _LISTS])).alias("e")).select("e.*")
+
+
+register("summary_lists", FACTS + QUALITY + "".join(f"\n, l{i} AS ({sql})" for i, (_, _, _, sql) in enumerate(_LISTS)) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{path}' AS list, CAST(row_number() OVER (ORDER BY o, o2) AS INTEGER) AS position, CAST(label AS VARCHAR) AS label, "
+    + ", ".join(r6(f"v{n}", f"v{n}") for n in range(1, 6)) + f" FROM l{i}" for i, (path, _, _, _) in enumerate(_LISTS)))(
+    lambda c: summary_lists(S.build_summary(c, tag="lists", generated_at="1970-01-01T00:00:00Z")))
+
+# Columns of the report's sheets whose contents are totalled: numbers add up,
+# texts count their characters.
+_SHEET_COLUMNS = {
+    "executive_summary": (["position", "Value"], ["Category", "Metric", "Description"]),
+    "report_users": (["user_id", "user_total_sessions", "total_purchase_count", "user_total_spending", "user_view_to_purchase_rate"], ["ltv_segment"]),
+    "report_sessions": (["user_id", "view_count", "session_total_spending", "session_duration_minutes"], ["user_session", "session_quality"]),
+    "report_brands": (["view", "purchase", "brand_view_to_purchase_rate", "purchase_spending", "efficiency_score"], ["brand"]),
+    "report_categories": (["view", "purchase", "category_view_to_purchase_rate", "purchase_spending", "efficiency_score"], ["category_code", "category_display"]),
+    "report_top_brands": (["purchase_spending", "efficiency_score"], ["brand"]),
+    "report_top_categories": (["purchase_spending", "efficiency_score"], ["category_code", "category_display"]),
+    "temporal_union": (["Sessions", "Conversion_Rate", "Total_Spending"], ["Analysis_Type", "Period"]),
+    "recovery_report": (["position"], ["Opportunity_Type", "Current_State", "Potential_Impact", "Recovery_at_25%", "Recovery_at_50%", "Priority"]),
+    "numbered_insights": (["Insight_Number"], ["Business_Insight"]),
+}
+
+
+def _report_values(c):
+    """(sheet, column_name, n, total) of the report as written and read back."""
+    from shopflow.plans.report import SHEETS, write_full_report
+    paths = write_full_report(c, f"{shared_dir(c.spark)}/shopflow/{c.tag}", "values")
+    out = None
+    for sheet, name, _ in SHEETS:
+        numbers, texts = _SHEET_COLUMNS[name]
+        totals = [F.struct(F.lit(x).alias("column_name"), F.count(F.col(f"`{x}`")).alias("n"),
+                           F.sum((F.char_length(F.col(f"`{x}`")) if x in texts else F.col(f"`{x}`")).cast("decimal(28,6)")).cast("double").alias("total"))
+                  for x in numbers + texts]
+        rows = c.spark.read.parquet(paths[sheet]).agg(F.array(*totals).alias("t")).select(F.lit(name).alias("sheet"), F.explode("t").alias("t")).select("sheet", "t.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _report_values_sql() -> str:
+    from shopflow.plans.catalog import REGISTRY
+    parts = []
+    for name, (numbers, texts) in _SHEET_COLUMNS.items():
+        sheet = f"({with_chain(REGISTRY[name].sql)})"
+        each = " UNION ALL ".join(
+            f"""SELECT '{name}' AS sheet, '{x}' AS column_name, count("{x}") AS n, """
+            f"""round(CAST(sum(CAST({'length("' + x + '")' if x in texts else '"' + x + '"'} AS DECIMAL(28,6))) AS DOUBLE), 6) AS total FROM s"""
+            for x in numbers + texts)
+        parts.append(f"SELECT * FROM (WITH s AS {sheet} {each})")
+    return " UNION ALL ".join(parts)
+
+
+register("report_values", _report_values_sql())(_report_values)

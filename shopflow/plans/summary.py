@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.numeric import money_sum, nan_to_null, present
 from shopflow.operators import behavior, funnel, insights, products, revenue, segments, temporal
-from shopflow.operators.common import zip_one_row
+from shopflow.operators.common import require_columns, zip_one_row
 from shopflow.plans.context import ShopContext
-from shopflow.schema import TIME_PERIOD_LABELS
+from shopflow.schema import FEATURE_COLUMNS, TIME_PERIOD_LABELS
 
 FUNNEL_COUNTS = ["total_sessions", "sessions_with_views", "sessions_with_carts", "sessions_with_purchases"]
 RATES = ["view_to_cart", "cart_to_purchase", "view_to_purchase"]
@@ -58,7 +58,7 @@ class Parts:
 
     @property
     def segmented(self):
-        return self.get("segmented", lambda: segments.spending_segments(self.ctx.users))
+        return self.get("segmented", lambda: segments.spending_segments(self.ctx.users, index=self.ctx.spend_index))
 
     @property
     def segment_stats(self):
@@ -74,7 +74,7 @@ class Parts:
 
     @property
     def peaks(self):
-        return self.get("peaks", lambda: temporal.temporal_peaks(self.ctx.sessions))
+        return self.get("peaks", lambda: temporal.temporal_peaks(cells=self.ctx.start_cells))
 
     @property
     def top10_sum(self):
@@ -82,7 +82,7 @@ class Parts:
 
     @property
     def top20(self):
-        return self.get("top20", lambda: revenue.top20pct_share(self.ctx.users))
+        return self.get("top20", lambda: revenue.top20pct_share(self.ctx.users, self.ctx.spend_index))
 
     def wide(self, baseline: DataFrame | None = None) -> DataFrame:
         """One row with every scalar metric and fact (and the baseline
@@ -133,26 +133,29 @@ def build_summary(ctx: ShopContext, tag: str = "run", baseline: DataFrame | None
     """One row ``{generated_at, tag, summary}``; ``summary`` holds the six
     sections and the ordered insights."""
     s, u, b, c = ctx.sessions, ctx.users, ctx.brands, ctx.categories
+    for name, frame in (("session_features", s), ("user_features", u), ("brand_features", b), ("category_features", c)):
+        require_columns(frame, FEATURE_COLUMNS[name], name)
+    cells = ctx.start_cells
     p = Parts(ctx)
     rank = lambda df, v: df.withColumn("_r", -F.col(v).cast("double"))
-    periods = temporal.time_periods(s).withColumn(
+    periods = temporal.time_periods(cells=cells).withColumn(
         "_o", F.array_position(F.array(*[F.lit(x) for x in TIME_PERIOD_LABELS]), F.col("time_period")))
     lists = [
         _label_map(funnel.duration_conversion(s), "duration_category", "view_to_purchase_rate",
                    "duration_bucket_conversion"),
         _rows(p.segment_stats, "spending_segment", "segment_stats"),
-        _rows(temporal.monthly(s), "month", "monthly"),
-        _rows(temporal.quarterly(s), "quarter", "quarterly"),
+        _rows(temporal.monthly(cells=cells), "month", "monthly"),
+        _rows(temporal.quarterly(cells=cells), "quarter", "quarterly"),
         _rows(periods, "_o", "time_period"),
-        _rows(temporal.hourly(s), "hour", "hourly"),
+        _rows(temporal.hourly(cells=cells), "hour", "hourly"),
         _rows(rank(products.top_brands(b), "purchase_spending"), "_r", "top_brands"),
         products.product_averages(b, c),
         _rows(rank(products.efficient_brands(b), "efficiency_score"), "_r", "top_efficient_brands"),
         _rows(rank(products.top_categories(c), "purchase_spending"), "_r", "top_categories"),
         _rows(rank(products.efficient_categories(c), "efficiency_score"), "_r", "top_efficient_categories"),
         _label_map(revenue.order_value_distribution(s), "order_value_category", "count", "order_value_distribution"),
-        _label_map(revenue.revenue_quintiles(u), "revenue_quintile", "user_total_spending", "segment_revenue"),
-        _rows(behavior.session_quality(s), "session_quality", "quality_analysis"),
+        _label_map(revenue.revenue_quintiles(u, ctx.spend_index), "revenue_quintile", "user_total_spending", "segment_revenue"),
+        _rows(behavior.session_quality(s, ctx.duration_index), "session_quality", "quality_analysis"),
     ]
     w = present(zip_one_row(p.wide(baseline), *lists))
     loyalty = F.when(F.col("has_loyalty"), _struct(*segments.LOYALTY_COLUMNS))

@@ -25,6 +25,31 @@ EVENT_COLUMNS = [f.name for f in EVENTS_RAW_CSV.fields]
 # (absent types give zero columns instead of a missing column).
 EVENT_TYPES = ("view", "cart", "purchase")
 
+# Columns of the feature tables and their types; an event type beyond the fixed
+# ones adds a column of distinct products.
+TYPE_COUNT = "bigint"
+_RATES = "double"
+FEATURE_COLUMNS: dict[str, dict[str, str]] = {
+    "session_features": {
+        "user_session": "string", "user_id": "bigint", "category_code": "string", "brand": "string",
+        "view_count": "bigint", "cart_count": "bigint", "purchase_count": "bigint",
+        "n_unique_brands": "bigint", "n_unique_categories": "bigint",
+        "session_started_at": "timestamp_ntz", "session_ended_at": "timestamp_ntz",
+        "session_total_spending": "decimal(28,2)", **{f"{t}_unique": TYPE_COUNT for t in EVENT_TYPES},
+        "session_duration": "double", "view_to_purchase_rate": _RATES, "is_weekend": "boolean"},
+    "user_features": {
+        "user_id": "bigint", "user_total_sessions": "bigint", "total_view_count": "bigint", "total_cart_count": "bigint",
+        "total_purchase_count": "bigint", "total_unique_purchase_count": "bigint", "total_unique_view_count": "bigint",
+        "user_avg_session_duration": "double", "user_total_spending": "decimal(38,2)",
+        "user_view_to_purchase_rate": _RATES, "user_purchase_per_session": _RATES},
+    "brand_features": {
+        "brand": "string", **{t: TYPE_COUNT for t in EVENT_TYPES}, "brand_view_to_purchase_rate": _RATES,
+        "purchase_spending": "decimal(38,2)"},
+    "category_features": {
+        "category_code": "string", **{t: TYPE_COUNT for t in EVENT_TYPES}, "category_view_to_purchase_rate": _RATES,
+        "purchase_spending": "decimal(38,2)"},
+}
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for equal results.
 # ---------------------------------------------------------------------------

@@ -1,21 +1,15 @@
-"""IO3/IO6 feature tables and IO12 required-column checks."""
+"""IO3/IO6 feature tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FEATURE_TABLES = ("session_features", "user_features", "brand_features", "category_features")
-
+from shopflow.operators.common import require_columns
+from shopflow.schema import FEATURE_COLUMNS, TYPE_COUNT
 
-def require_columns(df: DataFrame, columns: Iterable[str], name: str) -> None:
-    """IO12: raise listing the missing columns (no Spark job)."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing required columns in {name}: {missing}")
+FEATURE_TABLES = tuple(FEATURE_COLUMNS)
 
 
 def write_features(tables: dict[str, DataFrame], base: str) -> None:
@@ -25,14 +19,26 @@ def write_features(tables: dict[str, DataFrame], base: str) -> None:
 
 
 def read_features(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """IO3: the four feature tables; session timestamps are restored if a
-    writer stored them as text."""
-    out = {}
-    for name in FEATURE_TABLES:
-        df = spark.read.parquet(f"{base.rstrip('/')}/data/features/{name}")
-        if name == "session_features":
-            for c in ("session_started_at", "session_ended_at"):
-                if isinstance(df.schema[c].dataType, T.StringType):
-                    df = df.withColumn(c, F.try_to_timestamp(F.col(c)).cast(T.TimestampNTZType()))
-        out[name] = df
-    return out
+    """IO3: the four feature tables in their fixed types.
+
+    Whatever the files' own types are, every known column is read as
+    ``FEATURE_COLUMNS`` says (times stored as text are parsed, unparseable
+    ones null) and columns of further event types as counts; a missing column
+    raises.
+    """
+    return {name: conform(spark.read.parquet(f"{base.rstrip('/')}/data/features/{name}"), name) for name in FEATURE_TABLES}
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the fixed columns and types of feature table ``name``."""
+    fixed = FEATURE_COLUMNS[name]
+    require_columns(df, fixed, name)
+
+    def typed(field: T.StructField):
+        c, want = F.col(f"`{field.name}`"), fixed.get(field.name, TYPE_COUNT)
+        if field.dataType.simpleString() == want:
+            return c
+        if want == "timestamp_ntz" and isinstance(field.dataType, T.StringType):
+            return F.try_to_timestamp(c).cast(want).alias(field.name)
+        return c.cast(want).alias(field.name)
+    return df.select(*[typed(f) for f in df.schema.fields])

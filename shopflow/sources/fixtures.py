@@ -79,3 +79,32 @@ def shop_events_from_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("brand"),
         F.concat(F.lower("p_type"), F.lit("."), F.replace(F.col("p_name"), F.lit(" "), F.lit("."))).alias("category_code"),
         "price", "event_time")
+
+
+def browsing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders fixture of a shop that records views only: no carts, no
+    purchases (the log in which the low-funnel and zero-revenue rules fire)."""
+    return shop_events_from_orders(spark, sf_dir).where(F.col("event_type") == "view")
+
+
+def weekend_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders fixture of a shop that sells at weekends only: purchases of
+    other days (or without time) are missing, so weekend conversion leads."""
+    return shop_events_from_orders(spark, sf_dir).where(
+        (F.col("event_type") != "purchase") | F.coalesce(F.weekday("event_time") >= 5, F.lit(False)))
+
+
+def text_time_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders fixture as a text log: times end in their zone, missing
+    times are unparseable text."""
+    text = F.concat(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    return shop_events_from_orders(spark, sf_dir).withColumn("event_time", F.coalesce(text, F.lit("not a time")))
+
+
+SOURCES = {
+    "orders": shop_events_from_orders,
+    "events": shop_events_from_event_log,
+    "orders-browsing": browsing_events,
+    "orders-weekend": weekend_events,
+    "orders-text": text_time_events,
+}

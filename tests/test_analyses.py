@@ -1,5 +1,6 @@
 """Analysis edge cases: empty cohorts, ties, fallbacks."""
 
+import datetime as dt
 from decimal import Decimal
 
 import pytest
@@ -161,3 +162,21 @@ def test_pareto_and_shares(spark):
     zero = users(spark, [(1, 0), (1, 0)])
     assert retention.pareto_8020(zero).first().revenue_concentration_pct == 0.0
     assert revenue.top20pct_share(zero).first().n_top_20_percent == 1
+
+
+def test_bad_search_expression_raises(spark):
+    from shopflow.operators.explore import text_search
+    from shopflow.plans.context import ShopContext
+    ctx = ShopContext.for_source(spark, "/root/testdata/sf0.001")
+    with pytest.raises(Exception, match="(?i)regex|pattern"):
+        text_search(ctx.events, "brand#(").count()
+
+
+def test_tied_means_round_half_even(spark):
+    """A mean rate of 0.8725 made of thirds and others is a tie, whatever the last digits of its parts."""
+    from shopflow.operators import temporal
+    rates = [2 / 3] * 3 + [1.0] * 6 + [0.725]  # 8.725 / 10
+    df = spark.createDataFrame([(f"s{i}", dt.datetime(2024, 1, 1, 13), r) for i, r in enumerate(rates)],
+                               "user_session string, session_started_at timestamp_ntz, view_to_purchase_rate double")
+    row = temporal.hourly(df.selectExpr("*", "cast(0 as decimal(28,2)) as session_total_spending")).first()
+    assert (row.user_session, row.view_to_purchase_rate) == (10, 0.872)

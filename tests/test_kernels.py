@@ -116,3 +116,23 @@ def test_order_statistics_on_decimals(spark):
     ranks = [0, 5, 350, 420, 699]
     exp = [sorted(vals)[r] for r in ranks]
     assert binning.order_statistics(df, "v", ranks, len(vals), ["id"]) == exp
+
+
+def test_index_counts_sums_and_quantiles(spark):
+    """One index answers what several scans did: counts, top sums and quantiles of parts."""
+    from decimal import Decimal
+
+    from shopflow.operators.binning import OrderStatistics
+    rng = np.random.default_rng(12)
+    vals = [None] * 9 + [Decimal(0)] * 150 + [Decimal(int(x)).scaleb(-2) for x in rng.integers(-500, 4000, 400)]
+    df = spark.createDataFrame([(i, None if v is None else str(v)) for i, v in enumerate(vals)], "id long, t string").selectExpr("cast(t as decimal(28,2)) as v")
+    index = OrderStatistics(df, F.col("v"))
+    some = sorted(v for v in vals if v is not None)
+    assert (index.n_rows, index.n, index.distinct, index.most) == (len(vals), len(some), len(set(some)), some[-1])
+    assert index.counts(0) == (sum(v < 0 for v in some), sum(v == 0 for v in some))
+    for k in (0, 1, 2, 57, 300, len(some), len(some) + 5):
+        assert index.top_sum(k) == sum(some[max(0, len(some) - k):] if k else [])
+    probs = [0.0, 0.2, 0.25, 0.5, 0.8, 1.0]
+    for kwargs, part in (({}, some), ({"above": 0}, [v for v in some if v > 0]), ({"without": 0}, [v for v in some if v != 0])):
+        assert index.quantiles(probs, **kwargs) == list(np.quantile([float(v) for v in part], probs))
+    assert index.quantiles([0.5], above=10**6) is None and OrderStatistics(df.where("false"), F.col("v")).quantiles([0.5]) is None

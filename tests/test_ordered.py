@@ -64,3 +64,35 @@ def test_equal_and_missing_times_are_split(spark):
     assert one["_prev_time"].isna().sum() == 1 and (one["_prev_time"].dropna() == t0).all() and (one["_key_first"] == t0).all()
     none = got[got.k == "none"]
     assert none["_prev_time"].isna().all() and none["_key_first"].isna().all()
+
+
+def test_running_sums_are_exact_beyond_64_bits():
+    """128-bit running sums over batches with nulls and signs equal Python's integers."""
+    import decimal
+    from decimal import Decimal
+
+    import pyarrow as pa
+
+    from shopflow.operators.ordered import _Running
+    decimal.setcontext(decimal.Context(prec=50))
+    rng = np.random.default_rng(3)
+    values = [None if rng.random() < 0.1 else int(rng.integers(-10**18, 10**18)) * int(rng.integers(1, 10**9)) for _ in range(3000)]
+    run, total, want, got = _Running(pa.decimal128(38, 2)), 0, [], []
+    for i in range(0, 3000, 700):
+        batch = pa.array([None if v is None else Decimal(v).scaleb(-2) for v in values], pa.decimal128(38, 2)).slice(i, 700)
+        got += run.add(batch).to_pylist()
+    for v in values:
+        total += v or 0
+        want.append(Decimal(total).scaleb(-2))
+    assert got == want
+
+
+def test_global_order_of_decimals_and_nulls(spark):
+    rows = [(i, None if i % 7 == 0 else f"{(i * 37) % 101}.25") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, t string").selectExpr("id", "cast(t as decimal(28,2)) as v")
+    got = global_order(df, [F.col("v").desc(), F.col("id").asc()], sums=["v"], num_partitions=9).orderBy("_rank").collect()
+    total = 0
+    for i, r in enumerate(got, 1):
+        total += r.v or 0
+        assert r._rank == i and r.cum_v == total and r._n_total == 500
+    assert {r.total_v for r in got} == {total}

@@ -1,7 +1,9 @@
 """IO round trips: staged pipeline, summary JSON, report sheets, snapshots, streaming ingest."""
 
+import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from shopflow.plans.pipeline import PipelineConfig, run_pipeline
@@ -78,9 +80,10 @@ def test_baseline_without_funnel_and_broken_snapshot(spark, tmpdir_run):
             f.write(text)
         rows = baseline_funnel(read_summary(spark, f"{tmpdir_run}/s{i}.json")).collect()
         assert len(rows) == n and (not n or (rows[0].view_to_cart, rows[0].cart_to_purchase) == (0.5, 0.0))
-    os.makedirs(f"{tmpdir_run}/snap/users")
-    with open(f"{tmpdir_run}/snap/users/part-0.parquet", "w") as f:
-        f.write("not parquet")
+    version = write_snapshot({"users": spark.range(3)}, f"{tmpdir_run}/snap")
+    for part in glob.glob(f"{tmpdir_run}/snap/versions/{version}/users/*.parquet"):
+        with open(part, "w") as f:
+            f.write("not parquet")
     with pytest.raises(Exception):
         load_snapshot(spark, f"{tmpdir_run}/snap")
 
@@ -97,7 +100,9 @@ def test_report_and_snapshot(spark, tmpdir_run):
     write_snapshot({"sessions": ctx.sessions.withColumn("session_started_at", F.col("session_started_at").cast("string")),
                     "users": ctx.users}, snap)
     loaded = load_snapshot(spark, snap)
-    assert set(loaded) == {"sessions", "users"}
+    assert list(loaded) == ["sessions", "users"]
+    with pytest.raises(ValueError, match="lacks tables: \\['brands'\\]"):
+        load_snapshot(spark, snap, require=["users", "brands"])
     assert dict(loaded["sessions"].dtypes)["session_started_at"] == "timestamp_ntz"
     st = snapshot_status(loaded["sessions"], loaded["users"]).first()
     assert st.total_sessions == 1458 and st.total_users == 150 and len(st.created_at) == 10
@@ -151,3 +156,90 @@ def test_kpis_of_an_empty_filter_are_zero(spark):
     from shopflow.plans.context import ShopContext
     row = filtered_kpis(ShopContext.for_source(spark, SF001).events.where("false")).first()
     assert all(v == 0 for v in row)
+
+
+def test_a_half_written_snapshot_is_never_read(spark, tmpdir_run):
+    from shopflow.plans.context import ShopContext
+    from shopflow.plans.summary import build_summary
+    snap = f"{tmpdir_run}/snap"
+    with pytest.raises(ValueError, match="No finished snapshot"):
+        load_snapshot(spark, snap)
+    ctx = ShopContext.for_source(spark, SF001)
+    tables = {"sessions": ctx.sessions, "users": ctx.users, "brands": ctx.brands, "categories": ctx.categories, "cleaned": ctx.events,
+              "summary": build_summary(ctx, tag="snap", generated_at="1970-01-01T00:00:00Z")}
+    write_snapshot(tables, snap, "v1")
+    write_snapshot({"users": ctx.users.limit(7)}, snap, "v2")
+    ctx.users.limit(1).write.parquet(f"{snap}/versions/v3/users")  # its writer stopped before the manifest
+    assert load_snapshot(spark, snap)["users"].count() == 7
+    first = load_snapshot(spark, snap, "v1", require=tables)
+    assert set(first) == set(tables) and first["users"].count() == ctx.users.count()
+    assert first["summary"].first().summary.funnel.total_sessions == ctx.sessions.count()
+    with pytest.raises(ValueError):
+        load_snapshot(spark, snap, "v3")
+    with pytest.raises(ValueError, match="Not tables"):
+        write_snapshot({"orders": ctx.users}, snap)
+
+
+def test_rows_without_time_end_in_balanced_files(spark, tmpdir_run):
+    from shopflow.operators.clean import clean_base
+    from shopflow.sources.events import read_clean, write_clean
+    raw = shop_events_from_orders(spark, SF001)
+    events = clean_base(raw.withColumn("event_time", F.when(F.hash("user_session", "product_id") % 3 != 0, F.col("event_time"))))
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        write_clean(events.repartition(24), f"{tmpdir_run}/sink")
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    sizes = [n for n in (spark.read.parquet(f).count() for f in glob.glob(f"{tmpdir_run}/sink/event_date=__HIVE*/*.parquet"))]
+    none = events.where("event_time is null").count()
+    assert sum(sizes) == none > events.count() / 4
+    assert len(sizes) >= 4 and max(sizes) <= 3 * none / len(sizes)
+    assert read_clean(spark, f"{tmpdir_run}/sink").count() == events.count()
+
+
+def test_brand_filter_reads_fewer_row_groups(spark, tmpdir_run):
+    import pyarrow.parquet as pq
+
+    from shopflow.operators.clean import clean_base
+    from shopflow.sources.events import write_clean
+    events = clean_base(shop_events_from_orders(spark, SF001)).withColumn("event_date", F.lit("2020-01-01"))
+    small = {"parquet.block.size": "8192", "parquet.page.size": "2048", "parquet.block.size.row.check.min": "50", "parquet.page.size.row.check.min": "50"}
+    write_clean(events, f"{tmpdir_run}/clustered", options=small)
+    events.write.options(**small).parquet(f"{tmpdir_run}/plain")
+
+    def admitted(folder):
+        """(row groups whose brand range admits one brand, all row groups)"""
+        hit = total = 0
+        for f in glob.glob(f"{tmpdir_run}/{folder}/**/*.parquet", recursive=True):
+            meta = pq.ParquetFile(f).metadata
+            for g in range(meta.num_row_groups):
+                column = next(meta.row_group(g).column(c) for c in range(meta.num_columns) if meta.row_group(g).column(c).path_in_schema == "brand")
+                total += 1
+                hit += column.statistics.min <= "Brand#13" <= column.statistics.max
+        return hit, total
+    clustered, plain = admitted("clustered"), admitted("plain")
+    assert clustered[1] >= 8 and plain[0] == plain[1] and clustered[0] <= clustered[1] / 3
+    got = spark.read.parquet(f"{tmpdir_run}/clustered").where("brand = 'Brand#13'").count()
+    assert got == events.where("brand = 'Brand#13'").count()
+
+
+def test_feature_tables_have_fixed_types(spark, tmpdir_run):
+    from shopflow.plans.context import ShopContext
+    from shopflow.schema import FEATURE_COLUMNS
+    from shopflow.sources.features import write_features
+    ctx = ShopContext.for_source(spark, SF001)
+    loose = {"session_features": ctx.sessions.withColumn("session_started_at", F.col("session_started_at").cast("string"))
+                                    .withColumn("view_count", F.col("view_count").cast("int")).withColumn("signup_unique", F.lit(1)),
+             "user_features": ctx.users, "brand_features": ctx.brands, "category_features": ctx.categories}
+    write_features(loose, tmpdir_run)
+    for name, df in read_features(spark, tmpdir_run).items():
+        types = dict(df.dtypes)
+        assert all(types[c] == t for c, t in FEATURE_COLUMNS[name].items()), name
+        assert types.get("signup_unique", "bigint") == "bigint"
+        assert df.count() == loose[name].count()
+    write_features({"user_features": ctx.users.drop("user_total_spending")}, tmpdir_run)
+    with pytest.raises(ValueError, match="user_total_spending"):
+        read_features(spark, tmpdir_run)
