@@ -36,8 +36,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the pieces of all documents and their sequences."""
-    return packing.packed_documents(docs)
+    """Operator 8: the packed sequences of all documents, with their ids."""
+    return packing.packed_sequences(docs)
 
 
 STAGES = [
