@@ -5,16 +5,16 @@ character map (a double-array trie) while each normalised byte's place in
 the source is recorded; every piece is projected through that record to a
 byte span of the source.  Pieces are found by the library itself, on
 normalised text: a copy of the model with its normaliser switched off
-encodes the units between word marks.  No piece of the vocabulary reaches
-across a unit's edge (checked when the model is loaded; otherwise the whole
-text is one unit), so the pieces of the units in turn are those of the text.
-Units repeat a great deal; each task keeps a bounded table of those it met.
+encodes it whole, long texts in segments that end at a word mark or line end.
+No piece of the vocabulary reaches across such an edge (checked when the model
+is loaded; otherwise a text is one segment), so the pieces of the segments in
+turn are those of the text.  Sizes and surfaces of pieces are table look-ups.
 
 Decoding joins the pieces' surfaces, resolves byte pieces and drops the
 space that stands for the dummy prefix.
 
 Defined results: a null text is an empty one (no pieces, decoded to an empty
-text); repeated rows give repeated results; extra columns are ignored; an
+text); a text of any length is encoded whole, segment by segment; repeated rows give repeated results; extra columns are ignored; an
 empty table gives an empty table.
 """
 
@@ -24,6 +24,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from shopflow.llm.common import read_table, row_chunks
 
 MARK = "▁"
 _MARK = MARK.encode()
-CACHE_ENTRIES = 400_000  # about 150 MB
+SEGMENT = 1 << 16  # characters that the library gets at once, if they have an edge
 
 
 class CharMap:
@@ -80,10 +81,18 @@ class CharMap:
         return (found, self.texts[value:self.texts.index(b"\0", value)]) if found else (0, b"")
 
 
+class Pieces(NamedTuple):
+    """A text's pieces: their ids (list and array) and bytes, in the normalised
+    text or, where that is the source but for marks, in the source."""
+    ids: list[int]
+    array: np.ndarray
+    sizes: np.ndarray
+
+
 class PieceCoder:
     """Encoding with source spans, and decoding, for one model file."""
 
-    def __init__(self, path: str | None = None, proto: bytes | None = None, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str | None = None, proto: bytes | None = None):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
         model = pb.ModelProto()
@@ -103,12 +112,18 @@ class PieceCoder:
         self.byte = {i: bytes([int(p.piece[3:5], 16)]) for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.UNKNOWN, self.CONTROL = kinds.UNKNOWN, kinds.CONTROL
         plain_pieces = [p.piece for p in model.pieces if p.type not in (kinds.BYTE, kinds.CONTROL, kinds.UNKNOWN)]
-        apart = not any(MARK in p.lstrip(MARK) for p in plain_pieces) and not any("\n" in p and p != "\n" for p in plain_pieces)
-        self.unit = re.compile(f"{MARK}+[^{MARK}\n]*|\n+[^{MARK}\n]*|[^{MARK}\n]+" if apart else r"(?s).+")
+        self.apart = not any(MARK in p.lstrip(MARK) for p in plain_pieces) and not any("\n" in p and p != "\n" for p in plain_pieces)
+        self.edge = re.compile(f"(?<!{MARK}){MARK}|(?<!\n)\n")
+        # By id: bytes in normalised text, word marks, the id in decimal, the surface, and
+        # whether a decoder must look at the neighbours (bytes of longer characters, unknown).
+        self.size = np.array([1 if i in self.byte else len(p.encode()) for i, p in enumerate(self.piece)], np.int64)
+        self.marks = np.array([0 if i in self.byte else p.count(MARK) for i, p in enumerate(self.piece)], np.int64)
+        self.number = [str(i) for i in range(len(self.piece))]
+        self.text = [self._single(i) for i in range(len(self.piece))]
+        self.joint = np.array([k == self.UNKNOWN or (i in self.byte and self.byte[i] >= b"\x80") for i, k in enumerate(self.kind)])
         spec.precompiled_charsmap, spec.name = b"", "identity"
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.entries, self.known = entries, {}
 
     # -- normalisation ------------------------------------------------------
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
@@ -152,24 +167,7 @@ class PieceCoder:
             source += [end] * len(space)
         return out.decode(), np.array([*source, end], np.int64)
 
-    # -- units -----------------------------------------------------------------
-    def _learn(self, units: list[str]) -> None:
-        for unit, ids in zip(units, self.bare.encode(units, num_threads=1)):
-            size, mark = [], []
-            for i in ids:
-                p = self.piece[i]
-                if i in self.byte:
-                    size.append(1)
-                    mark.append(0)
-                else:
-                    size.append(len(p.encode()))
-                    mark.append(p.count(MARK))
-            if self.UNKNOWN in map(self.kind.__getitem__, ids):
-                size = self._unknown_sizes(unit, ids, size)
-            size, mark = np.array(size, np.int32), np.array(mark, np.int32)
-            self.known[unit] = (len(ids), ",".join(map(str, ids)).encode(), self.surface(ids),
-                                size.tobytes(), (size - 2 * mark).tobytes())
-
+    # -- pieces ----------------------------------------------------------------
     def _unknown_sizes(self, unit: str, ids: list[int], size: list[int]) -> list[int]:
         """Byte sizes when some pieces are unknown: what known neighbours leave."""
         at, data, out = 0, unit.encode(), []
@@ -184,8 +182,16 @@ class PieceCoder:
             at = end
         return out
 
+    def _single(self, i: int) -> bytes:
+        kind = self.kind[i]
+        if i in self.byte:
+            return self.byte[i]
+        return (b"" if kind == self.CONTROL else self.unk.encode() if kind == self.UNKNOWN
+                else self.piece[i].replace(MARK, " ").encode())
+
     def surface(self, ids: list[int]) -> bytes:
-        """Decoded bytes, before the dummy prefix is dropped."""
+        """Decoded bytes, before the dummy prefix is dropped: byte pieces in a row
+        are decoded together."""
         out, run = [], b""
         for i in ids:
             if i in self.byte:
@@ -194,54 +200,79 @@ class PieceCoder:
             if run:
                 out.append(run.decode("utf-8", "replace").encode())
                 run = b""
-            kind = self.kind[i]
-            out.append(b"" if kind == self.CONTROL else self.unk.encode() if kind == self.UNKNOWN
-                       else self.piece[i].replace(MARK, " ").encode())
+            out.append(self.text[i])
         if run:
             out.append(run.decode("utf-8", "replace").encode())
         return b"".join(out)
 
-    def units(self, texts: list[str]) -> list[tuple[list, np.ndarray | None]]:
-        """Per text: the entries of its units, and the source of its normalised bytes
-        (None where every mark stands for one space and all else for itself)."""
-        split, sources = [], []
+    def segments(self, norm: str) -> list[str]:
+        """The normalised text, cut at edges that no piece reaches across."""
+        if len(norm) <= SEGMENT or not self.apart:
+            return [norm] if norm else []
+        cuts, at = [0], 0
+        while len(norm) - at > SEGMENT:
+            found = None
+            for found in self.edge.finditer(norm, at + SEGMENT // 2, at + SEGMENT):
+                pass  # the last edge of the window
+            found = found or self.edge.search(norm, at + SEGMENT)
+            if found is None:
+                break
+            at = found.start()
+            cuts.append(at)
+        return [norm[a:b] for a, b in zip(cuts, [*cuts[1:], len(norm)])]
+
+    def units(self, texts: list[str]) -> list[tuple[Pieces, np.ndarray | None]]:
+        """Per text: its pieces, and the source of its normalised bytes (None where
+        every mark stands for one space and all else for itself)."""
+        norms, sources, flat, count = [], [], [], []
         for text in texts:
             if self.plain and MARK not in text:
                 norm, source = ((MARK if self.prefix else "") + text.replace(" ", MARK), None) if text else ("", None)
             else:
                 norm, source = self.normalize(text)
-            split.append(self.unit.findall(norm))
+            parts = self.segments(norm)
+            norms.append(norm)
             sources.append(source)
-        if len(self.known) > self.entries:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [(list(map(get, u)), s) for u, s in zip(split, sources)]
-
-    def spans(self, entries: list, source: np.ndarray | None) -> np.ndarray:
+            flat += parts
+            count.append(len(parts))
+        found = iter(self.bare.encode(flat, num_threads=1) if flat else [])
+        out = []
+        for norm, source, n in zip(norms, sources, count):
+            ids = next(found) if n == 1 else [i for _ in range(n) for i in next(found)]
+            array = np.array(ids, np.int64)
+            size = self.size[array]
+            if self.joint[array].any() and self.UNKNOWN in map(self.kind.__getitem__, ids):
+                size = np.array(self._unknown_sizes(norm, ids, size.tolist()), np.int64)
+            out.append((Pieces(ids, array, size if source is not None else size - 2 * self.marks[array]), source))
+        return out
+
+    def spans(self, entries: Pieces, source: np.ndarray | None) -> np.ndarray:
         """(pieces, 2): byte spans of the source."""
-        sizes = np.frombuffer(b"".join([e[4 if source is None else 3] for e in entries]), np.int32).astype(np.int64)
+        sizes = entries.sizes
         if source is None:
             if len(sizes) and self.prefix:
                 sizes[0] -= 1  # the dummy prefix has no source
+                ends = np.cumsum(sizes)
+                begins = ends - sizes
+                sizes[0] += 1
+                return np.stack([begins, ends], axis=1)
             ends = np.cumsum(sizes)
             return np.stack([ends - sizes, ends], axis=1)
         ends = np.cumsum(sizes)
         return np.stack([source[ends - sizes], source[ends]], axis=1)
 
-    def decoded(self, entries: list) -> bytes:
-        out = b"".join([e[2] for e in entries])
+    def decoded(self, entries: Pieces) -> bytes:
+        out = self.surface(entries.ids) if self.joint[entries.array].any() else b"".join([self.text[i] for i in entries.ids])
         return out[1:] if self.prefix and out.startswith(b" ") else out
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
         (entries, source), = self.units([text])
-        return self.ids(entries), self.spans(entries, source)
+        return entries.ids, self.spans(entries, source)
 
-    @staticmethod
-    def ids(entries: list) -> list[int]:
-        return [int(i) for e in entries for i in e[1].split(b",")]
+    def digest(self, entries: Pieces) -> str:
+        """SHA-256 of the ids in decimal, joined by commas."""
+        number = self.number
+        return hashlib.sha256(",".join([number[i] for i in entries.ids]).encode()).hexdigest()
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -255,7 +286,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             ids, starts, ends, decoded = [], [], [], []
             for entries, src in coder.units(batch.column(0).fill_null("").to_pylist()):
                 spans = coder.spans(entries, src)
-                ids.append(coder.ids(entries))
+                ids.append(entries.array)
                 starts.append(spans[:, 0])
                 ends.append(spans[:, 1])
                 decoded.append(coder.decoded(entries).decode())
@@ -279,7 +310,7 @@ def digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             for entries, src in coder.units(batch.column(0).fill_null("").to_pylist()):
                 spans = coder.spans(entries, src)
                 n.append(len(spans))
-                ids.append(hashlib.sha256(b",".join([e[1] for e in entries])).hexdigest())
+                ids.append(coder.digest(entries))
                 decoded.append(hashlib.sha256(coder.decoded(entries)).hexdigest())
                 crc.append(zlib.crc32(spans.tobytes()))
                 covered.append(int((spans[:, 1] - spans[:, 0]).sum()))

@@ -16,9 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
@@ -29,7 +27,6 @@ def ids_of(tokenizer, text):
 @given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from(" \n\t'sSéÉ́Jǰ̌\x1c 　<|>endoftext")), max_size=60))
 def test_chunks_give_the_ids_of_the_whole_text(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     text = text.encode("utf-8", "ignore").decode()
     got = np.frombuffer(P.ChunkIds(PATH).encode([text])[0], "<u4").tolist()
     assert got == t.encode(text, add_special_tokens=False).ids
@@ -69,11 +66,24 @@ def test_edges(spark, tokenizer):
 
 def test_sequences_hold_the_documents_ids(spark, tokenizer):
     docs = edge_docs(spark)
-    found = P.pieces(docs, PATH, with_ids=True)
-    placed = P.pack(found, group_tokens=3000)
-    ids = {r.sequence_id: r.ids for r in P.sequences(found, placed).collect()}
-    for r in placed.join(found.select("row", "start", "ids"), ["row", "start"]).collect():
-        assert ids[r.sequence_id][r.offset:r.offset + r.length] == r.ids
+    found = P.pieces(docs, PATH)
+    rows = {r.sequence_id: r for r in P.sequences(found, group_tokens=3000).collect()}
+    placed = P.pack(found, group_tokens=3000).join(found.select("row", "start", "ids"), ["row", "start"]).collect()
+    for r in placed:
+        s = rows[r.sequence_id]
+        assert s.ids[4 * r.offset:4 * (r.offset + r.length)] == r.ids
+        assert (r.doc_id, r.start, r.length, r.offset) in zip(s.doc_ids, s.starts, s.lengths, s.offsets)
+    assert sum(len(s.doc_ids) for s in rows.values()) == len(placed)
+    assert all(len(s.ids) == 4 * s.n_tokens == 4 * sum(s.lengths) and s.n_tokens <= P.CAPACITY for s in rows.values())
+    assert P.sequences(P.pieces(no_docs(spark), PATH)).count() == 0
+
+
+def test_special_tokens_in_texts_are_the_librarys(tokenizer):
+    texts = ["<|endoftext|>", "a<|endoftext|>b <|startoftext|> c.", "<|ENDOFTEXT|> É É<|endoftext|>É", "x<| y|>", "Ünder, straße... ÀÉ!! it's don't #%$ w$$$ 12ab a1 ÿ.%%% µ ª", "’quoted’"]
+    encoder = P.ChunkIds(PATH)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert 49407 in np.frombuffer(encoder.encode([texts[0]])[0], "<u4")
 
 
 @settings(max_examples=200, deadline=None)

@@ -102,3 +102,14 @@ def test_arrays(spark, library):
     for r in E.encode(docs, PATH).collect():
         assert r.ids == library.encode(text[r.doc_id]) and r.decoded == library.decode(r.ids)
         assert r.starts[0] == 0 and r.ends[-1] == len(text[r.doc_id].encode()) and np.all(np.array(r.starts[1:]) == np.array(r.ends[:-1]))
+
+
+def test_long_texts_are_cut_at_edges(library, monkeypatch):
+    monkeypatch.setattr(E, "SEGMENT", 8)
+    for text in ("one two  three\n\nfour " * 30, "x" * 100, "  \n \n" * 20, "word" * 9 + " " + "é\U0001f600" * 20 + "\n" + "▁ ▁a" * 5):
+        ids, spans = CODER.encode(text)
+        assert ids == library.encode(text) and spans[-1, 1] == len(text.encode())
+        (entries, _), = CODER.units([text])
+        assert CODER.decoded(entries).decode() == library.decode(ids)
+    norm = "▁one▁two▁▁three\n\nfour"
+    assert "".join(CODER.segments(norm)) == norm and len(CODER.segments(norm)) > 1

@@ -1,3 +1,7 @@
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from shopflow.llm import packing
 from tests.llm.edge import documents, edge_docs, no_docs, with_clashes
@@ -20,12 +24,16 @@ def test_stages_in_turn(spark):
         ids, docs = left, out
     final = corpus_pipeline.run(spark, SF)
     rows = final.collect()
-    assert {r.doc_id for r in rows} == ids
-    by_doc = {}
+    assert {i for r in rows for i in r.doc_ids} == ids
+    want = {r.doc_id: r.text for r in docs.collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = {}
     for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(r)
-    assert all(sum(r.length for r in v) == v[0].doc_tokens for v in by_doc.values())
-    assert max(r.offset + r.length for r in rows) <= packing.CAPACITY
+        assert r.n_tokens <= packing.CAPACITY and len(r.ids) == 4 * r.n_tokens
+        for doc, start, length, offset in zip(r.doc_ids, r.starts, r.lengths, r.offsets):
+            pieces.setdefault(doc, {})[start] = np.frombuffer(r.ids, "<u4")[offset:offset + length].tolist()
+    for doc, parts in pieces.items():
+        assert sum((parts[s] for s in sorted(parts)), []) == tokenizer.encode(want[doc], add_special_tokens=False).ids + [packing.END_ID]
 
 
 def test_stages_take_awkward_tables(spark):
