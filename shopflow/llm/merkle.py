@@ -13,13 +13,15 @@ in 32 hex digits and all other hashes in 16 (inner) or 8 (leaves).
 
 The edited text of a document needs the next document's, in descending
 doc_id.  Documents are range-partitioned on (doc_id, text hash) with split
-points from a hash sample, each range is read in order by one task, and the
-first document of every range is also sent to the end of the range before,
-so one shuffle of the texts does.
+points from a sample, as many ranges as the texts' bytes ask for and each a
+partition of its own; rows of one key that fill several ranges are dealt over
+them.  Each range is read in order by one task, and the first document of
+every range is also sent to the end of the range before, so one shuffle of the
+texts does.
 
 Defined results: a null text is an empty one (one empty paragraph); null
 doc_ids come last; rows of equal doc_id are ordered by their text's hash,
-repeated rows being interchangeable; a single document is its own next;
+repeated rows being interchangeable; a text of any length is taken whole; a single document is its own next;
 extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 
 from shopflow.llm.common import read_table, row_chunks
 
+RANGE_BYTES = 64 << 20
 _PIECE = re.compile(r"[^.!?]{1,200}[.!?]*|[.!?]+")
 
 
@@ -147,20 +150,31 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _split_points(keys: DataFrame, ranges: int, per_range: int = 40) -> list[tuple]:
-    """About ``ranges`` - 1 keys that cut the rows evenly, from a hash sample of
-    ``ranges * per_range`` rows.  They only balance the ranges."""
+    """``ranges`` - 1 keys that cut the rows evenly, from a sample of about
+    ``ranges * per_range`` rows; a key that many rows share may stand there
+    several times.  They only balance the ranges."""
+    if ranges < 2:
+        return []
     n = keys.count()
-    sample = keys.where(F.pmod(F.xxhash64(F.lit(5), "k", "h"), F.lit(max(1, n // (ranges * per_range)))) == 0).toArrow()
+    sample = keys.sample(min(1.0, ranges * per_range / max(1, n)), seed=5).toArrow()
     found = sorted(zip(sample.column("absent").to_pylist(), sample.column("k").to_pylist(), sample.column("h").to_pylist()))
-    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+    return [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
 
 
 def _in_ranges(points: list[tuple]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with equal keys take turns over the ranges between equal split points."""
+        turn = 0
         for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("absent", "k", "h")))
-            at = pa.array([bisect.bisect_right(points, key) for key in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, at], names=[*batch.schema.names, "range"])
+            at = []
+            for key in zip(*(batch.column(c).to_pylist() for c in ("absent", "k", "h"))):
+                low, high = bisect.bisect_left(points, key), bisect.bisect_right(points, key)
+                if high - low > 1:
+                    turn += 1
+                    at.append(low + 1 + turn % (high - low))
+                else:
+                    at.append(high)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "range"])
     return rows
 
 
@@ -192,10 +206,12 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edit_fingerprints(docs: DataFrame, text: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses."""
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Order: doc_id descending with nulls last, then the text's hash.
-    source = docs.select(F.col("doc_id").isNull().alias("absent"), F.coalesce(-F.col("doc_id").cast("bigint"), F.lit(0)).alias("k"),
+    source = docs.select(F.col("doc_id").isNull().alias("absent"), F.coalesce(F.bitwise_not(F.col("doc_id").cast("bigint")), F.lit(0)).alias("k"),
                          F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), "doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     keys = source.select("absent", "k", "h")
     points = _split_points(keys, ranges)
@@ -208,12 +224,15 @@ def edit_fingerprints(docs: DataFrame, text: str = "text", ranges: int | None =
             ("near_edited", "double"), ("near_next", "double"))])
     follows = [(heads[(i + 1) % len(heads)]["first"], head["range"]) for i, head in enumerate(heads)]
     target = spark.createDataFrame([(f["absent"], f["k"], f["h"], r) for f, r in follows], "absent boolean, k bigint, h bigint, range bigint")
-    copies = source.join(F.broadcast(target), ["absent", "k", "h"]).dropDuplicates(["range"])
+    # One row of each wanted key, then a copy of it for every range that it follows.
+    wanted = target.select("absent", "k", "h").distinct()
+    copies = (source.join(F.broadcast(wanted), ["absent", "k", "h"], "left_semi").dropDuplicates(["absent", "k", "h"])
+                    .join(F.broadcast(target), ["absent", "k", "h"]))
     ranged = source.mapInArrow(_in_ranges(points), f"absent boolean, k bigint, h bigint, doc_id {kind}, text string, range bigint")
     order = ["range", "copy", "absent", "k", "h"]
     both = (ranged.withColumn("copy", F.lit(0)).select(*order, "doc_id", "text")
                   .union(copies.withColumn("copy", F.lit(1)).select(*order, "doc_id", "text")))
-    return (both.repartition(ranges, "range").sortWithinPartitions(*order)
+    return (both.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions(*order)
                 .mapInArrow(_edits, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
                                     "edited_fingerprint string, near_edited double, near_next double"))
 

@@ -2,6 +2,8 @@ import hashlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from shopflow.llm import merkle as M
 from tests.llm.edge import documents, edge_docs, no_docs, with_clashes
 
@@ -69,3 +71,12 @@ def test_edits_are_located_and_likeness_is_graded():
 def test_fingerprints_of_equal_texts_are_equal(spark):
     rows = M.fingerprints(edge_docs(spark)).collect()
     assert len({r.fingerprint for r in rows if r.doc_id in (5, 6)}) == 1 and len(rows) == edge_docs(spark).count()
+
+
+def test_smallest_id_and_a_key_that_fills_several_ranges(spark):
+    rows = [(-(1 << 63), "first of all"), ((1 << 63) - 1, "last of all"), (0, "zero")] + [(7, "the same row. " * 3)] * 600
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    out = M.edit_fingerprints(docs, ranges=12)
+    assert sorted(rows_of(out)) == sorted(brute_force(rows))
+    shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 8 and max(shares) < 250
