@@ -56,12 +56,18 @@ def default_time(page_id: Column) -> Column:
     return F.timestamp_seconds(F.lit(_EPOCH) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(31_536_000)))
 
 
+def warc_date(when: Column) -> Column:
+    """A moment in UTC, whatever the session's time zone."""
+    moment = F.timestamp_add("SECOND", F.unix_seconds(when), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.concat(F.replace(moment.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def records(pages: DataFrame, html: str = "html", url: str = "url", captured: Column | None = None) -> DataFrame:
     """(value): the text of each page's WARC record, without the separator that ends it."""
     when = captured if captured is not None else default_time(F.col("page_id"))
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"),
-                        body.alias("html"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+                        body.alias("html"), warc_date(when).alias("at"),
                         F.octet_length(body).cast("bigint").alias("n"), F.sha2(body, 256).alias("digest"))
     large = rows.where(F.col("n") >= LEAST_DUPLICATE)
     # Only payloads that occur more than once take part in the join.

@@ -85,3 +85,14 @@ def test_loser_tree_merges(runs):
 def test_url_keys():
     assert W.url_key("https://www.Example.com:443/A?b=C") == "com,example)/a?b=c"
     assert W.url_key(None) == "" and W.url_key("http://x.y:8080") == "y,x:8080)/"
+
+
+def test_dates_are_utc_in_any_session_time_zone(spark):
+    from pyspark.sql import functions as F
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        moments = spark.createDataFrame([(1704067201,), (1710054000,), (1730613600,)], "s bigint").select(W.warc_date(F.timestamp_seconds("s")).alias("d"))
+        assert [r.d for r in moments.collect()] == ["2024-01-01T00:00:01Z", "2024-03-10T07:00:00Z", "2024-11-03T06:00:00Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
