@@ -4,9 +4,9 @@ DataFrame functions only.
 Every whole text is searched for each kind of ``KINDS``; a match's position
 is the running length of what stands before it.  Candidate values are hashed
 and counted over the whole corpus by distinct owner and by distinct
-repository of an owner.  A value many owners share is a copied example; one
-that few owners have and that does not look like a filler is taken for a
-live credential.
+repository of an owner.  A value that many owners or many repositories share
+is a copied example; one that few have and that does not look like a filler is
+taken for a live credential.
 
 Hot values: counts combine before every shuffle, first by (value, owner,
 repository); only widely copied values are joined back to the spans.
@@ -39,7 +39,8 @@ KINDS = [
     ("url", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s:@/]{1,100}:([^\s:@/]{3,100})@", 1, 0, 0, ("://",)),
 ]
 BASE = ("assign", "access", "hex")
-COPIED_OWNERS = 4    # a value of so many owners is a copied example
+COPIED_OWNERS = 4          # a value of so many owners is a copied example,
+COPIED_REPOSITORIES = 12   # or of so many repositories, whoever owns them
 LEAST_VARIETY = 5    # distinct characters of a live-looking value
 
 
@@ -91,14 +92,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("places").alias("places"))
 
 
-def judged(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """Adds ``copied`` and ``live`` to spans."""
-    wide = ownership(found).where(F.col("owners") >= copied_owners).select("value_hash", "owners")
+SPREAD = ("owners", "repositories", "places")
+
+
+def judged(found: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
+    """Adds owners, repositories and places of the value, ``copied`` and ``live``.
+
+    Values found once are not joined: their counts are one.
+    """
+    wide = ownership(found).where(F.col("places") > 1).select("value_hash", *SPREAD)
     variety = F.size(F.array_distinct(F.split("value", "")))
     filler = F.lower("value").rlike("example|changeme|placeholder|xxxx|0000000|1234567") | (variety < LEAST_VARIETY)
     out = found.withColumn("value_hash", F.sha2("value", 256)).join(maybe_broadcast(wide), "value_hash", "left")
-    return (out.withColumn("copied", F.col("owners").isNotNull())
-               .withColumn("live", F.col("owners").isNull() & ~filler).drop("owners"))
+    out = out.withColumns({c: F.coalesce(c, F.lit(1)) for c in SPREAD})
+    copied = (F.col("owners") >= copied_owners) | (F.col("repositories") >= copied_repositories)
+    return out.withColumn("copied", copied).withColumn("live", ~F.col("copied") & ~filler)
 
 
 def _join(array: Column) -> Column:
@@ -108,7 +116,8 @@ def _join(array: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang") -> DataFrame:
-    """A row per document: its spans, how many look live, how many are copied."""
+    """A row per document: its spans, how many look live, how many are copied, and
+    the most owners, repositories and places that one of its values has."""
     rows = materialize(_with_rows(docs, text, owner, repository), "secrets")
     found = judged(spans(rows.where(F.size("found") > 0)))
     place = F.struct("start", "kind", "end")
@@ -116,12 +125,12 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     per_row = found.groupBy("row").agg(
         *[F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.sort_array(F.collect_list(F.when(is_base, place))).alias("b"), F.sort_array(F.collect_list(place)).alias("s"),
-        F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"))
+        F.count_if("live").alias("n_live"), F.count_if("copied").alias("n_copied"), *[F.max(c).alias(c) for c in SPREAD])
     counts = [f"n_{k}" for k in BASE]
     return rows.select("row", "doc_id").join(per_row, "row", "left").select(
         "doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
         F.sha2(F.coalesce(_join(F.col("b")), F.lit("")), 256).alias("base_sha256"), F.coalesce(_join(F.col("s")), F.lit("")).alias("spans"),
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied")])
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied", *SPREAD)])
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "lang", mask: str = "[SECRET]") -> DataFrame:

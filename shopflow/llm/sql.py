@@ -93,17 +93,20 @@ WHERE length(v) >= {least_value} AND length(m) >= {least_match}""")
     joined = "string_agg(name || ':' || start || ':' || \"end\", ',' ORDER BY start, kind, \"end\")"
     return f"""
 WITH f AS ({' UNION ALL '.join(kinds)}),
-o AS (SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners FROM f GROUP BY value),
-j AS (SELECT f.*, owners >= {secrets.COPIED_OWNERS} AS copied,
-             owners < {secrets.COPIED_OWNERS} AND NOT regexp_matches(lower(f.value), 'example|changeme|placeholder|xxxx|0000000|1234567')
+o AS (SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(*) AS places,
+             count(DISTINCT coalesce(owner, chr(1)) || chr(2) || coalesce(repository, chr(1))) AS repositories FROM f GROUP BY value),
+j AS (SELECT f.*, owners, repositories, places, owners >= {secrets.COPIED_OWNERS} OR repositories >= {secrets.COPIED_REPOSITORIES} AS copied,
+             NOT (owners >= {secrets.COPIED_OWNERS} OR repositories >= {secrets.COPIED_REPOSITORIES}) AND NOT regexp_matches(lower(f.value), 'example|changeme|placeholder|xxxx|0000000|1234567')
              AND len(list_distinct(string_split(f.value, ''))) >= {secrets.LEAST_VARIETY} AS live
       FROM f JOIN o ON o.value = f.value),
 a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
              string_agg(name || ':' || start || ':' || "end", ',' ORDER BY start, kind, "end") FILTER (kind < 3) AS base, {joined} AS spans,
-             count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+             count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied,
+             max(owners) AS owners, max(repositories) AS repositories, max(places) AS places
       FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+       coalesce(owners, 0) AS owners, coalesce(repositories, 0) AS repositories, coalesce(places, 0) AS places
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 

@@ -83,3 +83,14 @@ def test_redact_masks_overlaps_once_and_keeps_the_rest(spark):
     rows = sorted(S.redact(docs).collect(), key=str)
     assert [r.text for r in rows if r.doc_id == 1] == ["é [SECRET] \U0001f600 [SECRET] tail"] * 2
     assert [(r.text, r.n_chars) for r in rows if r.doc_id != 1] == [("plain text", 10), (None, None)]
+
+
+def test_many_repositories_of_one_owner_make_a_copied_value(spark):
+    rows = [(i, "token = Zq8kLw2Pt9Xv", f"repo{i}", "one", 0) for i in range(40)] + [(100, "token = Ab3dEf6hJk1m", "r", "two", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: (r.n_live, r.n_copied, r.owners, r.repositories, r.places) for r in S.scan(docs).collect()}
+    assert got[0] == (0, 1, 1, 40, 40) and got[100] == (1, 0, 1, 1, 1)
+    few = {r.doc_id: (r.n_live, r.repositories) for r in S.scan(docs.where("doc_id < 5 or doc_id = 100")).collect()}
+    assert few[0] == (1, 5)
+    texts = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    assert "Zq8kLw2Pt9Xv" in texts[0] and "Ab3dEf6hJk1m" not in texts[100]
