@@ -4,14 +4,23 @@
 returns a DataFrame; ``run`` writes every stage's result to the shared folder
 and reads it back as the next one's documents.  All but the last return the
 columns of ``documents``.
+
+Defined results: a null text is empty, so it fails the rules; nulls in other
+columns are kept as they are; texts are read whole; rows with null or repeated
+doc_ids and repeated rows pass or fail by their own texts, and of linked ones
+those with the smallest doc_id stay; extra columns stay, whatever their names;
+an empty table passes every stage as an empty one.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.llm import ngram_join, packing, perplexity, quality, secrets
-from shopflow.llm.common import materialize, read_table
+from shopflow.llm.common import begin_scope, materialize, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,16 +49,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(docs)
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("quality_classifier", quality_classifier),
-    ("near_duplicates", near_duplicates),
-    ("secret_scan", secret_scan),
-    ("packing", pack),
+#: The stages, and whose working tables go when one begins: those that its
+#: documents were made from further back, never those of a result that may
+#: still be read.
+_STAGES = [
+    ("quality_rules", quality_rules, []),
+    ("quality_classifier", quality_classifier, []),
+    ("near_duplicates", near_duplicates, ["quality_rules"]),
+    ("secret_scan", secret_scan, ["quality_rules"]),
+    ("packing", pack, ["quality_rules", "quality_classifier", "near_duplicates"]),
 ]
 
-#: SQL expresses neither the models nor the tokenizer; the tests hold the
-#: stages against brute-force versions.
+
+def _own_tables(name: str, stage, ended: list[str]):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        begin_scope(spark, f"work-{name}", [f"work-{n}" for n in ended])
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _own_tables(name, stage, ended)) for name, stage, ended in _STAGES]
+
+#: SQL expresses neither the models nor the tokenizer; tests/llm/test_pipeline.py
+#: holds what every stage keeps against plain Python on the operators' verdicts.
 ORACLE_SQL = None
 
 
@@ -57,5 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over the whole ``documents`` table."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        rows = stage(spark, docs, sf_dir)
+        begin_scope(spark, f"result-{uuid.uuid4().hex[:8]}")
+        docs = materialize(rows, f"stage-{name}")
+    begin_scope(spark, "tables")
     return docs
