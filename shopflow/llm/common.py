@@ -30,9 +30,31 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Folder of the tables that are written now, in the application's own.
+_SCOPE = ["tables"]
+
+
+def _scope_dir(spark: SparkSession, scope: str = "") -> str:
+    return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{scope}".rstrip("/")
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path under the session's shared folder."""
-    return f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}/{name}"
+    return f"{_scope_dir(spark, _SCOPE[0])}/{uuid.uuid4().hex[:12]}/{name}"
+
+
+def begin_scope(spark: SparkSession, scope: str, ended: Sequence[str] = ()) -> None:
+    """Write the following tables under ``scope`` and delete those of the
+    ``ended`` ones, whose results are written and need them no more."""
+    _SCOPE[0] = scope
+    for name in ended:
+        if name != scope:
+            _delete(spark, _scope_dir(spark, name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 #: Shuffle files of a written query may go when it ends: the written table is
@@ -62,11 +84,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's stage tables (call when results are written)."""
-    path = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(p, True)
+    _delete(spark, _scope_dir(spark))
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

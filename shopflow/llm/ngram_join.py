@@ -251,11 +251,13 @@ def _probes(hits: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, shingles: DataFrame, t: int, salt_rows: int = 2000) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; sets often in ``b`` are salted."""
-    often = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
-    right = (shingles.select(F.col("sid").alias("b"), "shingles").join(often, "b")
+    # The pairs are two ids a row: while they are few, the sets stay where they
+    # are until they meet by b; beyond the bound everything is shuffled.
+    often = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts")), "often")
+    tagged = materialize(pairs.join(often, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")), "tagged")
+    right = (shingles.select(F.col("sid").alias("b"), "shingles").join(maybe_broadcast(often), "b")
                      .select("b", F.col("shingles").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
-    left = (pairs.join(often, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-                 .join(shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a"))
+    left = shingles.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")).join(maybe_broadcast(tagged), "a")
     both = left.join(right, ["b", "salt"])
     na, nb = F.size("sa"), F.size("sb")
     close = 100 * F.least(na, nb) >= t * F.greatest(na, nb)
@@ -266,13 +268,13 @@ def _verified(pairs: DataFrame, shingles: DataFrame, t: int, salt_rows: int = 20
 
 def _cross_shingles(sets: DataFrame, shingles: DataFrame) -> DataFrame:
     """(sid, component, n, shingle, holders): the shingles that several components hold."""
-    each = sets.join(shingles, "sid").select("sid", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = shingles.join(maybe_broadcast(sets.select("sid", "component")), "sid").select("sid", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     holders = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("c0"), F.max("component").alias("c1"))
                    .where("c0 <> c1").select("shingle", "holders"))
     return each.join(holders, "shingle")
 
 
-def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, step: float = 1.03) -> DataFrame:
+def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, step: float = 1.1) -> DataFrame:
     """(a, b): pairs of sets of different components that may be linked.
 
     A set links to another component only by shingles that component holds
@@ -280,8 +282,10 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, s
     fewer drop out, and with them the shingles only they held.  Sizes are put
     into bins ``step`` apart; for a partner bin a set needs an overlap that
     grows with the partner, so its prefix (its rarest cross shingles) gets
-    shorter.  The overlap of a pair is at most the smaller ``cross``, and the
-    sets differ by at least the bits their parity maps differ in.
+    shorter.  A pair comes out at its first common shingle only: what the
+    prefixes hold before it must not meet, and what stands after it on either
+    side bounds the overlap.  The sets differ by at least the bits their parity
+    maps differ in.
     """
     least = F.ceil(F.col("n") * t / 100)
     for _ in range(passes):
@@ -294,19 +298,26 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, s
     key = Window.partitionBy("sid")
     ranked = (_cross_shingles(sets, shingles).withColumn("cross", F.count(F.lit(1)).over(key))
               .withColumn("rank", F.row_number().over(key.orderBy("holders", "shingle")))
-              .where(F.col("rank") <= F.col("cross") - least + 1).withColumn("bin", bin_of(F.col("n"))))
+              .where(F.col("rank") <= F.col("cross") - least + 1))
+    # A row per set: its prefix for the smallest partner, in order.
+    lists = (ranked.groupBy("sid", "component", "n", "cross").agg(F.sort_array(F.collect_list(F.struct("rank", "shingle"))).alias("list"))
+                   .select("sid", "component", "n", "cross", F.transform("list", lambda x: x["shingle"]).alias("list")))
+    lists = lists.join(shingles.select("sid", "parity"), "sid").withColumn("bin", bin_of(F.col("n")))
     partners = F.sequence(bin_of(least), bin_of(F.floor(F.col("n") * 100 / t)))
     smallest = F.greatest(F.floor(F.pow(F.lit(step), F.col("partner"))), least)
     overlap = F.ceil(t * (F.col("n") + smallest) / (100 + t))
-    prefix = (ranked.withColumn("partner", F.explode(partners)).where(F.col("rank") <= F.col("cross") - overlap + 1)
-                    .select("sid", "component", "n", "cross", "shingle", F.least("bin", "partner").alias("low"), F.greatest("bin", "partner").alias("high"),
-                            "bin", "partner"))
-    prefix = materialize(prefix.join(shingles.select("sid", "parity"), "sid"), "prefixes")
+    own = ["sid", "component", "n", "cross", "parity", "bin", "partner"]
+    prefix = (lists.withColumn("partner", F.explode(partners)).withColumn("most", (F.col("cross") - overlap + 1).cast("int")).where("most > 0")
+                   .select(*own, "list", F.posexplode(F.slice("list", F.lit(1), F.col("most"))).alias("at", "shingle"))
+                   .select(*own, "shingle", F.col("at").alias("before"), F.slice("list", F.lit(1), F.col("at")).alias("earlier"),
+                           F.least("bin", "partner").alias("low"), F.greatest("bin", "partner").alias("high")))
+    prefix = materialize(prefix, "prefixes")
     x, y = prefix.alias("x"), prefix.alias("y")
     same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    most, both = F.least("x.cross", "y.cross"), F.col("x.n") + F.col("y.n")
+    both = F.col("x.n") + F.col("y.n")
+    most = F.least(F.col("x.cross") - F.col("x.before"), F.col("y.cross") - F.col("y.before"))
     differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
-    close = (100 * most >= t * (both - most)) & ((100 + t) * differ <= (100 - t) * both)
+    close = ((100 + t) * most >= t * both) & ((100 + t) * differ <= (100 - t) * both) & ~F.arrays_overlap("x.earlier", "y.earlier")
     return (x.join(y, same).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & close
                                   & (F.col("x.bin") == F.col("y.partner")))
              .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
@@ -363,7 +374,8 @@ def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold:
             pairs = (known.join(hubs, "sig").where((F.col("sid") != F.col("b")) & (F.col("component") != F.col("cb")))
                           .groupBy(F.col("sid").alias("a")).agg(F.min("b").alias("b")))
         else:
-            pairs = _open_pairs(known.join(hubs.select("sig"), "sig", "left_semi").select("sid", "component").distinct(), shingles, threshold)
+            held = known.join(hubs.select("sig"), "sig", "left_semi").select("sid", "component").distinct()
+            pairs = _open_pairs(materialize(held, "held"), shingles, threshold)
         found = materialize(_verified(materialize(pairs, "pairs"), shingles, threshold), "links")
         links = found if links is None else links.union(found)
         if not found.isEmpty():
