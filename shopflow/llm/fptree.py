@@ -49,6 +49,9 @@ BLOCK_TERMS = 20_000
 PAGE = 64
 #: Cells (documents x terms) of a piece of the tree.
 PIECE_CELLS = 6_000_000
+#: Terms of a path that, with the doc_id, cut the ranges; the sample of them that
+#: Spark takes to the driver stays narrow.
+HEAD = 6
 NO_ID = -(1 << 64)  # orders after every doc_id
 
 
@@ -272,7 +275,7 @@ def _search(items: list[tuple[np.ndarray, np.ndarray]], n_terms: int, k: int):
 
 
 def _block(docs: DataFrame, pairs: list, k: int) -> DataFrame | None:
-    """(item_id, doc_id, score): each task's k best for a block's (item_id, term) pairs."""
+    """(item_id, rank, doc_id, score) for a block's (item_id, term) pairs."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(sorted({r["term"] for r in pairs}))
     vectors = materialize(restricted_vectors(docs, vocabulary), "vectors")
@@ -300,10 +303,12 @@ def _block(docs: DataFrame, pairs: list, k: int) -> DataFrame | None:
     n_terms = int((df > 0).sum())  # terms that occur have the first ranks
     paths = (vectors.where(F.size("terms") > 0)
                     .mapInArrow(_paths(rank, totals["docs"], totals["terms"]), "doc_id bigint, m bigint, path array<int>, tfs array<int>"))
-    found = (paths.repartitionByRange("path", "doc_id").sortWithinPartitions("path", "doc_id")
+    found = (paths.repartitionByRange(F.slice("path", 1, HEAD), "doc_id").sortWithinPartitions("path", "doc_id")
                   .mapInArrow(_search(items, n_terms, k), "item int, doc_id bigint, score bigint"))
+    best = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     table = spark.createDataFrame(list(enumerate(names)), "item int, item_id bigint")  # a row an item of the block
-    return materialize(found, "found").join(F.broadcast(table), "item").select("item_id", "doc_id", "score")
+    return materialize(top.join(F.broadcast(table), "item").select("item_id", "rank", "doc_id", "score"), "found")
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -312,13 +317,12 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, block_terms: i
     pairs = materialize(item_terms(items), "items")
     blocks = -(-pairs.count() // block_terms)
     block = F.pmod(F.xxhash64(F.col("item_id")), F.lit(max(1, blocks)))
-    found = spark.createDataFrame([], "item_id bigint, doc_id bigint, score bigint")
+    found = spark.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
     for b in range(blocks):
         rows = pairs.where(block == b).collect()  # one block of the query set
         part = _block(docs, rows, k) if rows else None
         found = found if part is None else found.unionByName(part)
-    best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return found  # an item is in one block
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
