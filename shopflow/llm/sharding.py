@@ -43,8 +43,10 @@ def external_shuffle(docs: DataFrame, n_shards: int = 16, seed: int = 17, bucket
     record = F.struct(F.col("_key"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)], F.col("_size"))
     scattered = (docs.select(*columns, size.alias("_size"), key.alias("_key"))
                      .withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_key")), F.lit(n_buckets))))
-    # One shuffle of the records; a partition receives four whole buckets, by number.
-    (scattered.repartitionById(-(-n_buckets // 4), F.floor(F.col("_bucket") / 4).cast("int")).groupBy("_bucket")
+    # One shuffle of the records; a partition receives four whole buckets, by number
+    # (grouping by that number too needs no other shuffle).
+    scattered = scattered.withColumn("_four", F.floor(F.col("_bucket") / 4).cast("int"))
+    (scattered.repartitionById(-(-n_buckets // 4), F.col("_four")).groupBy("_four", "_bucket")
               .agg(F.sort_array(F.collect_list(record)).alias("_rows"))
               .sortWithinPartitions("_bucket")
               .withColumn("_rows", F.shuffle("_rows", seed + 2))
