@@ -183,12 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_labels: int
                     .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels))
     # At most max_labels narrow rows: small enough to broadcast.
     sample = sample.select(F.col("doc_id").alias("_id"), *TARGETS)
-    # One text an id, however many rows repeat it, so the fit stays bounded.
-    order = F.struct(F.xxhash64(F.col("text")).alias("h"), F.col("text"))
-    known = materialize(docs.select("doc_id", F.col(text).alias("text"))
-                            .join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-                            .groupBy("_id").agg(F.min(order)["text"].alias("text"), *[F.first(t).alias(t) for t in TARGETS])
-                            .select("text", *TARGETS), "labelled")
+    held = materialize(docs.select("doc_id", F.col(text).alias("text"))
+                           .join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+                           .select("_id", "text", *TARGETS, F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row")), "held")
+    # One text an id, however many rows repeat it, so the fit stays bounded; the
+    # texts are not shuffled for it.
+    chosen = held.groupBy("_id").agg(F.min(F.struct("_h", "_row"))["_row"].alias("_row")).select("_row")
+    known = materialize(held.join(F.broadcast(chosen), "_row").select("text", *TARGETS), "labelled")
     total = known.agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     counts = (known.mapInArrow(_count_features, "hash bigint, n bigint, low bigint, toxic bigint")
                      .groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).where(F.col("n") >= LEAST_DOCS))
