@@ -1,3 +1,6 @@
+import itertools
+import re
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -43,3 +46,27 @@ def test_stages_take_awkward_tables(spark):
             assert out.count() >= 0, name
             if name != "packing":
                 assert out.columns == docs.columns, name
+
+
+def test_what_each_stage_keeps(spark):
+    """Rules and classifier keep what their operators' verdicts keep; near duplicates equal plain Python."""
+    from shopflow.llm import perplexity, quality
+    from shopflow.llm.common import read_table
+    docs, stages = documents(spark), dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(stages["quality_rules"](spark, docs, SF)) == ids(perplexity.query(spark, SF).where("kept"))
+    labels = read_table(spark, SF, "labels")
+    assert ids(stages["quality_classifier"](spark, docs, SF)) == ids(quality.classify(docs, labels).where("kept"))
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(lower))
+        sets[r.doc_id] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    first = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y) and first[a] != first[b]:
+            low, high = sorted((first[a], first[b]))
+            first = {i: low if f == high else f for i, f in first.items()}
+    assert ids(stages["near_duplicates"](spark, docs, SF)) == sorted(i for i, f in first.items() if i == f)
