@@ -71,8 +71,9 @@ def _own_tables(name: str, stage, ended: list[str]):
 
 STAGES = [(name, _own_tables(name, stage, ended)) for name, stage, ended in _STAGES]
 
-#: SQL expresses neither the models nor the tokenizer; tests/llm/test_pipeline.py
-#: holds what every stage keeps against plain Python on the operators' verdicts.
+#: SQL expresses neither the models nor the tokenizer; the tests hold what the
+#: first two stages keep against their operators' verdicts, near duplicates and
+#: packed ids against plain Python.
 ORACLE_SQL = None
 
 
