@@ -9,8 +9,10 @@ of text (or one document, if that is longer) in working arrays.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,26 @@ def _delete(spark: SparkSession, path: str) -> None:
 #: what later work reads.
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Batches that carry whole rows through Python stay small: Spark and the Python
+#: worker each hold one, and the working arrays take ``CHUNK_BYTES`` at a time.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
@@ -70,15 +92,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    before = spark.conf.get(_DROP_SHUFFLES, None)
-    spark.conf.set(_DROP_SHUFFLES, "true")
-    try:
+    with settings(spark, {_DROP_SHUFFLES: "true"}):
         df.select("*").write.parquet(path)  # a plan of its own, planned under this setting
-    finally:
-        if before is None:
-            spark.conf.unset(_DROP_SHUFFLES)
-        else:
-            spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -166,6 +181,28 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
         yield from row_chunks(batch, text)
 
 
+def give_back() -> None:
+    """Return this worker's free memory to the system at the end of a task:
+    workers are kept for other tasks, and what their allocators hold on to
+    counts against the executor meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+    if trim:
+        trim(0)
+
+
+def field_index(columns: Sequence[str], name: str) -> int:
+    """Place of a column, matched as Spark does (any letter case)."""
+    return [c.lower() for c in columns].index(name.lower())
+
+
+def texts_of_rows(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches with a first column ``text``, the field ``at`` of their struct
+    ``row``: a text that goes along with its whole row crosses to Python once."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("row").field(at), *batch.columns], names=["text", *batch.schema.names])
+
+
 # -- words and hashes ----------------------------------------------------------
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import materialize, read_table, row_chunks
+from shopflow.llm.common import give_back, materialize, read_table, text_chunks
 
 CAPACITY = 4096
 END_ID = 2
@@ -131,7 +131,7 @@ def _piece_rows(path: str, capacity: int, end_id: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkIds(path)
-        for batch in (c for b in batches for c in row_chunks(b, "text")):
+        for batch in text_chunks(batches):
             texts = batch.column(0).fill_null("").to_pylist()
             row, start, total, parts = [], [], [], []
             for i, ids in enumerate(encoder.encode(texts)):
@@ -147,6 +147,8 @@ def _piece_rows(path: str, capacity: int, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(take), batch.column(2).take(take), *[pa.array(c, pa.int64()) for c in (start, length, total)],
                  pa.array(parts, pa.binary())], names=_PIECE)
+        encoder = None
+        give_back()
     return rows
 
 

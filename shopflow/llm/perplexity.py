@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopflow.llm.common import (
-    SPACE, Words, code_points_before, flat_utf8, materialize, mix64, maybe_broadcast, read_table,
-    small_enough, span_hashes, text_chunks, _BYTE,
+    SPACE, Words, code_points_before, field_index, flat_utf8, give_back, materialize, mix64, maybe_broadcast,
+    read_table, small_enough, span_hashes, text_chunks, texts_of_rows, _BYTE,
 )
 
 ORDER = 4
@@ -49,7 +49,7 @@ MODEL_ROWS = 4_000_000
 #: Bytes of text in a counting task and in a chunk that is joined to the model.
 TASK_BYTES = 48 << 20
 #: Distinct n-grams gathered in a counting task before they are combined.
-GATHER = 1 << 20
+GATHER = 1 << 18
 #: Bands: the median plus and minus this many times the distance to the quartile on that side ...
 BAND_WIDTH = 8.0
 #: ... and at least this many nats a character (for quartiles that fall together; languages' own spread is wider).
@@ -249,6 +249,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = [c[i:i + (1 << 16)] for c in columns]
                 same = [pa.array(np.full(len(part[0]), v, np.int32)) for v in (f, k)]
                 yield pa.RecordBatch.from_arrays([*same, *map(pa.array, part)], names=["fold", "order", "slot", "context", "suffix", "n"])
+        gathered[f] = slots = columns = part = at = n = n_top = None
+    give_back()
 
 
 def _in_large_tasks(docs: DataFrame, text: str) -> DataFrame:
@@ -418,7 +420,8 @@ def _scored(docs: DataFrame, model: DataFrame, keep_row: bool, text: str, lang:
     """Metrics and ``nll`` (mean negative log probability a character) of every row."""
     context = docs.sparkSession.sparkContext
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_row else F.struct(F.col("doc_id"))
-    source = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), row.alias("row"))
+    at = field_index(docs.columns, text) if keep_row else None
+    source = docs.select(*([] if keep_row else [F.col(text).alias("text")]), F.col(lang).cast("string").alias("lang"), row.alias("row"))
     schema = T.StructType([source.schema["row"], T.StructField("lang", T.StringType()),
                            *[T.StructField(m, T.LongType()) for m in _METRICS],
                            T.StructField("nll", T.DoubleType())])
@@ -429,15 +432,19 @@ def _scored(docs: DataFrame, model: DataFrame, keep_row: bool, text: str, lang:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorers = [Scorer(m) for m in shared.value]
-            for batch in text_chunks(batches):
+            for batch in text_chunks(batches if at is None else texts_of_rows(batches, at)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2), batch.column(1), *_scores(batch, batch.column(0), batch.column(1), scorers)], names=schema.names)
+            give_back()
 
         return source.mapInArrow(score, schema)
 
     letters = {r.fold: r.n for r in model.where("order = 1 and less > 0").groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     roots = {r.fold: (float(r.total), r.spare) for r in model.where("order = 0").collect()}
-    source = materialize(_in_large_tasks(source, "text").withColumn("chunk", F.spark_partition_id()), "chunks")
+    field = "text" if at is None else f"row.`{docs.columns[at]}`"
+    source = materialize(_in_large_tasks(source, field).withColumn("chunk", F.spark_partition_id()), "chunks")
+    if at is not None:    # the text is written once, in its row
+        source = source.select(F.col(field).alias("text"), "lang", "row", "chunk")
     schema = T.StructType([source.schema["row"], *schema.fields[1:]])    # as written: all fields may be null
     need = source.select("text", "lang", "chunk").mapInArrow(_chunk_grams, "chunk int, fold int, order int, slot bigint").distinct()
     rows = need.join(model, ["fold", "order", "slot"]).select("chunk", "fold", "order", "slot", "less", "total", "spare")

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopflow.llm.common import (
-    Words, _BYTE, _LOWER, flat_utf8, materialize, maybe_broadcast, mix64, read_table, span_hashes, text_chunks,
+    Words, _BYTE, _LOWER, field_index, flat_utf8, give_back, materialize, maybe_broadcast, mix64, read_table,
+    span_hashes, text_chunks, texts_of_rows,
 )
 
 MAX_LABELS = 20_000
@@ -153,14 +154,16 @@ def regress(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, n_features: int
     return w, float(b)
 
 
-def _evidence_rows(shared, names: list[str]):
+def _evidence_rows(shared, names: list[str], at: int | None):
+    """``at``: the text's place in the rows, if they are carried along."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, lines = shared.value
         lookup = Lookup(hashes)
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches if at is None else texts_of_rows(batches, at)):
             doc, feature = lookup.find(*features(*flat_utf8(batch.column(0))))
             x = [np.bincount(doc, w[feature], batch.num_rows) + b for w, b in lines]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, x)], names=names)
+        give_back()
     return rows
 
 
@@ -260,9 +263,12 @@ def posteriors(scored: DataFrame) -> DataFrame:
 def _scored(docs: DataFrame, labels: DataFrame, keep_row: bool, text: str, host: str, path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep_row else F.struct("doc_id")
-    source = docs.select(F.col(text).alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), row.alias("row"))
-    schema = T.StructType([*source.schema.fields[1:], *[T.StructField(f"x_{t}", T.DoubleType()) for t in TARGETS]])
-    return materialize(source.mapInArrow(_evidence_rows(shared, schema.names), schema), "evidence")
+    source = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), row.alias("row"),
+                         F.col(text).alias("text"))
+    schema = T.StructType([*source.schema.fields[:3], *[T.StructField(f"x_{t}", T.DoubleType()) for t in TARGETS]])
+    at = field_index(docs.columns, text) if keep_row else None
+    source = source.drop("text") if keep_row else source.select("text", "host", "path", "row")
+    return materialize(source.mapInArrow(_evidence_rows(shared, schema.names, at), schema), "evidence")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", host: str = "source", path: str = "lang") -> DataFrame:
