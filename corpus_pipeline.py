@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from shopflow.llm import ngram_join, packing, perplexity, quality, secrets
-from shopflow.llm.common import begin_scope, materialize, read_table
+from shopflow.llm.common import SMALL_BATCHES, begin_scope, materialize, read_table, settings
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,8 @@ def _own_tables(name: str, stage, ended: list[str]):
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         begin_scope(spark, f"work-{name}", [f"work-{n}" for n in ended])
-        return stage(spark, docs, sf_dir)
+        with settings(spark, SMALL_BATCHES):
+            return stage(spark, docs, sf_dir)
     return run_stage
 
 
