@@ -6,6 +6,8 @@ brand fill and the type coercions.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,10 +138,10 @@ CLEAN_COLUMNS = ["user_id", "user_session", "event_type", "product_id", "brand",
                  "time_since_start", "prev_event_gap", "purchase_spending"]
 
 
-def clean_base(df: DataFrame, dedupe: bool = True) -> DataFrame:
+def clean_base(df: DataFrame, dedupe: bool = True, keep: Sequence[str] = ()) -> DataFrame:
     """Everything but the per-session ordering (C7-C9),
     which no feature table needs.  ``dedupe=False``: the rows were already
-    deduplicated on all their raw columns."""
+    deduplicated on all their raw columns.  ``keep``: further columns that stay."""
     out = dedupe_events(df) if dedupe else df
     out = drop_null_sessions(out)
     out = fill_brand(out)
@@ -147,7 +149,7 @@ def clean_base(df: DataFrame, dedupe: bool = True) -> DataFrame:
     out = add_time_parts(out)
     out = add_event_period(out)
     out = add_purchase_spending(out)
-    return out.select(*[c for c in CLEAN_COLUMNS if c in out.columns])
+    return out.select(*[c for c in CLEAN_COLUMNS if c in out.columns], *keep)
 
 
 def clean_events(df: DataFrame, with_clock: bool = True, dedupe: bool = True) -> DataFrame:

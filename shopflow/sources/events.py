@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.schema import EVENTS_RAW_CSV
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_events(spark: SparkSession, path: str | list[str], fmt: str = "csv") -> DataFrame:
     """Raw event log: every column of the file, values as written.
 
     C1 removes rows that are equal in *all* columns, so nothing is dropped or
@@ -20,14 +22,15 @@ def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def typed_events(df: DataFrame) -> DataFrame:
-    """The eight analysis columns in their fixed types, matched by name.
+def typed_events(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The eight analysis columns in their fixed types, matched by name, and
+    the columns of ``keep`` as they are.
 
     A malformed number becomes null, not an error; ``event_time`` keeps its
     type for the cleaning step to parse.
     """
     return df.select(*[(F.col(f.name) if f.name == "event_time" else F.col(f.name).try_cast(f.dataType)).alias(f.name)
-                       for f in EVENTS_RAW_CSV.fields])
+                       for f in EVENTS_RAW_CSV.fields], *keep)
 
 
 def read_distinct_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
