@@ -12,14 +12,13 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.session import shared_dir
+from shopflow.session import settings, shared_dir
 
 CHUNK_BYTES = 1 << 20
 
@@ -68,22 +67,6 @@ _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings that hold inside the block only."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and read it back.
 

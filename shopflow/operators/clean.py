@@ -118,7 +118,10 @@ def add_session_clock(df: DataFrame, num_partitions: int | None = None) -> DataF
     time.  Computed with the skew-safe ``keyed_clock``, which may cut any
     session at any row.
     """
-    c = keyed_clock(df, "user_session", "event_time", event_order(), num_partitions)
+    derived = [c for c in ("hour", "weekday", "month", "event_period") if c in df.columns]
+    c = keyed_clock(df.drop(*derived), "user_session", "event_time", event_order(), num_partitions)
+    if derived:  # follow from the time: made again rather than shuffled and written
+        c = add_event_period(add_time_parts(c)).drop(*{"hour", "weekday", "month", "event_period"} - {*derived})
     return (c.withColumn("session_start", F.col("_key_first"))
              .withColumn("time_since_start", seconds_between(F.col("session_start"), F.col("event_time")))
              .withColumn("prev_event_gap",

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopflow.session import shared_dir, shuffle_partitions
+from shopflow.session import shared_dir, write_stage
 
 PID = "_pid"
 _ORDINAL_BITS = 33  # of monotonically_increasing_id: the place within a partition
@@ -31,17 +31,21 @@ _ORDINAL_BITS = 33  # of monotonically_increasing_id: the place within a partiti
 
 def _written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/shopflow/ordered/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write_stage(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _by_range(df: DataFrame, order: Sequence[Column], num_partitions: int | None) -> DataFrame:
+    """Rows in sorted ranges: as many as wanted, else as their size asks for."""
+    n = [num_partitions] if num_partitions else []
+    return df.repartitionByRange(*n, *order).sortWithinPartitions(*order)
+
+
 def ranged(df: DataFrame, order: Sequence[Column], num_partitions: int | None = None) -> DataFrame:
     """Rows range-partitioned and sorted by ``order``, with the range number
     ``_pid`` (ascending in ``order``) and the 0-based place ``_at`` in it;
     written once, so every later reader sees the same ranges."""
-    n = num_partitions or shuffle_partitions(df.sparkSession)
-    place = F.monotonically_increasing_id()
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", place)
+    rows = _by_range(df, order, num_partitions).withColumn("_id", F.monotonically_increasing_id())
     return _written(rows.withColumn(PID, F.shiftright("_id", _ORDINAL_BITS).cast("int"))
                         .withColumn("_at", F.col("_id").bitwiseAND((1 << _ORDINAL_BITS) - 1)).drop("_id"))
 
@@ -115,10 +119,9 @@ def global_order(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = (
     rows are shuffled once: places and sums are carried along in the one scan
     of the sorted range, and a row per range holds what lies before it.
     """
-    n = num_partitions or shuffle_partitions(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField("_at", T.LongType()),
                            *[T.StructField(f"_run_{s}", _sum_type(df.schema[s].dataType)) for s in sums]])
-    r = _written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_running_rows(sums), schema))
+    r = _written(_by_range(df, order, num_partitions).mapInArrow(_running_rows(sums), schema))
     totals = r.groupBy(PID).agg(
         F.count(F.lit(1)).alias("_cnt"), *[F.max_by(f"_run_{s}", "_at").alias(f"_tot_{s}") for s in sums])
     # One row per range: bounded by the partition count, so a single-task
@@ -185,14 +188,12 @@ def keyed_clock(df: DataFrame, key: str, time_col: str, order: Sequence[Column],
     and the first time of that key.
     """
     time_type = df.schema[time_col].dataType
-    n = num_partitions or shuffle_partitions(df.sparkSession)
     names = [*df.columns, PID, "_at", "_prev_local", "_first_local", "_head"]
     schema = T.StructType([*df.schema.fields, T.StructField(PID, T.IntegerType()), T.StructField("_at", T.LongType()),
                            T.StructField("_prev_local", time_type), T.StructField("_first_local", time_type),
                            T.StructField("_head", T.BooleanType())])
     by = [F.col(key).asc(), *order]
-    rows = _written(df.repartitionByRange(n, *by).sortWithinPartitions(*by)
-                      .mapInArrow(_clock_rows(key, time_col, names), schema))
+    rows = _written(_by_range(df, by, num_partitions).mapInArrow(_clock_rows(key, time_col, names), schema))
     edge = F.struct(F.col(key).alias("key"), F.col(time_col).alias("time"), F.col("_first_local").alias("first"), "_head")
     ends = rows.groupBy(PID).agg(F.min_by(F.col(key), "_at").alias("first_key"), F.max_by(edge, "_at").alias("last"))
     # One row per range (bounded by the partition count).

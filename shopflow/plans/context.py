@@ -25,7 +25,7 @@ from shopflow.operators.features import (
 )
 from shopflow.operators.temporal import start_cells
 from shopflow.schema import EVENT_TYPES
-from shopflow.session import shared_dir
+from shopflow.session import shared_dir, write_stage
 from shopflow.sources import fixtures
 
 _CACHE: dict[tuple[str, str, str], "ShopContext"] = {}
@@ -73,7 +73,7 @@ class ShopContext:
                 df = build()
                 if self.materialize if write is None else write:
                     path = f"{shared_dir(self.spark)}/shopflow/{self.tag}/{name}"
-                    df.write.mode("overwrite").parquet(path)
+                    write_stage(df, path, "overwrite")
                     df = self.spark.read.parquet(path)
                 self._tables[name] = df
             return self._tables[name]
@@ -116,9 +116,10 @@ class ShopContext:
 
     @property
     def events_clean(self) -> DataFrame:
-        """The full cleaned table (C1-C10), built on the materialised base."""
+        """The full cleaned table (C1-C10) on the materialised base.  The clock
+        writes its ordered rows; what is added to them here is not written again."""
         return self._stage("events_clean",
-                           lambda: add_session_clock(self.events).select(*CLEAN_COLUMNS))
+                           lambda: add_session_clock(self.events).select(*CLEAN_COLUMNS), write=False)
 
     @property
     def sessions(self) -> DataFrame:

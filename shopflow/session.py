@@ -11,8 +11,9 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
 
@@ -72,3 +73,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Tasks of a stage table's plan stay small whatever the table's size: shuffles
+#: begin with many partitions, which adaptive execution joins up to the advisory
+#: size, so what a task sorts or aggregates fits its memory and is not spilled.
+SMALL_TASKS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(16 << 20),
+    "spark.sql.files.maxPartitionBytes": str(16 << 20),
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold inside the block only."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def write_stage(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write a stage table in small tasks."""
+    with settings(df.sparkSession, SMALL_TASKS):
+        df.select("*").write.mode(mode).parquet(path)  # a plan of its own, planned under these settings
