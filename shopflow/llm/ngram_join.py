@@ -334,7 +334,8 @@ def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold:
         "own_d bigint, own_spare bigint, cross_d bigint, cross_spare bigint"), "sets")
 
     emitted = source.select("text").mapInArrow(_signature_rows(width, bands), "sig bigint, who bigint")
-    shared = emitted.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so the shuffles of the count are gone when the rows themselves are shuffled.
+    shared = materialize(emitted.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     hits = materialize(emitted.join(shared, "sig").select(
         "sig", "n", F.col("who").bitwiseAND(~7).alias("sid"), (F.col("who").bitwiseAND(1) == 1).alias("cross"),
         (F.col("who").bitwiseAND(2) == 2).alias("deleted"),

@@ -146,3 +146,11 @@ def test_parity_maps_never_exceed_the_difference():
         maps = J.parity_maps(np.array([0, len(a), len(both)]), both)
         bits = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in maps[0] ^ maps[1])
         assert bits <= len(np.setxor1d(a, b)) and (bits > 0) == (cut + new > 0)
+
+
+def test_signature_counts_are_written_before_the_rows_are_shuffled(spark, monkeypatch):
+    names, real = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, name: (names.append(name), real(df, name))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 2}") for i in range(6)], "doc_id bigint, text string")
+    assert J.components(docs).count() == 6
+    assert names.index("shared") < names.index("hits")
