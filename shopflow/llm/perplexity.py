@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopflow.llm.common import (
-    SPACE, Words, code_points_before, field_index, flat_utf8, give_back, materialize, mix64, maybe_broadcast,
-    read_table, small_enough, span_hashes, text_chunks, texts_of_rows, _BYTE,
+    SMALL_BATCHES, SPACE, Words, code_points_before, field_index, flat_utf8, give_back, materialize, mix64, maybe_broadcast,
+    read_table, row_chunks, settings, small_enough, span_hashes, texts_of_rows, _BYTE,
 )
 
 ORDER = 4
@@ -228,10 +228,19 @@ class _Gathered:
         return self.parts[0]
 
 
+#: Bytes of text whose n-grams are held at once: each takes some hundred bytes of working arrays.
+GRAM_BYTES = 1 << 18
+
+
+def _gram_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from row_chunks(batch, "text", GRAM_BYTES)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of a task's n-grams, combined over the whole task."""
     gathered = [_Gathered() for _ in range(FOLDS)]
-    for batch in text_chunks(batches):
+    for batch in _gram_chunks(batches):
         data, offsets = flat_utf8(batch.column(0))
         grams = Grams(data, offsets, _lang_codes(batch.column(1)))
         folds = text_folds(data, offsets)[grams.doc]
@@ -397,7 +406,7 @@ def _scores(batch: pa.RecordBatch, text: pa.Array, lang: pa.Array, scorers: list
 def _chunk_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, fold, order, slot): the model rows that each chunk's texts need."""
     need = {}
-    for batch in text_chunks(batches):
+    for batch in _gram_chunks(batches):
         chunks = batch.column(2).to_numpy()
         data, offsets = flat_utf8(batch.column(0))
         grams = Grams(data, offsets, _lang_codes(batch.column(1)))
@@ -432,7 +441,7 @@ def _scored(docs: DataFrame, model: DataFrame, keep_row: bool, text: str, lang:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorers = [Scorer(m) for m in shared.value]
-            for batch in text_chunks(batches if at is None else texts_of_rows(batches, at)):
+            for batch in _gram_chunks(batches if at is None else texts_of_rows(batches, at)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(2), batch.column(1), *_scores(batch, batch.column(0), batch.column(1), scorers)], names=schema.names)
             give_back()
@@ -456,7 +465,7 @@ def _scored(docs: DataFrame, model: DataFrame, keep_row: bool, text: str, lang:
             if f in roots:
                 part[0] = (np.zeros(1, np.int64), np.zeros(1), *[np.array([v]) for v in roots[f]])
             scorers.append(Scorer(part, letters.get(f, 0)))
-        for batch in text_chunks(texts.to_batches()):
+        for batch in _gram_chunks(texts.to_batches()):
             out.append(pa.RecordBatch.from_arrays(
                 [batch.column(2), batch.column(1), *_scores(batch, batch.column(0), batch.column(1), scorers)], names=schema.names))
         return pa.Table.from_batches(out)
@@ -481,7 +490,8 @@ def _verdicts(scored: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, the rule counts, nll, perplexity, band and verdict of every row."""
     docs = docs.select("doc_id", *dict.fromkeys((text, lang)))
-    out = _verdicts(materialize(_scored(docs, fit(docs, text, lang), False, text, lang), "quality_rules"))
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        out = _verdicts(materialize(_scored(docs, fit(docs, text, lang), False, text, lang), "quality_rules"))
     return out.select("row.doc_id", *_METRICS, "base_failed", "kept", F.exp("nll").alias("perplexity"),
                       F.exp("lower").alias("lower_perplexity"), F.exp("upper").alias("upper_perplexity"))
 

@@ -148,3 +148,13 @@ def test_joined_model_scores_as_the_broadcast_one(spark, monkeypatch):
             m.setattr(P, "small_enough", lambda df, n: False)
             assert rows() == expected
             assert sorted(map(str, P.keep_good(docs).collect())) == kept
+
+
+def test_grams_are_taken_from_small_chunks():
+    import pyarrow as pa
+
+    from shopflow.llm import perplexity
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 100_000] * 9), pa.array(range(9))], names=["text", "at"])
+    parts = list(perplexity._gram_chunks(iter([batch])))
+    assert [r for p in parts for r in p.column(1).to_pylist()] == list(range(9))
+    assert max(p.num_rows for p in parts) * 100_000 <= perplexity.GRAM_BYTES
