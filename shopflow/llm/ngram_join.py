@@ -14,15 +14,16 @@ The allocation of tolerance is by cost: Spark counts every signature in the
 corpus; a signature nobody shares costs nothing and is never joined, and of
 the shared ones a set probes the rarest that its H + 1 units still need.
 Sets sharing a probed signature are verified exactly on their shingles, not
-in all pairs: first each against one member (hub) of its signatures, twice
-with different hubs, the links contracted to components in between.  Pairs
-inside a component need no check, since only components are asked for.  What
-signatures still leave open between components is narrowed on the shingles
-themselves: only shingles held by several components can make a link between
-them, a set with too few of those has none, and two linked sets share one of
-the rarest (prefix filter); those pairs are verified.  Every step is exact,
-so no link between different texts is lost.  Equal sets are one class from
-the start.
+in all pairs: first each against the likeliest of the members (hubs) that
+most of its signatures name, twice with different hubs, the links contracted
+to components in between.  Pairs inside a component need no check, since only
+components are asked for.  What signatures still leave open between
+components is narrowed on the shingles themselves: only shingles held by
+several components can make a link between them, a set with too few of those
+has none, and two linked sets share one of the rarest (prefix filter).  Of
+those pairs the likeliest between each two components is verified, then all
+whose components that has not merged.  Every step is exact, so no link
+between different texts is lost.  Equal sets are one class from the start.
 
 Hot groups: copies collapse to one set; signatures are counted with map-side
 combination; hubs of many sets are salted in the verification join.
@@ -49,6 +50,8 @@ from shopflow.llm.components import connected_components
 
 THRESHOLD = 85      # percent
 SEG_BITS = 24
+ROUNDS = 2  # of verification against hubs
+HUBS = 4  # a round compares a set with this many hubs by their parity maps
 PARITY_WORDS = 8  # 64-bit words of a set's parity map
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -266,6 +269,32 @@ def _verified(pairs: DataFrame, shingles: DataFrame, t: int, salt_rows: int = 20
     return both.where(linked).select("a", "b")
 
 
+def _bits_apart(p: str, q: str) -> Column:
+    return F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+
+
+def _hub_pairs(known: DataFrame, shingles: DataFrame, t: int, step: int) -> DataFrame:
+    """(a, b): for every set the likeliest linked of its signatures' hubs in other
+    components, if its parity map leaves a link possible.
+
+    A signature's hub is its first indexed set in the step's order.  The hubs
+    of most of a set's signatures are compared: what a common line or an empty
+    segment makes sets share is a few of them only.
+    """
+    order = F.struct(F.xxhash64(F.lit(step), F.col("sid")).alias("h") if step else F.lit(0).alias("h"), F.col("sid"), F.col("component"))
+    hubs = (known.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                     F.min(F.when(F.col("indexed") == 1, order)).alias("hub"))
+                 .where("c0 <> c1").select("sig", F.col("hub.sid").alias("b"), F.col("hub.component").alias("cb")))
+    votes = (known.join(hubs, "sig").where((F.col("sid") != F.col("b")) & (F.col("component") != F.col("cb")))
+                  .groupBy(F.col("sid").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")))
+    most = (votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, HUBS).alias("hubs"))
+                 .select("a", F.explode("hubs.b").alias("b")))
+    of = lambda end: shingles.select(F.col("sid").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"p{end}"))
+    both, differ = F.col("na") + F.col("nb"), _bits_apart("pa", "pb")
+    return (most.join(of("a"), "a").join(of("b"), "b").where((100 + t) * differ <= (100 - t) * both)
+                .groupBy("a").agg(F.min(F.struct((differ / both).alias("far"), "b"))["b"].alias("b")))
+
+
 def _cross_shingles(sets: DataFrame, shingles: DataFrame) -> DataFrame:
     """(sid, component, n, shingle, holders): the shingles that several components hold."""
     each = shingles.join(maybe_broadcast(sets.select("sid", "component")), "sid").select("sid", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
@@ -275,7 +304,8 @@ def _cross_shingles(sets: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, step: float = 1.1) -> DataFrame:
-    """(a, b): pairs of sets of different components that may be linked.
+    """(a, b, ca, cb, far): pairs of sets of different components that may be
+    linked, their components and how far their parity maps are apart.
 
     A set links to another component only by shingles that component holds
     (``cross`` of its ``n``), and needs ``t`` percent of its own; sets with
@@ -316,11 +346,43 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, s
     same = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     both = F.col("x.n") + F.col("y.n")
     most = F.least(F.col("x.cross") - F.col("x.before"), F.col("y.cross") - F.col("y.before"))
-    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    differ = _bits_apart("x.parity", "y.parity")
     close = ((100 + t) * most >= t * both) & ((100 + t) * differ <= (100 - t) * both) & ~F.arrays_overlap("x.earlier", "y.earlier")
-    return (x.join(y, same).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & close
-                                  & (F.col("x.bin") == F.col("y.partner")))
-             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
+    meant = F.col("x.bin") == F.col("y.partner")
+    return (x.join(y, same).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & close & meant)
+             .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
+                     (differ / both).alias("far")).distinct())
+
+
+def _merged(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after further links: only the components themselves
+    are linked, once a pair, however many links their members have."""
+    if component is None:
+        return connected_components(links).select("node", "component")
+    of = lambda end, name: component.select(F.col("node").alias(end), F.col("component").alias(name))
+    edges = (links.select("a", "b").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+                  .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
+    joined = connected_components(materialize(edges, "contracted"))
+    # A component's name is its smallest node, so new names keep to that.
+    new = joined.select("node", F.col("node").alias("component")).join(component.select("node"), "node", "left_anti")
+    named = joined.select(F.col("node").alias("component"), F.col("component").alias("name"))
+    return materialize(component.unionByName(new).join(named, "component", "left")
+                                .select("node", F.coalesce("name", "component").alias("component")), "merged")
+
+
+def _between(pairs: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are still in different components, with these as ``ca`` and ``cb``."""
+    if component is None:
+        return pairs
+    of = lambda end, name: component.select(F.col("node").alias(end), F.col("component").alias(name))
+    return (pairs.drop("ca", "cb").join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+                 .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb"))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs between each two components the one likeliest linked."""
+    return (pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("far", "a", "b")).alias("best"))
+                 .select("best.a", "best.b"))
 
 
 def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -357,30 +419,35 @@ def similar_sets(docs: DataFrame, text: str = "text", width: int = 4, threshold:
     keys = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     chosen = source.join(maybe_broadcast(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left_semi")
     shingles = materialize(chosen.select("text").mapInArrow(_shingle_rows(width), "sid bigint, shingles array<bigint>, parity array<bigint>")
-                                 .dropDuplicates(["sid"]), "shingles")
+                                 .dropDuplicates(["sid"]).withColumn("n", F.size("shingles")), "shingles")
 
-    links = None
     component = None
-    for step in (0, 1, 2):
+
+    def known() -> DataFrame:
         if component is None:
-            known = members.withColumn("component", F.col("sid"))
-        else:
-            known = (members.join(component.withColumnRenamed("node", "sid"), "sid", "left")
-                            .withColumn("component", F.coalesce("component", "sid")))
-        order = F.struct(F.xxhash64(F.lit(step), F.col("sid")).alias("h") if step else F.lit(0).alias("h"), F.col("sid"), F.col("component"))
-        hubs = (known.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
-                                         F.min(F.when(F.col("indexed") == 1, order)).alias("hub"))
-                     .where("c0 <> c1").select("sig", F.col("hub.sid").alias("b"), F.col("hub.component").alias("cb")))
-        if step < 2:
-            pairs = (known.join(hubs, "sig").where((F.col("sid") != F.col("b")) & (F.col("component") != F.col("cb")))
-                          .groupBy(F.col("sid").alias("a")).agg(F.min("b").alias("b")))
-        else:
-            held = known.join(hubs.select("sig"), "sig", "left_semi").select("sid", "component").distinct()
-            pairs = _open_pairs(materialize(held, "held"), shingles, threshold)
-        found = materialize(_verified(materialize(pairs, "pairs"), shingles, threshold), "links")
-        links = found if links is None else links.union(found)
+            return members.withColumn("component", F.col("sid"))
+        return (members.join(component.withColumnRenamed("node", "sid"), "sid", "left")
+                       .withColumn("component", F.coalesce("component", "sid")))
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal component
+        pairs = materialize(pairs, "pairs")
+        if pairs.isEmpty():
+            return
+        found = materialize(_verified(pairs, shingles, threshold), "links")
         if not found.isEmpty():
-            component = connected_components(links)
+            component = _merged(component, found)
+
+    for step in range(ROUNDS):
+        verify(_hub_pairs(known(), shingles, threshold, step))
+    crossed = known().groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("sig")
+    held = known().join(crossed, "sig", "left_semi").select("sid", "component").distinct()
+    pairs = materialize(_open_pairs(materialize(held, "held"), shingles, threshold), "open_pairs")
+    # First the likeliest pair of each two components; those that this merges need no more.
+    if not pairs.isEmpty():
+        chosen = materialize(_likeliest(pairs), "likeliest")
+        verify(chosen)
+        verify(_between(pairs, component).join(chosen, ["a", "b"], "left_anti").select("a", "b"))
     if component is None:
         component = members.where("false").select(F.col("sid").alias("node"), F.col("sid").alias("component"))
     return sets, component.select(F.col("node").alias("sid"), "component")

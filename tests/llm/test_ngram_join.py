@@ -154,3 +154,28 @@ def test_signature_counts_are_written_before_the_rows_are_shuffled(spark, monkey
     docs = spark.createDataFrame([(i, f"a b c d e f g {i % 2}") for i in range(6)], "doc_id bigint, text string")
     assert J.components(docs).count() == 6
     assert names.index("shared") < names.index("hits")
+
+
+def test_borderline_family_is_contracted_before_its_pairs_are_listed(spark, monkeypatch):
+    """Near copies of which about half the pairs are linked: neither the open pairs
+    nor the links whose components are found grow with the square of the family."""
+    rnd = random.Random(6)
+    base = [f"t{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 2, 2, 3])):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    sizes = defaultdict(int)
+
+    def counting(name):
+        real = getattr(J, name)
+        monkeypatch.setattr(J, name, lambda df, *a, **k: (sizes.__setitem__(name, sizes[name] + df.count()), real(df, *a, **k))[1])
+
+    counting("_verified")
+    counting("connected_components")
+    found = J.components(spark.createDataFrame(rows, "doc_id bigint, text string"), width=5, threshold=80)
+    assert got(found) == brute_force(rows, 5, 80)
+    assert sizes["connected_components"] < 3 * len(rows), sizes
+    assert sizes["_verified"] < 6 * len(rows), sizes
