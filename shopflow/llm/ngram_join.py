@@ -300,7 +300,8 @@ def _cross_shingles(sets: DataFrame, shingles: DataFrame) -> DataFrame:
     each = shingles.join(maybe_broadcast(sets.select("sid", "component")), "sid").select("sid", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     holders = (each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("c0"), F.max("component").alias("c1"))
                    .where("c0 <> c1").select("shingle", "holders"))
-    return each.join(holders, "shingle")
+    # Written, so the count's shuffle is gone when the shingles themselves are shuffled.
+    return each.join(materialize(holders, "holders"), "shingle")
 
 
 def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, step: float = 1.1) -> DataFrame:
@@ -336,9 +337,9 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, s
     partners = F.sequence(bin_of(least), bin_of(F.floor(F.col("n") * 100 / t)))
     smallest = F.greatest(F.floor(F.pow(F.lit(step), F.col("partner"))), least)
     overlap = F.ceil(t * (F.col("n") + smallest) / (100 + t))
-    own = ["sid", "component", "n", "cross", "parity", "bin", "partner"]
+    own = ["sid", "component", "n", "cross", "parity", "bin"]
     prefix = (lists.withColumn("partner", F.explode(partners)).withColumn("most", (F.col("cross") - overlap + 1).cast("int")).where("most > 0")
-                   .select(*own, "list", F.posexplode(F.slice("list", F.lit(1), F.col("most"))).alias("at", "shingle"))
+                   .select(*own, "partner", "list", F.posexplode(F.slice("list", F.lit(1), F.col("most"))).alias("at", "shingle"))
                    .select(*own, "shingle", F.col("at").alias("before"), F.slice("list", F.lit(1), F.col("at")).alias("earlier"),
                            F.least("bin", "partner").alias("low"), F.greatest("bin", "partner").alias("high")))
     prefix = materialize(prefix, "prefixes")
@@ -348,7 +349,8 @@ def _open_pairs(sets: DataFrame, shingles: DataFrame, t: int, passes: int = 1, s
     most = F.least(F.col("x.cross") - F.col("x.before"), F.col("y.cross") - F.col("y.before"))
     differ = _bits_apart("x.parity", "y.parity")
     close = ((100 + t) * most >= t * both) & ((100 + t) * differ <= (100 - t) * both) & ~F.arrays_overlap("x.earlier", "y.earlier")
-    meant = F.col("x.bin") == F.col("y.partner")
+    # Each is the other's partner.  Both sides have the same keys and columns, so their rows are shuffled once.
+    meant = F.col("x.bin") + F.col("y.bin") == F.col("x.low") + F.col("x.high")
     return (x.join(y, same).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & close & meant)
              .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb"),
                      (differ / both).alias("far")).distinct())

@@ -4,8 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shopflow.llm import ngram_join as J
+from shopflow.session import settings
 from tests.llm.edge import documents, edge_docs, no_docs, with_clashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,3 +181,17 @@ def test_borderline_family_is_contracted_before_its_pairs_are_listed(spark, monk
     assert got(found) == brute_force(rows, 5, 80)
     assert sizes["connected_components"] < 3 * len(rows), sizes
     assert sizes["_verified"] < 6 * len(rows), sizes
+
+
+def test_open_pairs_shuffle_their_prefixes_once(spark, monkeypatch):
+    """Holders are written before the shingles are shuffled; both sides of the self-join read one shuffle."""
+    names, real = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, name: (names.append(name), real(df, name))[1])
+    lists = [(i * 8, i * 8, [*range(40), 100 + i], [0] * J.PARITY_WORDS) for i in range(6)]
+    shingles = spark.createDataFrame(lists, "sid bigint, component bigint, shingles array<bigint>, parity array<bigint>").withColumn("n", F.size("shingles"))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        pairs = J._open_pairs(shingles.select("sid", "component"), shingles.drop("component"), 85)
+        assert pairs.count() == 15
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan, plan
+    assert names.count("holders") == 2 and names.index("holders") < names.index("open")
